@@ -19,7 +19,7 @@ from wattline.operators.refresh import DAY_OFFSETS, refresh_table, refresh_windo
 from wattline.operators.series import period_avg, period_values
 from wattline.operators.snapshot import param_history, period_stat, snapshot
 from wattline.operators.stats import (
-    bucket_stats, price_by_day, tariff_report, tariff_report_sum, tariff_stats,
+    bucket_stats, tariff_report, tariff_report_sum, tariff_stats, with_price,
 )
 from wattline.plans.reports import daily_tariff_report, ingest_frames, period_report
 from wattline.session import scratch_path
@@ -451,7 +451,7 @@ def q_zones(spark, sf):
 def q_price(spark, sf):
     days = gauges(spark, sf).select(F.to_date("timestamp").alias("day"))
     lines = read(spark, sf, "lineitem", "l_shipdate timestamp").select(F.to_date("l_shipdate").alias("day"))
-    return price_by_day(order_prices(spark, sf), days.union(lines).distinct())
+    return with_price(days.union(lines).distinct(), order_prices(spark, sf))
 
 
 def history_of(spark, sf, fill, by_device=False):

@@ -72,7 +72,13 @@ def bucket(ts, width):
 
 def utc_date(ts):
     """Calendar day in UTC, whatever the session time zone is."""
-    return F.date_from_unix_date(F.floor(F.unix_micros(ts) / F.lit(DAY_MICROS)).cast("int"))
+    return F.date_from_unix_date(day_number(F.unix_micros(ts)))
+
+
+def day_number(micros):
+    """UTC days since 1970 of an instant in microseconds."""
+    midnight = micros - F.pmod(micros, F.lit(DAY_MICROS))
+    return (midnight / F.lit(DAY_MICROS)).cast("int")
 
 
 def day_start(day):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wattline.functions.time import (
     as_datetime, as_timestamp, bucket, bucket_micros, in_range, width_micros,
 )
-from wattline.operators.latest import LOOKBACK, named_fields, newest_before
+from wattline.operators.latest import LOOKBACK, field_frame, named_fields, newest_before
 from wattline.operators.ordered import with_previous
 
 #: Up to this many buckets a register's series is ordered in one piece, beyond it in chunks.
@@ -45,35 +45,29 @@ def gap_filled(telemetry, start, finish, width, fields, lookback=LOOKBACK):
     if not (isinstance(start, Column) or isinstance(finish, Column) or finish is None):
         seconds = (as_datetime(finish) - as_datetime(start)).total_seconds()
         one_piece = seconds * 1_000_000 / size <= ONE_PIECE
-    wanted = telemetry.filter(F.col("register_name").isin(list(fields)))
-    at = bucket_micros(F.unix_micros("timestamp"), width)
+    names = list(dict.fromkeys(fields))
+    wanted = telemetry.filter(F.col("register_name").isin(names))
     observed = (
         wanted.filter(in_range(wanted, begin, end))
-        .groupBy("register_name", at.alias("at"))
+        .groupBy("register_name", bucket_micros(F.unix_micros("timestamp"), width).alias("at"))
         .agg(F.avg("value").alias("value"))
     )
     grid_first = bucket_micros(F.unix_micros(begin), width)
     grid_last = bucket_micros(F.unix_micros(end) - 1, width)
-    until = F.coalesce(F.col("next_at") - size, F.greatest(F.col("at"), grid_last))
-    carried = _with_next(observed, size, one_piece).select(
-        "register_name",
-        F.explode(F.sequence("at", until, F.lit(size))).alias("slot"),
-        "value",
-    )
-    heads = observed.groupBy("register_name").agg(F.min("at").alias("at"))
+    # The value from before, or NULL, stands as an observation just ahead of the grid.
     seeds = newest_before(wanted, begin, lookback).select("register_name", "value")
-    leading = (
-        heads.filter(F.col("at") > grid_first)
-        .join(seeds, "register_name", "left")
-        .select(
-            "register_name",
-            F.explode(F.sequence(grid_first, F.col("at") - size, F.lit(size))).alias("slot"),
-            "value",
-        )
+    ahead = field_frame(telemetry.sparkSession, names).join(seeds, "register_name", "left").select(
+        "register_name", (grid_first - size).alias("at"), "value"
     )
-    return leading.unionByName(carried).select(
-        F.timestamp_micros("slot").alias("bucket"), "register_name", "value"
+    followed = _with_next(observed.unionByName(ahead), size, one_piece)
+    # It is of use only to a register with observations, the first of them later in the grid.
+    useful = (F.col("at") >= grid_first) | (F.col("next_at") > grid_first)
+    from_ = F.greatest(F.col("at"), grid_first)
+    until = F.coalesce(F.col("next_at") - size, F.greatest(F.col("at"), grid_last))
+    slots = followed.filter(useful).select(
+        "register_name", F.explode(F.sequence(from_, until, F.lit(size))).alias("slot"), "value"
     )
+    return slots.select(F.timestamp_micros("slot").alias("bucket"), "register_name", "value")
 
 
 def period_values(

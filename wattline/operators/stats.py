@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wattline.catalog import DAY_RULES, TARIFF_REGISTERS, parse_rules
 from wattline.functions.tariff import tariff_zone
-from wattline.functions.time import bucket, utc_date
+from wattline.functions.time import DAY_MICROS, bucket, utc_date
 from wattline.operators.snapshot import statistic
 
 
@@ -82,27 +82,33 @@ def price_at(prices, ts):
     )
 
 
-def price_by_day(prices, days):
-    """For each given day, the newest price not after its midnight (NULLs if there is none).
+def daily_prices(prices):
+    """The price of each calendar day from the first change to the last.
 
-    Prices and days are both reduced to one row per calendar day, so the ordered pass below is
-    over days, and the caller joins on the day instead of on a range.
+    Prices are reduced to one row per day before they are put in order, so the ordered pass is
+    over days.
     """
     # A price from later than midnight first counts on the following day.
-    since = utc_date(F.timestamp_micros(F.unix_micros("dt") + F.lit(86_400_000_000 - 1)))
-    changes = prices.groupBy(since.alias("day")).agg(
+    since = utc_date(F.timestamp_micros(F.unix_micros("dt") + F.lit(DAY_MICROS - 1)))
+    changes = prices.groupBy(since.alias("since")).agg(
         F.max_by("dprice", "dt").alias("d_price"), F.max_by("nprice", "dt").alias("n_price")
     )
-    changes = changes.select("day", F.struct("d_price", "n_price").alias("price"))
-    both = changes.withColumn("asked", F.lit(False)).unionByName(
-        days.select("day", F.lit(True).alias("asked")), allowMissingColumns=True
+    following = F.lead("since").over(Window.orderBy("since"))
+    until = F.coalesce(F.date_sub(following, 1), F.col("since"))
+    return changes.withColumn("until", until).select(
+        F.explode(F.sequence("since", "until")).alias("price_day"), "d_price", "n_price"
     )
-    daily = both.groupBy("day").agg(
-        F.max("price").alias("price"), F.max("asked").alias("asked")
-    )
-    so_far = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    carried = daily.withColumn("price", F.last("price", ignorenulls=True).over(so_far))
-    return carried.filter("asked").select("day", "price.d_price", "price.n_price")
+
+
+def with_price(df, prices, day="day"):
+    """Adds to each row the newest price not after the midnight of its day (or NULLs).
+
+    Days behind the last change take the price of its day, so the join is on equal days.
+    """
+    daily = daily_prices(prices)
+    last_day = daily.agg(F.max("price_day")).scalar()
+    dated = df.withColumn("price_day", F.least(F.col(day), last_day))
+    return dated.join(daily, "price_day", "left").drop("price_day")
 
 
 def tariff_report(stats, prices, total="max"):
@@ -116,8 +122,7 @@ def tariff_report(stats, prices, total="max"):
         F.max(F.when(F.col("zone") == "night", F.col("diff_value"))).alias("night_diff"),
         {"max": F.max, "sum": F.sum}[total]("diff_value").alias("total_diff"),
     )
-    days = stats.select(utc_date(F.col("day")).alias("day")).distinct()
-    priced = by_day.join(price_by_day(prices, days), "day", "left")
+    priced = with_price(by_day, prices)
     return priced.select(
         "day",
         "device_id",
