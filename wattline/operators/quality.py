@@ -6,29 +6,28 @@ from pyspark.sql import functions as F
 from wattline.functions.naming import column_name
 
 
-def range_overlaps(ranges):
+def range_overlaps(ranges, keys=("device_id",)):
     """The poll ranges ``[start, start + count)`` that overlap another range of their device.
 
     Ranges are first reduced to one row per device and start, at most 65,536 per device; an
     overlap shows against the furthest end before it or the next start behind it, so no pairs
     are formed. An empty range overlaps where it lies strictly inside another.
     """
+    keys = list(keys)
     known = ranges.withColumn("stop", F.col("start") + F.col("count"))
     full = F.when(F.col("stop") > F.col("start"), 1).otherwise(0)
-    starts = known.groupBy("device_id", "start").agg(
-        F.max("stop").alias("far"), F.sum(full).alias("same")
-    )
-    in_order = Window.partitionBy("device_id").orderBy("start")
+    starts = known.groupBy(*keys, "start").agg(F.max("stop").alias("far"), F.sum(full).alias("same"))
+    in_order = Window.partitionBy(*keys).orderBy("start")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     context = starts.select(
-        "device_id", "start", "same",
+        *keys, "start", "same",
         F.max("far").over(before).alias("far"), F.lead("start").over(in_order).alias("next"),
     )
     stop, start = F.col("stop"), F.col("start")
     clash = (
         (F.col("far") > start) | (F.col("next") < stop) | ((F.col("same") > 1) & (stop > start))
     )
-    return known.join(context, ["device_id", "start"]).filter(clash).select(*known.columns)
+    return known.join(context, [*keys, "start"]).filter(clash).select(*known.columns)
 
 
 def column_type(type_, scale):

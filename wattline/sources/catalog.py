@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.functions.decode import SPACES, WORDS
 from wattline.functions.time import period_seconds
+from wattline.operators.quality import range_overlaps
 from wattline.schemas import CONFIG
 
 Catalog = namedtuple("Catalog", "devices registers ranges rejects")
@@ -96,6 +97,12 @@ def parse_catalog(texts, strict=False):
         .when(F.col("period_seconds").isNull(), "invalid period")
         .when(~F.col("reg_type").isin(*SPACES), "invalid register space"),
     )
+    in_order = ranges.filter(F.col("reason").isNull())
+    clashes = range_overlaps(in_order, ["source", "device_id"]).select(
+        "source", "device_id", "range_no", F.lit("overlapping range").alias("clash")
+    )
+    ranges = ranges.join(clashes, ["source", "device_id", "range_no"], "left")
+    ranges = ranges.withColumn("reason", F.coalesce("reason", "clash")).drop("clash")
     devices = devices.drop("device")
     if strict:
         devices, registers, ranges = (_strict(t) for t in (devices, registers, ranges))
@@ -123,5 +130,5 @@ def _in_address_space(column):
 
 def _strict(table):
     """The table, failing on a row with a reason."""
-    checked = F.when(F.col("reason").isNotNull(), F.raise_error("reason").cast("string"))
+    checked = F.when(F.col("reason").isNotNull(), F.raise_error(F.col("reason")).cast("string"))
     return table.withColumn("reason", checked)
