@@ -17,7 +17,7 @@ from wattline.operators.latest import last_known, last_value_at, period_diff
 from wattline.operators.quality import range_overlaps, wide_columns
 from wattline.operators.refresh import DAY_OFFSETS, refresh_table, refresh_window
 from wattline.operators.series import period_avg, period_values
-from wattline.operators.snapshot import param_history, period_stat, snapshot
+from wattline.operators.snapshot import param_history, snapshot
 from wattline.operators.stats import (
     bucket_stats, tariff_report, tariff_report_sum, tariff_stats, with_price,
 )
@@ -28,7 +28,8 @@ from wattline.sources.telemetry import (
     append_telemetry, distinct_registers, read_telemetry, row_count, write_staging,
 )
 from wattline.sources.wide import (
-    import_wide, missing_columns, unpivot_clean, wide_columns_as_rows,
+    export_headers, import_long, missing_columns, read_export_lines, unpivot_rows, unpivot_table,
+    wide_rows,
 )
 from wattline.streaming.jobs import (
     run_available, stream_deadband, stream_decode, stream_dedup, stream_snapshot,
@@ -235,18 +236,16 @@ def configs(spark, sf):
 
 def exports(spark, sf):
     """Order lines as wide rows, one file per supplier."""
-    lines = read(spark, sf, "lineitem", LINES).select(
+    return read(spark, sf, "lineitem", LINES).select(
         F.col("l_suppkey").cast("string").alias("file"),
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("line_no"),
         F.when(F.col("l_quantity") > 2, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.lit(" ")).alias("Time"),
         F.col("l_quantity").alias("quantity(n)/101"),
         F.col("l_discount").alias("discount(%)/102-103"),
-        F.col("l_tax").alias("tax(℃)/104"),
+        F.col("l_tax").cast("string").alias("tax(℃)/104"),
         F.col("l_returnflag").alias("flag(NA)/105"),
     )
-    columns = ["quantity(n)/101", "discount(%)/102-103", "tax(℃)/104", "flag(NA)/105"]
-    return wide_columns_as_rows(lines, columns)
 
 
 KNOWN = ["quantity(n)", "discount(%)", "tax(C)", "flag(NA)", "pf(NA)"]
@@ -285,6 +284,30 @@ def q_append(spark, sf):
     return read_telemetry(spark, path).drop("date")
 
 
+def export_lines(spark, sf):
+    """The same exports as CSV files written by Spark, each part with its title and header lines."""
+    path = scratch_path(spark, "exports")
+    rows = exports(spark, sf).select("Time", "quantity(n)/101", "discount(%)/102-103", "tax(℃)/104", "flag(NA)/105")
+    header = F.concat_ws(",", *[F.lit(c) for c in rows.columns])
+    text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in rows.columns])
+    lines = rows.select(F.spark_partition_id().alias("part"), text.alias("value"))
+    heads = lines.select("part").distinct().select(
+        "part", F.explode(F.array(F.lit("Report,,,,"), F.lit(",,,,"), header)).alias("value")
+    )
+    files = heads.withColumn("rank", F.lit(0)).unionByName(lines.withColumn("rank", F.lit(1)))
+    files.repartition("part").sortWithinPartitions("part", "rank").select("value").write.text(path)
+    return read_export_lines(spark, path)
+
+
+def q_export_files(spark, sf):
+    lines = export_lines(spark, sf)
+    return unpivot_rows(wide_rows(lines, export_headers(lines)), KNOWN).select("Time", "register_name", "value")
+
+
+def q_missing(spark, sf):
+    return missing_columns(export_headers(export_lines(spark, sf)), KNOWN).select("register_name").distinct()
+
+
 def q_staging(spark, sf):
     path = scratch_path(spark, "staging")
     write_staging(exports_long(spark, sf), path)
@@ -292,7 +315,7 @@ def q_staging(spark, sf):
 
 
 def exports_long(spark, sf):
-    return import_wide(exports(spark, sf), KNOWN)
+    return import_long(unpivot_table(exports(spark, sf), KNOWN))
 
 
 def q_refresh(spark, sf):
@@ -460,7 +483,7 @@ def history_of(spark, sf, fill, by_device=False):
 
 
 def q_constants(spark, sf):
-    rows = unpivot_clean(exports(spark, sf), KNOWN).filter("value is not null")
+    rows = unpivot_table(exports(spark, sf), KNOWN).filter("value is not null")
     return constant_registers(rows, ("file", "register_name", "Time"), "line_no")
 
 
@@ -498,9 +521,7 @@ QUERIES = {
     "param_history": lambda s, d: history_of(s, d, "previous_row"),
     "param_history_locf": lambda s, d: history_of(s, d, "locf"),
     "param_history_by_device": lambda s, d: history_of(s, d, "previous_row", True),
-    "period_stat": lambda s, d: period_stat(
-        param_history(snapshot(meter(s, d)), "1995-01-01", "2002-01-01")
-    ),
+    "period_stat": lambda s, d: period_report(meter(s, d), "1995-01-01", "2002-01-01"),
     "period_report": lambda s, d: rounded_stats(period_report(named_gauges(s, d), START, FINISH)),
     "bucket_stats_1d": lambda s, d: bucket_stats(meter(s, d)),
     "bucket_stats_1h": lambda s, d: rounded_stats(bucket_stats(named_gauges(s, d), "1 hour")),
@@ -530,8 +551,9 @@ QUERIES = {
     "deadband_wide": lambda s, d: deadband_heartbeat(gauges(s, d), "5 minutes", eps=25.0),
     "change_filter": lambda s, d: change_filter(steps(s, d), ["device_id", "register_name"]),
     "wide_import": lambda s, d: exports_long(s, d),
-    "unpivot_clean": lambda s, d: unpivot_clean(exports(s, d), KNOWN).drop("block"),
-    "missing_columns": lambda s, d: missing_columns(exports(s, d), KNOWN),
+    "unpivot_clean": lambda s, d: unpivot_table(exports(s, d), KNOWN).drop("block"),
+    "export_files": q_export_files,
+    "missing_columns": q_missing,
     "constant_registers": q_constants,
     "staging_count": q_staging,
     "append_dedup": q_append,

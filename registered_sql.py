@@ -412,7 +412,8 @@ SQL = {
         WHERE previous IS NULL OR value <> previous""",
     "wide_import": f"WITH {IMPORTED} SELECT * FROM imported",
     "unpivot_clean": f"WITH {EXPORTS} SELECT * FROM long",
-    "missing_columns": """SELECT DISTINCT l_suppkey::VARCHAR AS file, 'pf(NA)' AS register_name FROM lineitem""",
+    "export_files": f"""WITH {EXPORTS} SELECT "Time", register_name, value FROM long""",
+    "missing_columns": "SELECT DISTINCT 'pf(NA)' AS register_name FROM lineitem",
     "constant_registers": f"""WITH {EXPORTS} SELECT file, register_name, "Time", min(line_no) AS line_no
         FROM long WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT value) = 1""",
     "staging_count": f"WITH {IMPORTED} SELECT count(*) AS n_rows FROM imported",

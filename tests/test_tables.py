@@ -17,8 +17,8 @@ from wattline.sources.telemetry import (
     write_staging,
 )
 from wattline.sources.wide import (
-    bad_exports, export_headers, import_wide, missing_columns, read_export_lines, read_wide_exports,
-    wide_columns_as_rows, wide_rows,
+    bad_exports, export_headers, import_long, import_wide, missing_columns, read_export_lines,
+    read_wide_exports, unpivot_table,
 )
 from wattline.streaming.jobs import (
     append_batches, run_available, stream_dedup, stream_snapshot, stream_tariff_stats, upsert_batches,
@@ -218,7 +218,7 @@ def test_import_of_exports(spark, folder):
 
 def test_columns_and_bad_files(spark, folder):
     lines = read_export_lines(spark, folder)
-    missing = missing_columns(wide_rows(lines, export_headers(lines)), KNOWN)
+    missing = missing_columns(export_headers(lines), KNOWN)
     got = sorted((r["file"][-5:], r["register_name"]) for r in missing.collect())
     assert got == [("a.csv", "pf(NA)"), ("b.csv", "pf(NA)")] + [("c.csv", k) for k in sorted(KNOWN)]
     assert [r["file"][-5:] for r in bad_exports(lines).collect()] == ["d.csv"]
@@ -228,12 +228,13 @@ def test_import_of_a_wide_table(spark):
     lines = [line.split(",") for line in EXPORT.replace('"', "").splitlines()[3:]]
     names = ["batteryTemp(℃)/586", "totalUsed(kWh)/527-528", "unknown/999"]
     df = spark.createDataFrame([("f", i, *line) for i, line in enumerate(lines)], ["file", "line_no", "Time", *names])
-    got = import_wide(wide_columns_as_rows(df, names), KNOWN)
+    got = import_long(unpivot_table(df, KNOWN))
     assert rows(got.select("timestamp", "register_name", "value")) == LONG
 
 
 def test_zero_goes_after_the_change_filter(spark):
     data = [("f", i, f"{DAY} 10:0{i}:00", v, "1") for i, v in enumerate(["5", "0", "5", "NaN", "1d", " 6 ", "6.0", "1e1"])]
     df = spark.createDataFrame(data, ["file", "line_no", "Time", "a", "b"])
-    got = import_wide(wide_columns_as_rows(df, ["a", "b"]), ["a", "b"])
+    got = import_long(unpivot_table(df, ["a", "b"]))
+    assert unpivot_table(df, ["none"]).count() == 0
     assert [v for _, r, v in rows(got.select("timestamp", "register_name", "value")) if r == "a"] == [5.0, 5.0, 6.0, 10.0]

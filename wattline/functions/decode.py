@@ -1,7 +1,8 @@
 """Register words to numbers, as column expressions.
 
-Words are 16-bit integers, low word first. All arithmetic is on LONG, DOUBLE or DECIMAL, since
-ANSI mode raises on INT overflow.
+Words are 16-bit integers, low word first. All arithmetic is on LONG or DOUBLE, since ANSI mode
+raises on INT overflow. The expressions are kept short: Spark generates one method for a whole
+stage, and the JVM leaves methods above 8,000 bytes of bytecode uncompiled, many times slower.
 """
 
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ SPACES = ["coil", "discrete", "input", "holding"]
 PRECISION_DEVICE = 1
 PRECISION_ADDRESS = 540
 
+# From here on a DOUBLE is beyond the 64-bit integers.
+LONG_END = float(2**63)
+
 
 def word_count(type_):
     """Number of words a register type takes."""
@@ -24,36 +28,35 @@ def word_count(type_):
     return count
 
 
+def words_at(words, offset):
+    """Up to four words from ``offset`` on as LONG, NULL beyond the end."""
+    return [F.get(words, offset + i).cast("long") for i in range(4)]
+
+
 def decode_words(type_, words):
     """DOUBLE value of a register's words; 0.0 if there are too few of them."""
+    return number(type_, *words_at(words, F.lit(0)))
 
-    def word(i):
-        return F.get(words, F.lit(i)).cast("long")
 
-    low, high = word(0), word(1)
-    pair = high * F.lit(65_536) + low
-    big = F.lit(65_536).cast("decimal(20,0)")
-    quad = word(3).cast("decimal(20,0)")
-    for i in (2, 1, 0):
-        quad = (quad * big + word(i)).cast("decimal(20,0)")
+def number(type_, w0, w1, w2, w3):
+    """DOUBLE value of a register from its words; a needed word that is NULL makes it 0.0."""
+    low, high = w0 + w1 * 65_536, w2 + w3 * 65_536
     value = (
-        F.when(type_ == "uint16", low.cast("double"))
-        .when(type_ == "int16", F.when(low >= 32_768, low - 65_536).otherwise(low).cast("double"))
-        .when(type_ == "uint32", pair.cast("double"))
-        .when(
-            type_ == "int32",
-            F.when(high >= 32_768, pair - F.lit(4_294_967_296)).otherwise(pair).cast("double"),
-        )
-        .when(type_ == "float32", float32(low, high))
-        .when(type_ == "uint64", quad.cast("double"))
+        F.when(type_ == "uint16", w0.cast("double"))
+        .when(type_ == "int16", F.when(w0 >= 32_768, w0 - 65_536).otherwise(w0).cast("double"))
+        .when(type_ == "uint32", low.cast("double"))
+        .when(type_ == "int32", F.when(w1 >= 32_768, low - F.lit(2**32)).otherwise(low).cast("double"))
+        .when(type_ == "float32", float32(w0, w1))
+        # Both halves are exact as DOUBLE, so their sum is rounded once, as it should be.
+        .when(type_ == "uint64", high.cast("double") * float(2**32) + low.cast("double"))
     )
-    return F.when(F.size(words) >= word_count(type_), value).otherwise(F.lit(0.0))
+    return F.coalesce(value, F.lit(0.0))
 
 
 def float32(low, high):
     """IEEE 754 single precision from its two words."""
     sign = F.when(high >= 32_768, F.lit(-1.0)).otherwise(F.lit(1.0))
-    exponent = F.floor(high / 128) % 256
+    exponent = F.shiftright(high, 7) % 256
     mantissa = ((high % 128) * F.lit(65_536) + low).cast("double")
     return (
         F.when(exponent == 255, F.when(mantissa == 0, sign * F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
@@ -64,19 +67,20 @@ def float32(low, high):
 
 def raw_value(value):
     """The decoded number without its fraction; NULL where no 64-bit integer holds it."""
-    return value.try_cast("bigint")
+    return F.when(F.abs(value) < LONG_END, value.cast("bigint"))
 
 
 def precision_first(value):
     """Leading digit d of the rounded number says how far its remaining digits move right.
 
-    2253 has leading digit 2 and remainder 253, hence 2.53. Zero and negatives stay as they are.
+    2253 has leading digit 2 and remaining digits 253, hence 2.53. Zero and negatives stay.
     """
-    whole = F.round(value).try_cast("bigint")
+    below = F.floor(value)
+    whole = below + F.when(value - below >= 0.5, 1).otherwise(0)
     digits = whole.cast("string")
-    top = F.pow(F.lit(10.0), (F.length(digits) - 1).cast("double")).cast("long")
-    back = F.pow(F.lit(10.0), -F.substring(digits, 1, 1).try_cast("double"))
-    return F.when(whole > 0, (whole % top).cast("double") * back).otherwise(value)
+    rest = F.concat(F.lit("0"), F.substring(digits, 2, 20)).cast("double")
+    moved = rest * F.pow(F.lit(10.0), -F.left(digits, F.lit(1)).cast("double"))
+    return F.when((value >= 0.5) & (value < LONG_END), moved).otherwise(value)
 
 
 def default_preprocess(device_id, address, value):

@@ -18,6 +18,12 @@ def clean_header(header):
     return F.replace(name, F.lit("℃"), F.lit("C"))
 
 
+def clean_name(header):
+    """The same for a header that is known when the query is written."""
+    name = re.sub(r"/[0-9]{3}-[0-9]{3}$", "", re.sub(r"/[0-9]{3}$", "", header))
+    return name.replace("℃", "C")
+
+
 def display_name(register, friendly, unit, friendly_name=False, add_unit=False):
     """The raw name, or the friendly one where there is one, with its unit on request."""
     if not friendly_name:

@@ -9,46 +9,48 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-def chunk_seeds(df, keys, chunk, order, cols, skip_nulls=False):
-    """Per key and chunk, the values that earlier chunks hand over, as ``seed_<col>``."""
-    order = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    if skip_nulls:
-        tail = [F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(f"seed_{c}") for c in cols]
-        tails = df.groupBy(*keys, chunk).agg(*tail)
-        before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-        seeds = [F.last(f"seed_{c}", ignorenulls=True).over(before).alias(f"seed_{c}") for c in cols]
-        return tails.select(*keys, chunk, *seeds)
-    tails = df.groupBy(*keys, chunk).agg(*[F.max_by(c, order).alias(f"seed_{c}") for c in cols])
-    by_chunk = Window.partitionBy(*keys).orderBy(chunk)
-    return tails.select(
-        *keys, chunk, *[F.lag(f"seed_{c}").over(by_chunk).alias(f"seed_{c}") for c in cols]
-    )
+def carried_tails(df, keys, chunk, order, cols):
+    """Per key and chunk, the last non-NULL values of all earlier chunks, as ``seed_<col>``."""
+    tail = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"seed_{c}") for c in cols]
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = [F.last(f"seed_{c}", ignorenulls=True).over(before).alias(f"seed_{c}") for c in cols]
+    return df.groupBy(*keys, chunk).agg(*tail).select(*keys, chunk, *seeds)
 
 
 def with_previous(df, keys, chunk, order, cols):
     """Adds ``prev_<col>`` of the preceding row, per key in the given order (NULL at the first)."""
     in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
-    seeds = chunk_seeds(df, keys, chunk, order, cols)
-    numbered = df.withColumn("row_in_chunk", F.row_number().over(in_chunk)).withColumns(
-        {f"prev_{c}": F.lag(c).over(in_chunk) for c in cols}
-    )
-    joined = numbered.join(seeds, [*keys, chunk], "left")
+    numbered = df.withColumns({
+        "row_in_chunk": F.row_number().over(in_chunk),
+        "is_tail": F.lead(F.lit(True)).over(in_chunk).isNull(),
+        **{f"prev_{c}": F.lag(c).over(in_chunk) for c in cols},
+    })
+    if len(order) == 1:
+        # A plain ordering lets the tails be aggregated by hash ahead of their shuffle.
+        tails = df.groupBy(*keys, chunk).agg(*[F.max_by(c, order[0]).alias(c) for c in cols])
+    else:
+        # Otherwise they are picked behind the window, whose shuffle is then used twice.
+        tails = numbered.filter("is_tail").select(*keys, chunk, *cols)
+    by_chunk = Window.partitionBy(*keys).orderBy(chunk)
+    seeds = tails.select(*keys, chunk, *[F.lag(c).over(by_chunk).alias(f"seed_{c}") for c in cols])
     at_head = F.col("row_in_chunk") == 1
-    return joined.withColumns(
+    return numbered.join(seeds, [*keys, chunk], "left").withColumns(
         {f"prev_{c}": F.when(at_head, F.col(f"seed_{c}")).otherwise(F.col(f"prev_{c}")) for c in cols}
-    ).drop("row_in_chunk", *[f"seed_{c}" for c in cols])
+    ).drop("row_in_chunk", "is_tail", *[f"seed_{c}" for c in cols])
 
 
 def fill_gaps(df, keys, chunk, order, cols, fill="previous_row"):
     """NULLs of ``cols`` replaced from the preceding row, or (``locf``) from the last non-NULL."""
     if fill == "previous_row":
-        # The row travels as one column, so there is one window function however wide it is.
-        packed = df.withColumn("row", F.struct(*cols))
+        # The filled columns travel as one, so there is one window function however many they are.
+        rest = [c for c in df.columns if c not in cols]
+        packed = df.select(*rest, F.struct(*cols).alias("row"))
         known = with_previous(packed, keys, chunk, order, ["row"])
-        return known.withColumns({c: F.coalesce(c, f"prev_row.{c}") for c in cols}).drop("row", "prev_row")
+        filled = [F.coalesce(f"row.{c}", f"prev_row.{c}").alias(c) for c in cols]
+        return known.select(*rest, *filled)
     if fill != "locf":
         raise ValueError(f"unknown fill: {fill!r}")
-    seeds = chunk_seeds(df, keys, chunk, order, cols, skip_nulls=True)
+    seeds = carried_tails(df, keys, chunk, order[0], cols)
     up_to_row = (
         Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )

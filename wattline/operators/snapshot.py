@@ -74,9 +74,9 @@ def snapshot_long(telemetry, width="1 minute", time="minutets"):
 
 def param_history(
     snapshots, start, end=None, fill="previous_row", by_device=False, decimal=False,
-    warm_up=WARM_UP, time="minutets",
+    warm_up=WARM_UP, time="minutets", newest_first=True,
 ):
-    """Snapshots of ``[start, end]``, newest first, with empty cells filled.
+    """Snapshots of ``[start, end]`` with empty cells filled, newest first unless told otherwise.
 
     ``previous_row`` looks exactly one row back, as SQL's ``last_value`` does; ``locf`` carries
     the last value forward. The warm-up supplies what comes before ``start``.
@@ -89,11 +89,8 @@ def param_history(
     rows = rows.withColumn("day", utc_date(F.col("time")))
     filled = fill_gaps(rows, keys, "day", ["time"], cols, fill)
     values = [F.col(c).cast("decimal(38,10)").alias(c) for c in cols] if decimal else cols
-    return (
-        filled.filter(F.col("time").between(low, high))
-        .select("time", *keys, *values)
-        .orderBy(F.desc("time"), *keys)
-    )
+    history = filled.filter(F.col("time").between(low, high)).select("time", *keys, *values)
+    return history.orderBy(F.desc("time"), *keys) if newest_first else history
 
 
 def statistic(stat, value):

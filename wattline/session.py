@@ -6,20 +6,31 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings that queries rely on (UTC) or run better with. HotSpot leaves methods above 8,000 bytes
+# uncompiled; with the limit, Spark falls back to its split-up code for such (wide) stages.
+SETTINGS = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
 def build_session(app="wattline", master=None, **conf):
-    """A session with the settings the operators expect (UTC, adaptive execution)."""
-    builder = (
-        SparkSession.builder.appName(app)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    )
+    """A session with the settings the operators expect."""
+    builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return tune(builder.getOrCreate())
+
+
+def tune(spark):
+    """Puts the settings on a session that is already there."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def shared_dir(spark):

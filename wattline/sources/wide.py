@@ -1,8 +1,10 @@
 """Wide spreadsheet exports into rows of the long table."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from wattline.functions.naming import clean_header
+from wattline.functions.naming import clean_header, clean_name
 from wattline.operators.changes import change_filter
 
 # A comma outside double quotes.
@@ -63,52 +65,68 @@ def wide_rows(lines, headers):
     )
 
 
-def wide_columns_as_rows(df, columns, time="Time", file="file", line_no="line_no"):
-    """The same rows from a wide DataFrame, ``columns`` being its register columns."""
-    cells = F.array(*[
-        F.struct(
-            clean_header(F.lit(c)).alias("register_name"), F.col(f"`{c}`").cast("string").alias("raw")
-        )
-        for c in columns
-    ])
-    return df.select(
-        F.col(file).alias("file"), F.lit(0).cast("long").alias("block"),
-        F.col(line_no).cast("long").alias("line_no"),
-        F.col(time).cast("string").alias("Time"), cells.alias("cells"),
-    )
-
-
 def numeric(raw):
     """Number in a cell, NULL if it is none."""
     return F.when(raw.rlike(_NUMBER), raw.try_cast("double"))
 
 
-def clean_cells(rows, known):
-    """Cells of known registers as numbers; rows without time or without a non-zero value go."""
+def unpivot_rows(rows, known):
+    """Long rows of the known registers, NULLs included.
+
+    Rows without a time or without any non-zero value go first, as they do in ``unpivot_table``.
+    """
     kept = F.filter("cells", lambda c: c["register_name"].isin(list(known)))
     values = F.transform(
         kept, lambda c: F.struct(c["register_name"].alias("register_name"), numeric(c["raw"]).alias("value"))
     )
     cleaned = rows.withColumn("cells", values).filter(F.trim("Time") != "")
-    return cleaned.filter(F.exists("cells", lambda c: c["value"] != 0))
+    return cleaned.filter(F.exists("cells", lambda c: c["value"] != 0)).select(
+        "file", "block", "line_no", "Time", F.inline("cells")
+    )
 
 
-def unpivot_clean(rows, known):
-    """Long rows of the cleaned cells, NULLs included."""
-    return clean_cells(rows, known).select(
-        "file", "block", "line_no", "Time", F.inline("cells")
+def unpivot_table(df, known, time="Time", file="file", line_no="line_no"):
+    """The same from a wide table whose columns are known when the query is written.
+
+    Plain columns instead of arrays of cells keep this in generated code.
+    """
+    texts = dict(df.dtypes)
+    named = {c: clean_name(c) for c in df.columns if c not in (time, file, line_no)}
+    kept = {c: name for c, name in named.items() if name in known}
+    numbers = {
+        c: numeric(F.col(f"`{c}`")) if texts[c] == "string" else F.col(f"`{c}`").cast("double") for c in kept
+    }
+    rows = df.select(
+        F.col(file).alias("file"), F.lit(0).cast("long").alias("block"),
+        F.col(line_no).cast("long").alias("line_no"), F.col(time).cast("string").alias("Time"),
+        *[value.alias(f"c{i}") for i, value in enumerate(numbers.values())],
+    )
+    nonzero = [F.coalesce(F.col(f"c{i}") != 0, F.lit(False)) for i in range(len(kept))]
+    some = reduce(lambda a, b: a | b, nonzero, F.lit(False))
+    cells = F.array(*[
+        F.struct(F.lit(name).alias("register_name"), F.col(f"c{i}").alias("value"))
+        for i, name in enumerate(kept.values())
+    ])
+    if not kept:
+        cells = cells.cast("array<struct<register_name: string, value: double>>")
+    return rows.filter((F.trim("Time") != "") & some).select(
+        "file", "block", "line_no", "Time", F.inline(cells)
     )
 
 
 def import_wide(rows, known, device_id=1):
-    """Long rows of an import: known registers, changes only within each file, no NULLs or zeros.
+    """Long rows of an import from the rows of its files."""
+    return import_long(unpivot_rows(rows, known), device_id)
+
+
+def import_long(long_rows, device_id=1):
+    """The readings to store: changes only within each file, no NULLs or zeros.
 
     Zeros and NULLs go after the change filter, so a value that returns after one is kept. A row
     with an unreadable time is left out.
     """
-    long_rows = unpivot_clean(rows, known)
     timed = long_rows.withColumn("timestamp", F.try_to_timestamp("Time")).filter(
-        F.col("timestamp").isNotNull()
+        "timestamp IS NOT NULL AND file IS NOT NULL AND register_name IS NOT NULL"
     )
     changed = change_filter(
         timed, ["file", "register_name"], order=("timestamp", "block", "line_no")
@@ -120,10 +138,7 @@ def import_wide(rows, known, device_id=1):
     )
 
 
-def missing_columns(rows, known):
+def missing_columns(headers, known):
     """Per file, the known registers it has no column for."""
-    present = rows.groupBy("file").agg(
-        F.array_distinct(F.flatten(F.collect_set(F.col("cells.register_name")))).alias("present")
-    )
     wanted = F.array(*[F.lit(k) for k in known])
-    return present.select("file", F.explode(F.array_except(wanted, "present")).alias("register_name"))
+    return headers.select("file", F.explode(F.array_except(wanted, "header")).alias("register_name"))
