@@ -11,7 +11,7 @@ from wattline.operators.frames import (
 from wattline.operators.quality import cast_wide, range_overlaps, schema_drift, wide_columns
 from wattline.operators.snapshot import snapshot
 from wattline.plans.reports import ingest_frames
-from wattline.sources.catalog import parse_catalog, read_register_catalog
+from wattline.sources.catalog import parse_catalog, read_address_specs, read_register_catalog
 from wattline.sources.telemetry import read_frames
 
 REGISTER = """device_id int, register_no int, address int, name string, type string, reg_type string,
@@ -124,6 +124,12 @@ def test_address_specs(spark, spec, expected):
     assert [a for _, a in got] == expected
 
 
+def test_address_spec_files(spark, tmp_path):
+    (tmp_path / "specs.txt").write_text("5-6\n\n  9 \t\n7,8\n")
+    specs = read_address_specs(spark, str(tmp_path / "specs.txt"))
+    assert rows(specs) == [("5-6",), ("7,8",), ("9",)]
+
+
 def test_resolve_takes_the_later_definition(spark):
     regs = registers(spark, [(1, 5, "old", "uint16"), (1, 5, "new", "uint16"), (1, 7, "x", "uint16"), (2, 6, "y", "uint16")])
     specs = spark.createDataFrame([(1, "7,5-9"), (1, "5-7"), (1, "7,6")], "device_id int, spec string")

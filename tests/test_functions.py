@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wattline.functions.decode import (
-    adjusted_address, decode_words, near, precision_first, raw_value, word_count,
+    adjusted_address, decode_words, has_wire_address, near, precision_first, raw_value, word_count,
 )
 from wattline.functions.naming import clean_header, column_name, display_name
 from wattline.functions.tariff import tariff_zone
@@ -92,6 +92,8 @@ def test_addresses_count_from_one(spark):
         return one(spark, adjusted_address(F.lit(address), F.lit(is_zero)))
 
     assert [wire(5, True), wire(5, False), wire(0, False)] == [5, 4, 0]
+    valid = [one(spark, has_wire_address(F.lit(a), F.lit(z))) for a, z in ((0, True), (0, False), (1, False))]
+    assert valid == [True, False, True]
 
 
 def test_near(spark):

@@ -18,7 +18,7 @@ from wattline.sources.telemetry import (
 )
 from wattline.sources.wide import (
     bad_exports, export_headers, import_long, import_wide, missing_columns, read_export_lines,
-    read_wide_exports, unpivot_table,
+    read_wide_exports, read_xlsx_lines, unpivot_table,
 )
 from wattline.streaming.jobs import (
     append_batches, run_available, stream_dedup, stream_snapshot, stream_tariff_stats, upsert_batches,
@@ -58,6 +58,7 @@ def test_filters_prune_days(spark, telemetry, tmp_path):
     path = str(tmp_path / "t")
     append_telemetry(spark, telemetry([(1, f"2024-01-{d:02} 10:00:00", "a", 1.0) for d in range(1, 20)]), path)
     df = last_value_at(read_telemetry(spark, path), "2024-01-05 12:00:00", ["a"])
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = df._jdf.queryExecution().executedPlan().toString()
     scan = next(line for line in plan.splitlines() if "FileScan parquet" in line)
     assert "PartitionFilters: [isnotnull(date" in scan and "(date" in scan and "2024-01-05" in scan
@@ -224,6 +225,66 @@ def test_columns_and_bad_files(spark, folder):
     assert [r["file"][-5:] for r in bad_exports(lines).collect()] == ["d.csv"]
 
 
+def workbook(path, rows, shared=True):
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    texts, body = [], []
+    for y, row in enumerate(rows, 1):
+        cells = []
+        for x, value in enumerate(row):
+            place = f"{'ABCDE'[x]}{y}"
+            if value is None:
+                continue
+            if isinstance(value, str) and shared:
+                texts.append(f"<si><t>{escape(value)}</t></si>")
+                cells.append(f'<c r="{place}" t="s"><v>{len(texts) - 1}</v></c>')
+            elif isinstance(value, str):
+                cells.append(f'<c r="{place}" t="inlineStr"><is><t>{escape(value)}</t></is></c>')
+            else:
+                cells.append(f'<c r="{place}"><v>{value}</v></c>')
+        body.append(f'<row r="{y}">{"".join(cells)}</row>')
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{''.join(body)}</sheetData></worksheet>")
+        if shared:
+            book.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(texts)}</sst>")
+
+
+def test_import_of_workbooks(spark, tmp_path):
+    head = [["Report"], [None], ["totalUsed(kWh)/527-528", "Time", "batteryTemp(℃)/586"]]
+    workbook(tmp_path / "a.xlsx", head + [[100, "2024-01-01 00:00:00", 21.5], [100, "2024-01-01 00:05:00", None]])
+    # The same times as days since 1899-12-30.
+    workbook(tmp_path / "b.xlsx", head + [[7, 45292, None], [8, 45292 + 1 / 288, 1]], shared=False)
+    (tmp_path / "c.xlsx").write_bytes(b"no workbook")
+    got = import_wide(read_wide_exports(spark, str(tmp_path), xlsx=True), KNOWN)
+    assert [(f[-6], t, r, v) for f, t, r, v in rows(got.select("file", "timestamp", "register_name", "value"))] == [
+        ("a", "2024-01-01 00:00:00", "batteryTemp(C)", 21.5), ("a", "2024-01-01 00:00:00", "totalUsed(kWh)", 100.0),
+        ("b", "2024-01-01 00:00:00", "totalUsed(kWh)", 7.0), ("b", "2024-01-01 00:05:00", "batteryTemp(C)", 1.0),
+        ("b", "2024-01-01 00:05:00", "totalUsed(kWh)", 8.0),
+    ]
+    assert [r["file"][-6:] for r in bad_exports(read_xlsx_lines(spark, str(tmp_path))).collect()] == ["c.xlsx"]
+
+
+def test_append_lists_only_the_days_it_touches(spark, telemetry, tmp_path):
+    from wattline.sources.telemetry import new_rows
+
+    path = str(tmp_path / "t")
+    append_telemetry(spark, telemetry([(1, f"2024-01-{d:02} 10:00:00", "a", 1.0) for d in range(1, 20)]), path)
+    # A file of another day that no reader gets through.
+    other = os.path.join(path, "date=2024-01-19")
+    for name in os.listdir(other):
+        with open(os.path.join(other, name), "wb") as broken:
+            broken.write(b"broken")
+    batch = telemetry([(1, "2024-01-05 10:00:00", "a", 2.0), (1, "2024-01-06 11:00:00", "a", 2.0)])
+    df = new_rows(batch, read_telemetry(spark, path))
+    assert rows(df.select("timestamp")) == [("2024-01-06 11:00:00",)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "date" in line)
+    filters = scan[scan.index("PartitionFilters"):scan.index("PushedFilters")]
+    assert "Subquery" in filters
+
+
 def test_import_of_a_wide_table(spark):
     lines = [line.split(",") for line in EXPORT.replace('"', "").splitlines()[3:]]
     names = ["batteryTemp(℃)/586", "totalUsed(kWh)/527-528", "unknown/999"]

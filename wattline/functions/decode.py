@@ -94,6 +94,11 @@ def adjusted_address(address, is_zero):
     return F.when(is_zero, address).otherwise(F.greatest(address - 1, F.lit(0)))
 
 
+def has_wire_address(address, is_zero):
+    """False for address 0 of a device that counts from one."""
+    return is_zero | (address > 0)
+
+
 def near(a, b, eps=1e-9):
     """True if two values are equal within ``eps``."""
     return F.abs(a - b) < F.lit(eps)

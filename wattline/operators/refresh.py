@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattline.functions.time import (
     ORIGIN_SECONDS, as_datetime, as_timestamp, in_range, utc_date, width_micros,
 )
-from wattline.sources.telemetry import table_exists, write_by_date
+from wattline.sources.telemetry import table_exists, within_days, write_by_date
 
 # How far back and up to when the scheduled refresh of each aggregate looks.
 MINUTE_OFFSETS = ("2 hours", "1 minute")
@@ -68,12 +68,12 @@ def refresh_table(spark, telemetry, build, path, window, time):
 def upsert_table(spark, rows, path, keys, time):
     """Replaces or adds rows by key in the days they touch (writes); safe to repeat.
 
-    ``rows`` is read twice: it must be a table or a persisted batch.
+    ``rows`` is read several times: it should be a table or a persisted batch.
     """
     dated = rows.withColumn("date", utc_date(F.col(time)))
     merged = dated
     if table_exists(spark, path):
         days = dated.select("date").distinct()
-        stored = spark.read.parquet(path).join(days, "date", "left_semi")
+        stored = within_days(spark.read.parquet(path), dated).join(days, "date", "left_semi")
         merged = stored.join(dated.select(*keys), keys, "left_anti").unionByName(dated)
     write_by_date(merged, path, mode="overwrite", sort=())

@@ -20,6 +20,12 @@ def read_register_catalog(spark, path, strict=False):
     return parse_catalog(texts, strict=strict)
 
 
+def read_address_specs(spark, path):
+    """Address specs from text files, one per line; blank lines are left out."""
+    lines = spark.read.text(path).select(F.trim("value", F.lit(" \t\r\n")).alias("spec"))
+    return lines.filter("spec <> ''")
+
+
 def parse_catalog(texts, strict=False):
     """The catalog from rows of (source, json).
 

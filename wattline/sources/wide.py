@@ -1,7 +1,12 @@
 """Wide spreadsheet exports into rows of the long table."""
 
+import io
+import re
+import zipfile
 from functools import reduce
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wattline.functions.naming import clean_header, clean_name
@@ -11,6 +16,11 @@ from wattline.operators.changes import change_filter
 _COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
+_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+# Fixed value: day 0 of spreadsheet dates, 1899-12-30, in days before 1970.
+_SHEET_EPOCH_DAYS = 25_569
+
 
 def _cells(line):
     unquoted = F.transform(
@@ -29,38 +39,90 @@ def read_export_lines(spark, path):
     )
 
 
+def read_xlsx_lines(spark, path):
+    """The same from the first sheet of ``.xlsx`` files; an unreadable file gives one line only.
+
+    A sheet holds at most 1,048,576 rows, so a file is the unit of work, and files are spread
+    over the tasks.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    lines = files.select("path", "content").mapInPandas(
+        _sheet_lines, "file string, line_no long, cells array<string>"
+    )
+    return lines.select("file", F.lit(0).cast("long").alias("block"), "line_no", "cells")
+
+
+def _sheet_lines(batches):
+    for pdf in batches:
+        for file, content in zip(pdf["path"], pdf["content"]):
+            try:
+                rows = sheet_rows(content)
+            except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+                rows = [[f"unreadable: {error}"]]
+            for start in range(0, len(rows), 10_000):
+                part = rows[start:start + 10_000]
+                yield pd.DataFrame({
+                    "file": file, "line_no": range(start, start + len(part)), "cells": part,
+                })
+
+
+def sheet_rows(content):
+    """Cells of the first sheet of a workbook, as text; None where a cell is empty."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    shared = []
+    if "xl/sharedStrings.xml" in book.namelist():
+        for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot():
+            shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
+    rows = []
+    for row in ElementTree.parse(book.open("xl/worksheets/sheet1.xml")).iter(f"{_SHEET}row"):
+        cells = []
+        for cell in row.iter(f"{_SHEET}c"):
+            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
+            place = reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0) or len(cells) + 1
+            cells += [None] * (place - len(cells))
+            value = cell.find(f"{_SHEET}v")
+            if cell.get("t") == "inlineStr":
+                cells[place - 1] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
+            elif value is not None:
+                cells[place - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+        rows.append(cells)
+    return rows
+
+
 def export_headers(lines):
-    """One row per file: its cleaned header, the line whose first cell is ``Time``."""
-    heads = lines.filter(F.get("cells", F.lit(0)) == "Time")
+    """One row per file: its cleaned header, the first line with a cell ``Time``."""
+    heads = lines.filter(F.array_contains("cells", "Time"))
     return heads.groupBy("file").agg(
-        F.min_by(F.transform("cells", clean_header), F.struct("block", "line_no")).alias("header")
+        F.min_by(
+            F.transform("cells", lambda c: clean_header(F.coalesce(c, F.lit("")))), F.struct("block", "line_no")
+        ).alias("header")
     )
 
 
 def bad_exports(lines):
     """Files without a header line; the import leaves them out."""
     files = lines.groupBy("file").agg(
-        F.max(F.get("cells", F.lit(0)) == "Time").alias("has_header")
+        F.max(F.coalesce(F.array_contains("cells", "Time"), F.lit(False))).alias("has_header")
     )
     return files.filter(~F.col("has_header")).select("file")
 
 
-def read_wide_exports(spark, path):
+def read_wide_exports(spark, path, xlsx=False):
     """Rows of all exports of a folder: file, place, Time and cells (register_name, raw).
 
     Every file brings its own header, so files with different columns are read in one plan.
     """
-    lines = read_export_lines(spark, path)
+    lines = read_xlsx_lines(spark, path) if xlsx else read_export_lines(spark, path)
     return wide_rows(lines, export_headers(lines))
 
 
 def wide_rows(lines, headers):
     named = lines.join(headers, "file")
-    first = F.get("cells", F.lit(0))
+    time = F.get("cells", F.array_position("header", "Time").cast("int") - 1)
     pairs = F.arrays_zip(F.col("header").alias("register_name"), F.col("cells").alias("raw"))
     # The header and what stands above it hold no time and go with the other unreadable rows.
-    return named.filter(first != "Time").select(
-        "file", "block", "line_no", first.alias("Time"),
+    return named.filter(time != "Time").select(
+        "file", "block", "line_no", time.alias("Time"),
         F.filter(pairs, lambda p: p["register_name"] != "Time").alias("cells"),
     )
 
@@ -70,6 +132,14 @@ def numeric(raw):
     return F.when(raw.rlike(_NUMBER), raw.try_cast("double"))
 
 
+def time_of(text):
+    """Time of a row: text, or a spreadsheet's number of days; NULL if unreadable."""
+    days = F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    seconds = F.round((days - _SHEET_EPOCH_DAYS) * 86_400, 3)
+    sheet = F.when(days.between(1, 2_958_465), F.timestamp_millis((seconds * 1000).cast("long")))
+    return F.when(days.isNotNull(), sheet).otherwise(F.try_to_timestamp(text))
+
+
 def unpivot_rows(rows, known):
     """Long rows of the known registers, NULLs included.
 
@@ -125,7 +195,7 @@ def import_long(long_rows, device_id=1):
     Zeros and NULLs go after the change filter, so a value that returns after one is kept. A row
     with an unreadable time is left out.
     """
-    timed = long_rows.withColumn("timestamp", F.try_to_timestamp("Time")).filter(
+    timed = long_rows.withColumn("timestamp", time_of(F.col("Time"))).filter(
         "timestamp IS NOT NULL AND file IS NOT NULL AND register_name IS NOT NULL"
     )
     changed = change_filter(
