@@ -551,7 +551,7 @@ QUERIES = {
     "deadband_wide": lambda s, d: deadband_heartbeat(gauges(s, d), "5 minutes", eps=25.0),
     "change_filter": lambda s, d: change_filter(steps(s, d), ["device_id", "register_name"]),
     "wide_import": lambda s, d: exports_long(s, d),
-    "unpivot_clean": lambda s, d: unpivot_table(exports(s, d), KNOWN).drop("block"),
+    "unpivot_clean": lambda s, d: unpivot_table(exports(s, d), KNOWN).drop("block", "timestamp"),
     "export_files": q_export_files,
     "missing_columns": q_missing,
     "constant_registers": q_constants,

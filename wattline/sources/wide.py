@@ -133,15 +133,16 @@ def numeric(raw):
 
 
 def time_of(text):
-    """Time of a row: text, or a spreadsheet's number of days; NULL if unreadable."""
+    """Time of a row: a date in text, or a spreadsheet's number of days; NULL if unreadable."""
+    dashed = F.translate(text, "/", "-")
     days = F.when(text.rlike(_NUMBER), text.try_cast("double"))
     seconds = F.round((days - _SHEET_EPOCH_DAYS) * 86_400, 3)
     sheet = F.when(days.between(1, 2_958_465), F.timestamp_millis((seconds * 1000).cast("long")))
-    return F.when(days.isNotNull(), sheet).otherwise(F.try_to_timestamp(text))
+    return F.when(F.contains(dashed, F.lit("-")), F.try_to_timestamp(dashed)).otherwise(sheet)
 
 
 def unpivot_rows(rows, known):
-    """Long rows of the known registers, NULLs included.
+    """Long rows of the known registers, NULLs included, with the time also as a timestamp.
 
     Rows without a time or without any non-zero value go first, as they do in ``unpivot_table``.
     """
@@ -151,7 +152,7 @@ def unpivot_rows(rows, known):
     )
     cleaned = rows.withColumn("cells", values).filter(F.trim("Time") != "")
     return cleaned.filter(F.exists("cells", lambda c: c["value"] != 0)).select(
-        "file", "block", "line_no", "Time", F.inline("cells")
+        "file", "block", "line_no", "Time", time_of(F.col("Time")).alias("timestamp"), F.inline("cells")
     )
 
 
@@ -180,7 +181,7 @@ def unpivot_table(df, known, time="Time", file="file", line_no="line_no"):
     if not kept:
         cells = cells.cast("array<struct<register_name: string, value: double>>")
     return rows.filter((F.trim("Time") != "") & some).select(
-        "file", "block", "line_no", "Time", F.inline(cells)
+        "file", "block", "line_no", "Time", time_of(F.col("Time")).alias("timestamp"), F.inline(cells)
     )
 
 
@@ -195,11 +196,12 @@ def import_long(long_rows, device_id=1):
     Zeros and NULLs go after the change filter, so a value that returns after one is kept. A row
     with an unreadable time is left out.
     """
-    timed = long_rows.withColumn("timestamp", time_of(F.col("Time"))).filter(
+    timed = long_rows.drop("Time").filter(
         "timestamp IS NOT NULL AND file IS NOT NULL AND register_name IS NOT NULL"
     )
+    # Exports have few rows a day; a month of one register in a file is still a small piece.
     changed = change_filter(
-        timed, ["file", "register_name"], order=("timestamp", "block", "line_no")
+        timed, ["file", "register_name"], order=("timestamp", "block", "line_no"), days=30
     )
     return changed.filter("value <> 0").select(
         F.unix_timestamp("timestamp").alias("id"),
