@@ -11,7 +11,8 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as contract  # noqa: E402
 from conftest import SF  # noqa: E402
 
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES = {k: q for k, q in contract.queries().items() if k in contract.registered_queries.QUERIES}
+SQL = {k: q for k, q in contract.oracle_sql().items() if k in QUERIES}
 
 
 @pytest.fixture(scope="module")
