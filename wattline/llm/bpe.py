@@ -10,6 +10,7 @@ Null and empty texts have no ids and decode to the empty text. Texts are encoded
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 from heapq import heapify, heappop, heappush
@@ -19,7 +20,8 @@ import regex
 
 from wattline.llm.common import map_batches
 
-KEPT_WORDS, KEPT_CHUNKS = 800_000, 300_000
+KEPT_WORDS, KEPT_CHUNKS = 600_000, 500_000
+PUNCTUATION = frozenset(".,;:!?")  # ends of words that need no search for the words in a chunk
 # Python's split() also splits at these four, which are no white space for the splitter.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -60,7 +62,7 @@ class Tokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.splitter = regex.compile(split.replace(r"\s", r"\p{White_Space}"))
         self.special_ids = specials
-        self.special = regex.compile("(" + "|".join(map(regex.escape, specials)) + ")") if specials else None
+        self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.space = regex.compile(r"\p{White_Space}+")
         self.words = Known(lambda w: self.packed(self.merge(w.encode("utf-8", "surrogatepass"))), KEPT_WORDS)
         self.chunks = Known(self.chunk_ids, KEPT_CHUNKS)
@@ -112,18 +114,23 @@ class Tokenizer:
 
     def chunk_ids(self, chunk):
         """Ids of a run without white space, as bytes; special tokens in it are looked for first."""
-        if not any(map(chunk.__contains__, self.special_ids)):
-            return self.part_ids(chunk)
-        return b"".join(
-            self.packed([self.special_ids[part]]) if part in self.special_ids else self.part_ids(part)
-            for part in self.special.split(chunk)
-        )
+        if self.special and self.special.search(chunk):
+            return b"".join(
+                self.packed([self.special_ids[part]]) if part in self.special_ids else self.part_ids(part)
+                for part in self.special.split(chunk)
+            )
+        return self.part_ids(chunk)
 
     def part_ids(self, part):
         # Capital sigma is lowered letter by letter, whatever its place in the word.
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        return b"".join(map(self.words.__getitem__, self.splitter.findall(part.lower())))
+        low = part.lower()
+        if low.isalpha():
+            return self.words[low]
+        if low[-1:] in PUNCTUATION and low[:-1].isalpha():
+            return self.words[low[:-1]] + self.words[low[-1]]
+        return b"".join(map(self.words.__getitem__, self.splitter.findall(low)))
 
     def packed(self, ids):
         return array(self.code, ids).tobytes()
@@ -133,7 +140,11 @@ class Tokenizer:
 
     def encode(self, text):
         """Ids of a text as an array; null has none."""
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, self.split(text or ""))), self.dtype)
+        return np.frombuffer(self.encoded(text), self.dtype)
+
+    def encoded(self, text):
+        """Bytes of the ids of a text."""
+        return b"".join(map(self.chunks.__getitem__, self.split(text or "")))
 
     def decode(self, ids):
         """Vocabulary strings of ids, joined by spaces."""

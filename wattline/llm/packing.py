@@ -6,13 +6,14 @@ the totals give each task its place in the stream. Second pass: with that place
 its own global offset and is cut where the stream crosses a multiple of the sequence length. The
 pieces are the boundary records: only the last sequence of all can be short.
 
+The ids are those of the tokenizers library; a table of words encoded before makes them in a fraction
+of its time (see ``bpe``, whose tests compare the two).
+
 Null and empty texts have the end id alone. An empty table gives no piece. Repeated rows are packed
 each by itself; columns other than key and text are not looked at.
 """
 
-import os
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,80 +21,23 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wattline.llm.bpe import tokenizer
 from wattline.llm.common import map_batches, materialize
 
 LENGTH, END = 2048, 1
-# Runs in a task's table, and runs given to the library at once.
-KEPT, STEP = 400_000, 10_000
 # Tasks whose totals one task adds up in order; the blocks' sums are one row for so many tasks.
 BLOCK = 1024
-SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")  # split() takes them for white space, the file does not
-
-LOADED = {}
-
-
-class WordIds(dict):
-    """Ids of runs without white space, as the library encodes them; a bounded table.
-
-    A splitter that never joins letters over white space encodes each run by itself, so a text's ids
-    are those of its runs in order.
-    """
-
-    def __init__(self, path):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.wide = self.library.get_vocab_size() > 1 << 16
-        self.code = "I" if self.wide else "H"
-
-    def learn(self, runs):
-        if len(self) + len(runs) > KEPT:
-            self.clear()
-        for i in range(0, len(runs), STEP):
-            some = runs[i : i + STEP]
-            for run, found in zip(some, self.library.encode_batch(some, add_special_tokens=False), strict=True):
-                self[run] = array(self.code, found.ids).tobytes()
-
-    def encode(self, texts):
-        """Bytes of the ids of each text."""
-        out = []
-        for text in texts:
-            text = text or ""
-            if any(c in text for c in SEPARATORS):
-                out.append(array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes())
-                continue
-            runs = text.split()
-            if new := list(set(runs).difference(self)):
-                self.learn(new)
-            try:
-                out.append(b"".join(map(self.__getitem__, runs)))
-            except KeyError:  # the table was emptied for the new runs
-                self.clear()
-                self.learn(list(set(runs)))
-                out.append(b"".join(map(self.__getitem__, runs)))
-        return out
-
-
-def word_ids(path):
-    if path not in LOADED:
-        LOADED[path] = WordIds(path)
-    return LOADED[path]
-
-
 def tokenized(df, path, text="text", key="doc_id", end=END):
     """Written table (part, start, key, tokens, ids): ids of every row, its task, and the ids of
     that task before it. Written once, so the places stay as they are whatever runs again."""
 
     def run(batches):
         part, at = TaskContext.get().partitionId(), 0
-        table = word_ids(path)
-        last = array(table.code, [end]).tobytes()
+        table = tokenizer(path)
+        last = table.packed([end])
         size = len(last)
         for batch in batches:
-            ids = [x + last for x in table.encode(batch.column(1).to_pylist())]
+            ids = [table.encoded(x) + last for x in batch.column(1).to_pylist()]
             counts = np.array([len(x) // size for x in ids], np.int64)
             starts = at + np.cumsum(counts) - counts
             at += int(counts.sum())
