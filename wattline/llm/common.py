@@ -12,9 +12,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 ARROW_ROWS = 512
 
 
-def prepare(spark):
+def prepare(spark, rows=ARROW_ROWS):
     """Settings for texts: few rows in an Arrow batch, as one text may be megabytes long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
@@ -27,6 +27,12 @@ def materialize(df, name, **options):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df):
+    """(written copy of the rows with a number each, name of the column of numbers)."""
+    row = free_name(df, "row_number")
+    return materialize(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
 def read_table(spark, folder, table, *columns):
     return spark.read.parquet(f"{folder.rstrip('/')}/{table}.parquet").select(*columns)
 
