@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from wattline.catalog import MINUTE_REGISTERS
+from wattline.catalog import MINUTE_REGISTERS, TARIFF_REGISTERS
 from wattline.functions.decode import adjusted_address, precision_first
 from wattline.functions.tariff import tariff_zone
 from wattline.functions.time import bucket, format_utc, period_seconds
@@ -15,13 +15,13 @@ from wattline.operators.frames import (
 )
 from wattline.operators.latest import last_known, last_value_at, period_diff
 from wattline.operators.quality import range_overlaps, wide_columns
-from wattline.operators.refresh import DAY_OFFSETS, refresh_table, refresh_window
+from wattline.operators.refresh import DAY_OFFSETS, MINUTE_OFFSETS, refresh_table, refresh_window
 from wattline.operators.series import period_avg, period_values
 from wattline.operators.snapshot import param_history, snapshot
 from wattline.operators.stats import (
     bucket_stats, tariff_report, tariff_report_sum, tariff_stats, with_price,
 )
-from wattline.plans.reports import daily_tariff_report, ingest_frames, period_report
+from wattline.plans.reports import daily_tariff_report, history, ingest_frames, period_report
 from wattline.session import scratch_path
 from wattline.sources.catalog import parse_catalog
 from wattline.sources.telemetry import (
@@ -40,6 +40,7 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 FIELDS = ["view", "click", "none", "error", "signup", "purchase"]
 AT = "2024-01-11 12:34:56"
 START, FINISH = "2024-01-10 00:00:00", "2024-01-12 00:00:00"
+NOON = "2024-01-10 12:00:00"
 MONTH_START, MONTH_END = "2024-01-01 00:00:00", "2024-02-01 00:00:00"
 NAMES = MINUTE_REGISTERS + ["heatSinkTemp(C)", "pf(NA)", "unlisted(NA)"]
 
@@ -332,6 +333,41 @@ def q_refresh(spark, sf):
     return spark.read.parquet(path).drop("date")
 
 
+def q_lost_days(spark, sf):
+    """Two days lose all their rows before the second refresh."""
+    path = scratch_path(spark, "refresh-lost")
+    rows = counters(spark, sf)
+    window = refresh_window("2024-03-01", ("90 days", None), "1 day")
+    lost = F.to_date("timestamp").isin("2024-01-14", "2024-01-15")
+    for telemetry in (rows, rows.filter(~lost)):
+        refresh_table(spark, telemetry, lambda t: tariff_stats(t, EVENT_TYPES), path, window, "day")
+    return spark.read.parquet(path).drop("date")
+
+
+def refreshed_twice(spark, rows, build, name, time, offsets, width):
+    """An aggregate table of all rows, refreshed once more at a later time."""
+    path = scratch_path(spark, name)
+    everything = refresh_window("2024-03-01", ("90 days", None), width)
+    refresh_table(spark, rows.filter("value >= 5"), build, path, everything, time)
+    refresh_table(spark, rows, build, path, everything, time)
+    refresh_table(spark, rows, build, path, refresh_window("2024-01-25 06:00:30", offsets, width), time)
+    return spark.read.parquet(path).drop("date")
+
+
+def q_default_rule(spark, sf):
+    """Registers at the address of the built-in rule, on its device and on others."""
+    read_at_540 = frames(spark, sf).withColumns({
+        "start": F.lit(540), "words": F.array((F.element_at("words", 5) * 2253 + 4).cast("int")),
+    })
+    catalog = values(spark, "VALUES (1), (2), (3), (4)", "device_id").select(
+        "device_id", F.lit("holding").alias("reg_type"), F.lit(540).alias("address"), F.lit("digit").alias("name"),
+        F.lit("uint16").alias("type"), F.lit(1.0).cast("double").alias("scale"), F.lit(True).alias("preprocessing"),
+        F.lit(True).alias("enabled"), F.lit(0).alias("register_no"),
+    )
+    return decode_frames(read_at_540, catalog).select(
+        "frame_id", "device_id", "ts", "name", F.round("value", 10).alias("value"))
+
+
 def q_stream_tariff(spark, sf):
     path = scratch_path(spark, "stream-tariff")
     keys = ["day", "device_id", "register_name", "zone"]
@@ -506,6 +542,11 @@ QUERIES = {
     "period_values_hourly": lambda s, d: rounded(
         period_values(gauges(s, d), MONTH_START, MONTH_END, "1 hour", FIELDS, directory(s), True), "value"
     ),
+    "period_values_second": lambda s, d: rounded(
+        period_values(gauges(s, d), START, NOON, "1 second", FIELDS), "value"
+    ),
+    "period_values_meter": lambda s, d: rounded(period_values(
+        meter(s, d), "1996-01-01 00:00:00", "1997-01-01 00:00:00", "1 day", TARIFF_REGISTERS), "value"),
     "period_avg": lambda s, d: rounded(period_avg(gauges(s, d), "1 day"), "value"),
     "time_bucket": q_buckets,
     "tariff_zone": q_zones,
@@ -523,6 +564,9 @@ QUERIES = {
     "param_history_by_device": lambda s, d: history_of(s, d, "previous_row", True),
     "period_stat": lambda s, d: period_report(meter(s, d), "1995-01-01", "2002-01-01"),
     "period_report": lambda s, d: rounded_stats(period_report(named_gauges(s, d), START, FINISH)),
+    "history_by_device": lambda s, d: history(named_gauges(s, d), START, FINISH, by_device=True),
+    "period_report_by_device": lambda s, d: rounded_stats(
+        period_report(named_gauges(s, d), START, FINISH, by_device=True)),
     "bucket_stats_1d": lambda s, d: bucket_stats(meter(s, d)),
     "bucket_stats_1h": lambda s, d: rounded_stats(bucket_stats(named_gauges(s, d), "1 hour")),
     "decode_frames": q_decode,
@@ -558,6 +602,18 @@ QUERIES = {
     "staging_count": q_staging,
     "append_dedup": q_append,
     "refresh_aggregate": q_refresh,
+    "refresh_lost_day": q_lost_days,
+    "refresh_bucket_stats": lambda s, d: rounded_stats(refreshed_twice(
+        s, named_gauges(s, d), bucket_stats, "refresh-stats", "metricts", DAY_OFFSETS, "1 day")),
+    "refresh_snapshot": lambda s, d: refreshed_twice(
+        s, named_gauges(s, d), snapshot, "refresh-snapshot", "minutets", MINUTE_OFFSETS, "1 minute"),
+    "stream_snapshot_7m": lambda s, d: stream_to_table(
+        s, stream_snapshot(stream_gauges(s, d), "7 minutes"), "stream-snapshot"
+    ),
+    "stream_snapshot_1h": lambda s, d: stream_to_table(
+        s, stream_snapshot(stream_gauges(s, d), "1 hour"), "stream-snapshot"
+    ),
+    "decode_default_rule": q_default_rule,
     "stream_snapshot_1m": lambda s, d: stream_to_table(
         s, stream_snapshot(stream_gauges(s, d)), "stream-snapshot"
     ),

@@ -1,11 +1,279 @@
 """The registered queries in SQL, for DuckDB on the same tables."""
 
+# Nothing here comes from the engine, so that a wrong name or rule shows. The other constants are
+# the arguments of the registered queries.
 from registered_queries import (
-    AT, DIRECTORY, EVENT_TYPES, FIELDS, FINISH, KNOWN, MONTH_END, MONTH_START, NAMES, REGISTERS,
-    START,
+    AT, DIRECTORY, EVENT_TYPES, FIELDS, FINISH, MONTH_END, MONTH_START, NOON, REGISTERS, START,
 )
-from wattline.catalog import DAY_RULES, MINUTE_REGISTERS, PERIOD_RULES, TARIFF_REGISTERS, parse_rules
-from wattline.functions.naming import column_name
+
+# Registers of the minute table and their columns.
+MINUTE_COLUMNS = [line.rsplit(": ", 1) for line in """
+aInsidePower(W): ainsidepower
+aOutsideCurrent(A): aoutsidecurrent
+aOutsidePower(W): aoutsidepower
+aPower(W): apower
+batChargeToday(kWh): batchargetoday
+batChargeTotal(kWh): batchargetotal
+batDischargeToday(kWh): batdischargetoday
+batDischargeTotal(kWh): batdischargetotal
+batteryCurrent(A): batterycurrent
+batteryEnergy(%): batteryenergy
+batteryPower(W): batterypower
+batteryTemp(C): batterytemp
+batteryVolt(V): batteryvolt
+bInsidePower(W): binsidepower
+bOutsideCurrent(A): boutsidecurrent
+bOutsidePower(W): boutsidepower
+bPower(W): bpower
+cInsidePower(W): cinsidepower
+cOutsideCurrent(A): coutsidecurrent
+cOutsidePower(W): coutsidepower
+cPower(W): cpower
+dailyUsed(kWh): dailyused
+dcTemp(C): dctemp
+FaultCode1(NA): faultcode1
+FaultCode2(NA): faultcode2
+FaultCode3(NA): faultcode3
+FaultCode4(NA): faultcode4
+genAPower(W): genapower
+genAVolt(V): genavolt
+genBPower(W): genbpower
+genBVolt(V): genbvolt
+genCPower(W): gencpower
+genCVolt(V): gencvolt
+genDailyTime(h): gendailytime
+genToday(kWh): gentoday
+genTotal(kWh): gentotal
+genTotalPower(W): gentotalpower
+gridBuyToday(kWh): gridbuytoday
+gridBuyTotal(kWh): gridbuytotal
+gridFac(Hz): gridfac
+gridInsideTotalPac(W): gridinsidetotalpac
+gridInsideTotalSac(VA): gridinsidetotalsac
+gridOutsideTotalPac(W): gridoutsidetotalpac
+gridOutsideTotalSac(VA): gridoutsidetotalsac
+gridSellToday(kWh): gridselltoday
+gridSellTotal(kWh): gridselltotal
+Grid vac1(V): grid_vac1
+Grid vac2(V): grid_vac2
+Grid vac3(V): grid_vac3
+heatsinkTemp(C): heatsinktemp
+iac1(A): iac1
+iac2(A): iac2
+iac3(A): iac3
+invACurrent(A): invacurrent
+invAPower(W): invapower
+invAVolt(V): invavolt
+invBCurrent(A): invbcurrent
+invBPower(W): invbpower
+invBVolt(V): invbvolt
+invCCurrent(A): invccurrent
+invCPower(W): invcpower
+invCVolt(V): invcvolt
+invFac(Hz): invfac
+invTotalPower(W): invtotalpower
+invTotalSac(VA): invtotalsac
+ipv1(A): ipv1
+ipv2(A): ipv2
+loadAPower(W): loadapower
+loadAVolt(V): loadavolt
+loadBPower(W): loadbpower
+loadBVolt(V): loadbvolt
+loadCPower(W): loadcpower
+loadCVolt(V): loadcvolt
+loadTotalPac(W): loadtotalpac
+loadTotalSac(VA): loadtotalsac
+PF(NA): pf
+ppv1(W): ppv1
+ppv2(W): ppv2
+pvEToday(kWh): pvetoday
+pvHistory(kWh): pvhistory
+todayPv1(kWh): todaypv1
+todayPv2(kWh): todaypv2
+todayPv3(kWh): todaypv3
+todayPv4(kWh): todaypv4
+totalUsed(kWh): totalused
+upsLoadAPower(W): upsloadapower
+upsLoadBPower(W): upsloadbpower
+upsLoadCPower(W): upsloadcpower
+upsLoadTotalPower(W): upsloadtotalpower
+vpv1(V): vpv1
+vpv2(V): vpv2
+""".strip().splitlines()]
+
+# The counters that tariff statistics are kept for.
+TARIFF = [name.strip() for name in """
+batChargeTotal(kWh), batDischargeTotal(kWh), dailyUsed(kWh), genTotal(kWh), gridBuyTotal(kWh),
+gridSellTotal(kWh), pvHistory(kWh), todayPv1(kWh), todayPv2(kWh), totalUsed(kWh)
+""".split(",")]
+
+# Register, end of the column names, statistics of a bucket.
+DAY_STATISTICS = """
+aInsidePower(W): ainsidepower min>=100 max avg>=100
+aOutsidePower(W): aoutsidepower min>=100 max avg>=100
+batChargeTotal(kWh): batchargetotal delta end
+batDischargeTotal(kWh): batdischargetotal delta end
+batteryEnergy(%): batteryenergy min max avg
+batteryPower(W): batterypower min>=100 max avg>=100
+batteryTemp(C): batterytemp min max avg
+batteryVolt(V): batteryvolt min>=100 max avg>=100
+bInsidePower(W): binsidepower min>=100 max avg>=100
+bOutsidePower(W): boutsidepower min>=100 max avg>=100
+cInsidePower(W): cinsidepower min>=100 max avg>=100
+dailyUsed(kWh): dailyused delta end
+dcTemp(C): dctemp min max avg
+heatSinkTemp(C): heatsinktemp min max avg
+FaultCode1(NA): faultcode1 count
+FaultCode2(NA): faultcode2 count
+FaultCode3(NA): faultcode3 count
+FaultCode4(NA): faultcode4 count
+genAPower(W): genapower min>=100 max avg>=100
+genAVolt(V): genavolt min>=100 max avg>=100
+genBPower(W): genbpower min>=100 max avg>=100
+genBVolt(V): genbvolt min>=100 max avg>=100
+genCPower(W): gencpower min>=100 max avg>=100
+genCVolt(V): gencvolt min>=100 max avg>=100
+genTotal(kWh): gentotal delta end
+genDailyTime(h): gendailytime delta
+genTotalPower(W): gentotalpower min>=100 max avg>=100
+gridInsideTotalPac(W): gridinsidetotalpac min>=100 max avg>=100
+gridOutsideTotalPac(W): gridoutsidetotalpac min>=100 max avg>=100
+gridInsideTotalSac(VA): gridinsidetotalsac min>=100 max avg>=100
+gridOutsideTotalSac(VA): gridoutsidetotalsac min>=100 max avg>=100
+Grid vac1(V): gridvac1 min>=100 max avg>=100
+Grid vac2(V): gridvac2 min>=100 max avg>=100
+Grid vac3(V): gridvac3 min>=100 max avg>=100
+gridBuyTotal(kWh): gridbuytotal delta end
+gridSellTotal(kWh): gridselltotal delta end
+gridFac(Hz): gridfac min max avg
+invFac(Hz): invfac min max avg
+invAPower(W): invapower min>=100 max avg>=100
+invAVolt(V): invavolt min>=100 max avg>=100
+invBPower(W): invbpower min>=100 max avg>=100
+invBVolt(V): invbvolt min>=100 max avg>=100
+invCPower(W): invcpower min>=100 max avg>=100
+invCVolt(V): invcvolt min>=100 max avg>=100
+invTotalPower(W): invtotalpower min>=100 max avg>=100
+invTotalSac(VA): invtotalsac min>=100 max avg>=100
+loadAPower(W): loadapower min>=100 max avg>=100
+loadAVolt(V): loadavolt min>=100 max avg>=100
+loadBPower(W): loadbpower min>=100 max avg>=100
+loadBVolt(V): loadbvolt min>=100 max avg>=100
+loadCPower(W): loadcpower min>=100 max avg>=100
+loadCVolt(V): loadcvolt min>=100 max avg>=100
+ipv1(A): ipv1 min max
+vpv1(V): vpv1 min>=100 avg>=100
+ppv1(W): ppv1 min>=100 max avg>=100
+ipv2(A): ipv2 min max
+vpv2(V): vpv2 min>=100 avg>=100
+ppv2(W): ppv2 min>=100 max avg>=100
+pvHistory(kWh): pvhistory delta end
+todayPv1(kWh): todaypv1 delta end
+todayPv2(kWh): todaypv2 delta end
+loadTotalPac(W): loadtotalpac min>=100 max avg>=100
+loadTotalSac(VA): loadtotalsac min>=100 max avg>=100
+pf(NA): pf min max avg
+totalUsed(kWh): totalused delta end
+"""
+
+# Column of the minute history, end of the column names, statistics of a period.
+PERIOD_STATISTICS = """
+aInsidePower: ainsidepower max
+aOutsideCurrent: aoutsidecurrent max
+aOutsidePower: aoutsidepower max avg
+aPower: apower max avg
+batChargeToday: batchargetoday range
+batChargeTotal: batchargetotal range min avg
+batDischargeToday: batdischargetoday min avg
+batDischargeTotal: batdischargetotal max
+batDischargeToday: batdischargetoday range
+batDischargeTotal: batdischargetotal range
+batteryCurrent: batterycurrent max
+batteryEnergy: batteryenergy max min avg
+batteryPower: batterypower max avg
+batteryTemp: batterytemp max min avg
+batteryVolt: batteryvolt max min avg
+bInsidePower: binsidepower max
+bOutsideCurrent: boutsidecurrent max
+bOutsidePower: boutsidepower max avg
+bPower: bpower max avg
+cInsidePower: cinsidepower max avg
+cOutsideCurrent: coutsidecurrent max
+cOutsidePower: coutsidepower max avg
+cPower: cpower max avg
+dailyUsed: dailyused max avg
+dcTemp: dctemp max avg min
+genAPower: genapower max avg
+genAVolt: genavolt min>100 max
+genBPower: genbpower avg
+genBVolt: genbvolt min>100 max avg
+genCPower: gencpower max avg
+genCVolt: gencvolt min>100 max avg
+genDailyTime: gendailytime avg
+genToday: gentoday max avg
+genTotal: gentotal range max avg
+genTotalPower: gentotalpower max avg
+gridBuyToday: gridbuytoday range min avg max
+gridBuyTotal: gridbuytotal range
+gridFac: gridfac avg min max
+gridInsideTotalPac: gridinsidetotalpac max avg
+gridInsideTotalSac: gridinsidetotalsac max avg
+gridOutsideTotalPac: gridoutsidetotalpac max avg
+gridOutsideTotalSac: gridoutsidetotalsac max avg
+gridSellToday: gridselltoday range min avg max
+gridSellTotal: gridselltotal range
+grid_Vac1: gridvac1 max min>100
+grid_Vac2: gridvac2 max min>100
+grid_Vac3: gridvac3 max min>100
+heatSinkTemp: heatsinktemp max min avg
+iac1: iac1 max min avg
+iac2: iac2 max min avg
+iac3: iac3 max min avg
+invACurrent: invacurrent max min avg
+invAPower: invapower max min avg
+invAVolt: invavolt max min>100
+invBCurrent: invbcurrent max min avg
+invBPower: invbpower max min avg
+invBVolt: invbvolt max min>100 avg
+invCCurrent: invccurrent max min avg
+invCPower: invcpower max min avg
+invCVolt: invcvolt max min>100 avg
+invFac: invfac max min avg
+invTotalPower: invtotalpower max min avg
+invTotalSac: invtotalsac max min avg
+ipv1: ipv1 max min avg
+ipv2: ipv2 max min avg
+loadAPower: loadapower max min avg
+loadAVolt: loadavolt max min>100 avg
+loadBPower: loadbpower max min avg
+loadBVolt: loadbvolt max min>100 avg
+loadCPower: loadcpower max min avg
+loadCVolt: loadcvolt max min>100 avg
+loadTotalPac: loadtotalpac max min avg
+loadTotalSac: loadtotalsac max min avg
+pf: pf max min avg
+ppv1: ppv1 max min>100
+ppv2: ppv2 max min>0
+pvEtoday: pvetoday max min>0
+pvHistory: pvhistory range
+todayPv1: todaypv1 max min>0
+todayPv2: todaypv2 max min>0
+totalUsed: totalused range min avg
+vpv1: vpv1 max min>0 avg
+vpv2: vpv2 max min>0 avg
+"""
+LETTER = {"min": "n", "max": "x", "avg": "a", "count": "c", "range": "d", "delta": "d", "end": "e"}
+NAMES = [register for register, _ in MINUTE_COLUMNS] + ["heatSinkTemp(C)", "pf(NA)", "unlisted(NA)"]
+
+
+def statistics_of(text):
+    """(source, statistic, column) of a list of statistics."""
+    for line in text.strip().splitlines():
+        source, _, rest = line.rpartition(": ")
+        stem, *stats = rest.split(" ")
+        for stat in stats:
+            yield source, stat, f"{LETTER[stat.split('>')[0]]}_{stem}"
+
 
 PRICES = """VALUES (TIMESTAMP '2024-01-05 00:00:00', 4.0::DOUBLE, 2.0::DOUBLE),
     (TIMESTAMP '2024-01-15 00:00:00', 5.0, 2.5), (TIMESTAMP '2024-01-24 18:00:00', 6.0, 3.0)"""
@@ -89,41 +357,41 @@ def period_diff(name):
     FROM named n LEFT JOIN s USING (register_name) LEFT JOIN f USING (register_name)"""
 
 
-def period_values(start, finish, width, name):
+def period_values(start, finish, width, name, rows=GAUGES, table="gauges", fields=None):
+    """An observed bucket counts from its start until the next one, also when its average is NULL."""
     origin = "TIMESTAMP '2000-01-03'"
-    return f"""WITH {GAUGES}, {FIELD_LIST},
+    return f"""WITH {rows}, {fields or FIELD_LIST},
     seen AS (SELECT time_bucket(INTERVAL '{width}', "timestamp", {origin}) AS bucket, register_name,
-        avg(value) AS value FROM gauges WHERE "timestamp" BETWEEN '{start}' AND '{finish}'
-        AND register_name IN {in_list(FIELDS)} GROUP BY ALL),
+        avg(value) AS value FROM {table} WHERE "timestamp" BETWEEN '{start}' AND '{finish}'
+        AND register_name IN (SELECT register_name FROM fields) GROUP BY ALL),
     slots AS (SELECT unnest(generate_series(time_bucket(INTERVAL '{width}', TIMESTAMP '{start}', {origin}),
         TIMESTAMP '{finish}' - INTERVAL 1 MICROSECOND, INTERVAL '{width}')) AS bucket),
     grid AS (SELECT bucket, register_name FROM slots, (SELECT DISTINCT register_name FROM seen)
         UNION SELECT bucket, register_name FROM seen),
-    before AS ({newest("gauges", lookback(start, True))}),
-    filled AS (SELECT g.bucket, g.register_name,
-        coalesce(last_value(s.value IGNORE NULLS) OVER (PARTITION BY g.register_name ORDER BY g.bucket
-            ROWS UNBOUNDED PRECEDING), b.value) AS value
-        FROM grid g LEFT JOIN seen s USING (bucket, register_name) LEFT JOIN before b USING (register_name))
+    before AS ({newest(table, lookback(start, True))}),
+    filled AS (SELECT g.bucket, g.register_name, CASE WHEN s.bucket IS NULL THEN b.value ELSE s.value END AS value
+        FROM grid g ASOF LEFT JOIN seen s ON g.register_name = s.register_name AND g.bucket >= s.bucket
+        LEFT JOIN before b ON b.register_name = g.register_name)
     SELECT bucket AS metricts, {name} AS metric, round(value, 8) AS value
     FROM filled JOIN named n USING (register_name)"""
 
 
-def pivot_last(rows, registers, key, keys, order):
+def pivot_last(rows, key, keys, order):
     cells = ",\n".join(
-        f"""arg_max_null(value, {order}) FILTER (WHERE register_name = '{r}') AS "{column_name(r)}\""""
-        for r in registers
+        f"""arg_max_null(value, {order}) FILTER (WHERE register_name = '{r}') AS "{c}\""""
+        for r, c in MINUTE_COLUMNS
     )
     return f"SELECT {key}, {cells} FROM {rows} GROUP BY {keys}"
 
 
-WIDE = [column_name(r) for r in MINUTE_REGISTERS]
+WIDE = [column for _, column in MINUTE_COLUMNS]
 # Time and device as one number, for ties between devices.
 BY_TIME_AND_DEVICE = 'epoch_us("timestamp") * 10 + device_id'
 MINUTE = "date_trunc('minute', \"timestamp\")"
-SNAP = f"snap AS ({pivot_last('gauges', MINUTE_REGISTERS, MINUTE + ' AS minutets', '1', BY_TIME_AND_DEVICE)})"
+SNAP = f"snap AS ({pivot_last('gauges', MINUTE + ' AS minutets', '1', BY_TIME_AND_DEVICE)})"
 SNAP_METER = SNAP.replace("FROM gauges", "FROM meter")
 SNAP_DEVICE = "snap AS (" + pivot_last(
-    "gauges", MINUTE_REGISTERS, MINUTE + " AS minutets, device_id", "1, 2", 'epoch_us("timestamp")'
+    "gauges", MINUTE + " AS minutets, device_id", "1, 2", 'epoch_us("timestamp")'
 ) + ")"
 
 
@@ -152,8 +420,7 @@ def stat_sql(stat, value, order="epoch_us(\"timestamp\")", where=None):
 def period_stat(rounding):
     have = set(WIDE)
     cells = []
-    for source, stat, column in parse_rules(PERIOD_RULES):
-        column = column.replace("grid_vac", "gridvac")
+    for source, stat, column in statistics_of(PERIOD_STATISTICS):
         value = stat_sql(stat, f'"{source.lower()}"') if source.lower() in have else "NULL::DOUBLE"
         if rounding and column.startswith("a_"):
             value = f"round({value}, 8)"
@@ -163,7 +430,7 @@ def period_stat(rounding):
 
 def bucket_stats(rows, width, rounding=False):
     cells = []
-    for source, stat, column in parse_rules(DAY_RULES):
+    for source, stat, column in statistics_of(DAY_STATISTICS):
         value = stat_sql(stat, "value", where=f"register_name = '{source}'")
         if rounding and column.startswith("a_"):
             value = f"round({value}, 8)"
@@ -188,6 +455,13 @@ TARIFF_REPORT = """SELECT day, device_id, register_name, day_diff, day_diff * dp
         FROM stats GROUP BY 1, 2, 3) s ASOF LEFT JOIN prices p ON s.day::TIMESTAMP >= p.dt"""
 
 
+def stream_snapshot(width):
+    """Buckets that the watermark has passed at the end."""
+    return f"""WITH {GAUGES}, m AS (SELECT time_bucket(INTERVAL '{width}', "timestamp", TIMESTAMP '2000-01-03') AS minutets,
+            register_name, arg_max_null(value, {BY_TIME_AND_DEVICE}) AS value FROM gauges GROUP BY 1, 2)
+        SELECT * FROM m WHERE minutets + INTERVAL '{width}' <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)"""
+
+
 # Value of a register's words ``a b c d`` by type, and its preprocessed form.
 DECODED = """CASE type WHEN 'uint16' THEN a::DOUBLE
     WHEN 'int16' THEN (CASE WHEN a >= 32768 THEN a - 65536 ELSE a END)::DOUBLE
@@ -306,6 +580,11 @@ SQL = {
     "period_diff_friendly": period_diff("n.with_unit"),
     "period_values": period_values(START, FINISH, "5 hours", "n.register_name"),
     "period_values_hourly": period_values(MONTH_START, MONTH_END, "1 hour", "n.friendly"),
+    "period_values_second": period_values(START, NOON, "1 second", "n.register_name"),
+    "period_values_meter": period_values(
+        "1996-01-01 00:00:00", "1997-01-01 00:00:00", "1 day", "n.register_name", METER, "meter",
+        f"""fields AS (SELECT unnest({text_list(TARIFF)}) AS register_name),
+        named AS (SELECT register_name FROM fields)"""),
     "period_avg": f"""WITH {GAUGES} SELECT date_trunc('day', "timestamp")::TIMESTAMP AS bucket, register_name,
         round(avg(value), 8) AS value FROM gauges GROUP BY 1, 2""",
     "time_bucket": f"""WITH {GAUGES} SELECT time_bucket(INTERVAL 7 DAYS, "timestamp", TIMESTAMP '2000-01-03') AS week,
@@ -317,10 +596,10 @@ SQL = {
         CASE WHEN k >= 23 OR k < 7 THEN 'night' ELSE 'day' END AS zone_local,
         strftime(date_trunc('millisecond', "timestamp"), '%Y-%m-%d %H:%M:%S.%g') || '+00' AS stored_as FROM z""",
     "tariff_stats": f"WITH {COUNTERS} {tariff_stats('gauges', EVENT_TYPES)}",
-    "tariff_stats_meter": f"WITH {METER} {tariff_stats('meter', TARIFF_REGISTERS)}",
+    "tariff_stats_meter": f"WITH {METER} {tariff_stats('meter', TARIFF)}",
     "tariff_report": f"""WITH {COUNTERS}, {FIXED_PRICES}, stats AS ({tariff_stats('gauges', EVENT_TYPES)})
         {TARIFF_REPORT}""",
-    "tariff_report_meter": f"""WITH {METER}, {ORDER_PRICES}, stats AS ({tariff_stats('meter', TARIFF_REGISTERS)})
+    "tariff_report_meter": f"""WITH {METER}, {ORDER_PRICES}, stats AS ({tariff_stats('meter', TARIFF)})
         {TARIFF_REPORT}""",
     "tariff_report_sum": f"""WITH {COUNTERS}, stats AS ({tariff_stats('gauges', EVENT_TYPES)})
         SELECT day, device_id, register_name, max(diff_value) FILTER (WHERE zone = 'day') AS day_diff,
@@ -340,6 +619,13 @@ SQL = {
     "period_stat": f"WITH {METER}, {SNAP_METER}, history AS ({history('previous_row')}) {period_stat(False)}",
     "period_report": f"""WITH {NAMED}, {SNAP}, filled AS ({history('previous_row')}),
         history AS (SELECT * FROM filled WHERE time BETWEEN '{START}' AND '{FINISH}') {period_stat(True)}""",
+    "history_by_device": f"""WITH {NAMED}, {SNAP_DEVICE}, filled AS (
+            {history('previous_row', 'PARTITION BY device_id', 'device_id,')})
+        SELECT * FROM filled WHERE time BETWEEN '{START}' AND '{FINISH}'""",
+    "period_report_by_device": f"""WITH {NAMED}, {SNAP_DEVICE}, filled AS (
+            {history('previous_row', 'PARTITION BY device_id', 'device_id,')}),
+        history AS (SELECT * FROM filled WHERE time BETWEEN '{START}' AND '{FINISH}')
+        {period_stat(True).replace('SELECT ', 'SELECT device_id, ', 1)} GROUP BY device_id""",
     "bucket_stats_1d": f"WITH {METER} {bucket_stats('meter', 'day')}",
     "bucket_stats_1h": f"WITH {NAMED} {bucket_stats('gauges', 'hour', True)}",
     "decode_frames": f"""WITH {FRAMES}, {READ} SELECT frame_id, device_id, ts, address, name, type,
@@ -384,13 +670,16 @@ SQL = {
     "parse_catalog": f"""WITH {CONFIGS} SELECT device_id, register_no, ((k * 37) % 500)::INT AS address,
         p_name AS name, 'uint16' AS type, CASE WHEN k % 3 = 0 THEN 'input' ELSE 'holding' END AS reg_type,
         CASE WHEN k % 4 = 0 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS scale, k % 5 = 0 AS preprocessing,
-        k % 7 <> 0 AS enabled FROM r JOIN part ON p_partkey = k WHERE k % 13 <> 0 AND k % 17 <> 0""",
+        k % 7 <> 0 AS enabled FROM r JOIN part ON p_partkey = k
+        WHERE k % 13 <> 0 AND k % 17 <> 0 AND device_id % 10 <> 0""",
     "catalog_rejects": f"""WITH {CONFIGS}
         SELECT device_id::VARCHAR AS source, 'register' AS kind, device_id, register_no AS number,
-            CASE WHEN k % 13 = 0 THEN 'register without a valid ''address''' ELSE 'invalid register type' END
-            AS reason FROM r WHERE k % 13 = 0 OR k % 17 = 0
+            CASE WHEN k % 13 = 0 THEN 'register without a valid ''address''' WHEN k % 17 = 0
+                THEN 'invalid register type' ELSE 'register of a rejected device' END
+            AS reason FROM r WHERE k % 13 = 0 OR k % 17 = 0 OR device_id % 10 = 0
         UNION ALL SELECT id::VARCHAR, 'device', id, NULL, 'invalid parity' FROM d WHERE id % 10 = 0
-        UNION ALL SELECT id::VARCHAR, 'range', id, 0, 'invalid period' FROM d WHERE id % 6 = 0""",
+        UNION ALL SELECT id::VARCHAR, 'range', id, 0, CASE WHEN id % 6 = 0 THEN 'invalid period'
+            ELSE 'range of a rejected device' END FROM d WHERE id % 6 = 0 OR id % 10 = 0""",
     "column_types": f"""WITH {PART_REGISTERS} SELECT device_id, register_no, type, scale,
         CASE WHEN type = 'float32' THEN 'FLOAT'
             WHEN scale = 1 THEN CASE type WHEN 'uint32' THEN 'BIGINT' WHEN 'uint64' THEN 'DECIMAL(20,0)'
@@ -422,6 +711,17 @@ SQL = {
         FROM gauges GROUP BY 2, 3, 4""",
     "refresh_aggregate": f"""WITH {COUNTERS}, stats AS ({tariff_stats('gauges', EVENT_TYPES)})
         SELECT * FROM stats WHERE register_name <> 'error' OR ({WINDOWED})""",
+    "refresh_lost_day": f"""WITH {COUNTERS}, stats AS ({tariff_stats('gauges', EVENT_TYPES)})
+        SELECT * FROM stats WHERE day NOT IN (TIMESTAMP '2024-01-14', TIMESTAMP '2024-01-15')""",
+    "refresh_bucket_stats": f"""WITH {NAMED}, stats AS ({bucket_stats('gauges', 'day', True)})
+        SELECT * FROM stats""",
+    "refresh_snapshot": f"WITH {NAMED}, {SNAP} SELECT * FROM snap",
+    "stream_snapshot_7m": stream_snapshot("7 MINUTES"),
+    "stream_snapshot_1h": stream_snapshot("1 HOUR"),
+    "decode_default_rule": f"""WITH {FRAMES}, raw AS (
+            SELECT frame_id, device_id, ts, w[5] * 2253 + 4 AS v FROM frames)
+        SELECT frame_id, device_id, ts, 'digit' AS name, CASE WHEN device_id = 1
+            THEN round({precision("v::DOUBLE")}, 10) ELSE v::DOUBLE END AS value FROM raw""",
     "stream_snapshot_1m": f"""WITH {GAUGES}, m AS (SELECT {MINUTE} AS minutets, register_name,
             arg_max_null(value, {BY_TIME_AND_DEVICE}) AS value FROM gauges GROUP BY 1, 2)
         SELECT * FROM m WHERE minutets + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 2 HOURS FROM events)""",

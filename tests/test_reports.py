@@ -73,11 +73,9 @@ def test_period_diff_with_overlapping_lookbacks(telemetry):
     assert got[0][2] == 3.0
 
 
-@pytest.mark.parametrize("one_piece", [True, False])
-def test_gap_fill(telemetry, monkeypatch, one_piece):
-    if not one_piece:
-        monkeypatch.setattr(series, "ONE_PIECE", 0)
-        monkeypatch.setattr(series, "CHUNK_BUCKETS", 2)
+@pytest.mark.parametrize("buckets", [10_000, 2])
+def test_gap_fill(telemetry, monkeypatch, buckets):
+    monkeypatch.setattr(series, "CHUNK_BUCKETS", buckets)
     t = telemetry([
         (1, f"{DAY} 09:00:00", "seed", 5.0), (1, f"{DAY} 12:10:00", "seed", 7.0),
         (2, f"{DAY} 12:20:00", "seed", 9.0), (1, f"{DAY} 16:00:00", "seed", 1.0),

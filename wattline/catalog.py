@@ -199,6 +199,7 @@ def parse_rules(text):
         source, _, stats = line.rpartition(":")
         for stat in stats.split():
             kind = stat.split(">")[0]
-            column = f"{PREFIX[kind]}_{column_name(source)}"
+            # Statistics write the grid voltages without the blank that their minute columns keep.
+            column = f"{PREFIX[kind]}_{column_name(source)}".replace("_grid_vac", "_gridvac")
             rules.append((source, stat, column))
     return rules

@@ -53,11 +53,14 @@ def shift(ts, width, sign=-1):
     return F.timestamp_micros(F.unix_micros(ts) + F.lit(sign * width_micros(width)))
 
 
+def bucket_offset(width):
+    """Microseconds from 1970 to the first bucket that begins after it."""
+    return (ORIGIN_SECONDS * 1_000_000) % width_micros(width)
+
+
 def bucket_micros(micros, width):
     """Start of the bucket holding an instant given in microseconds."""
-    size = width_micros(width)
-    offset = (ORIGIN_SECONDS * 1_000_000) % size
-    return micros - F.pmod(micros - F.lit(offset), F.lit(size))
+    return micros - F.pmod(micros - F.lit(bucket_offset(width)), F.lit(width_micros(width)))
 
 
 def bucket(ts, width):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattline.functions.time import (
     ORIGIN_SECONDS, as_datetime, as_timestamp, in_range, utc_date, width_micros,
 )
-from wattline.sources.telemetry import table_exists, within_days, write_by_date
+from wattline.sources.telemetry import remove_days, table_exists, within_days, write_by_date
 
 # How far back and up to when the scheduled refresh of each aggregate looks.
 MINUTE_OFFSETS = ("2 hours", "1 minute")
@@ -51,18 +51,24 @@ def refresh_table(spark, telemetry, build, path, window, time):
     """Refreshes the stored aggregate (writes).
 
     Only the folders of the touched days are replaced, and only when the job commits, so a
-    failed or repeated refresh leaves a whole table.
+    failed or repeated refresh leaves a whole table. Days of the window that have no rows any more
+    are then removed; a refresh that ends before that removes them when it is repeated.
     """
     low, high = as_timestamp(window[0]), as_timestamp(window[1])
     if window[0] >= window[1]:
         return
-    existing = None
+    existing, stored_days = None, []
     if table_exists(spark, path):
         stored = spark.read.parquet(path)
-        days = F.col("date").between(utc_date(low), utc_date(high))
-        existing = stored.filter(days).drop("date")
+        existing = stored.filter(F.col("date").between(utc_date(low), utc_date(high)))
+        # One value for each day of the window.
+        stored_days = [r["date"] for r in existing.select("date").distinct().collect()]
+        existing = existing.drop("date")
     table = refreshed(existing, telemetry, build, window, time)
-    write_by_date(table.withColumn("date", utc_date(F.col(time))), path, mode="overwrite", sort=())
+    table = table.withColumn("date", utc_date(F.col(time)))
+    days = {r["date"] for r in table.select("date").distinct().collect()} if stored_days else set()
+    write_by_date(table, path, mode="overwrite", sort=())
+    remove_days(spark, path, [day for day in stored_days if day not in days])
 
 
 def upsert_table(spark, rows, path, keys, time):

@@ -1,16 +1,14 @@
 """Bucketed series: averages, and gap filling by carrying the last bucket forward."""
 
-from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.time import (
-    as_datetime, as_timestamp, bucket, bucket_micros, in_range, width_micros,
+    as_timestamp, bucket, bucket_micros, in_range, width_micros,
 )
 from wattline.operators.latest import LOOKBACK, field_frame, named_fields, newest_before
 from wattline.operators.ordered import with_previous
 
-#: Up to this many buckets a register's series is ordered in one piece, beyond it in chunks.
-ONE_PIECE = 100_000
+#: Buckets of a register that are put in order, or made for a gap, at once.
 CHUNK_BUCKETS = 10_000
 
 
@@ -21,11 +19,8 @@ def period_avg(telemetry, width, keys=("register_name",)):
     )
 
 
-def _with_next(observed, size, one_piece):
+def _with_next(observed, size):
     """Adds ``next_at``: the start of the following observed bucket of the register."""
-    if one_piece:
-        by_time = Window.partitionBy("register_name").orderBy("at")
-        return observed.withColumn("next_at", F.lead("at").over(by_time))
     span = F.lit(size * CHUNK_BUCKETS)
     backwards = observed.withColumns({"back": -F.col("at"), "chunk": F.floor(-F.col("at") / span)})
     known = with_previous(backwards, ["register_name"], "chunk", ["back"], ["at"])
@@ -41,10 +36,6 @@ def gap_filled(telemetry, start, finish, width, fields, lookback=LOOKBACK):
     """
     begin, end = as_timestamp(start), as_timestamp(finish)
     size = width_micros(width)
-    one_piece = False
-    if not (isinstance(start, Column) or isinstance(finish, Column) or finish is None):
-        seconds = (as_datetime(finish) - as_datetime(start)).total_seconds()
-        one_piece = seconds * 1_000_000 / size <= ONE_PIECE
     names = list(dict.fromkeys(fields))
     wanted = telemetry.filter(F.col("register_name").isin(names))
     observed = (
@@ -59,13 +50,19 @@ def gap_filled(telemetry, start, finish, width, fields, lookback=LOOKBACK):
     ahead = field_frame(telemetry.sparkSession, names).join(seeds, "register_name", "left").select(
         "register_name", (grid_first - size).alias("at"), "value"
     )
-    followed = _with_next(observed.unionByName(ahead), size, one_piece)
+    followed = _with_next(observed.unionByName(ahead), size)
     # It is of use only to a register with observations, the first of them later in the grid.
     useful = (F.col("at") >= grid_first) | (F.col("next_at") > grid_first)
     from_ = F.greatest(F.col("at"), grid_first)
     until = F.coalesce(F.col("next_at") - size, F.greatest(F.col("at"), grid_last))
-    slots = followed.filter(useful).select(
-        "register_name", F.explode(F.sequence(from_, until, F.lit(size))).alias("slot"), "value"
+    # A gap is made in blocks and each block in buckets, so no row holds a long gap.
+    block = F.lit(size * CHUNK_BUCKETS)
+    blocks = followed.filter(useful).select(
+        "register_name", "value", until.alias("until"), F.explode(F.sequence(from_, until, block)).alias("from")
+    )
+    last = F.least(F.col("until"), F.col("from") + block - F.lit(size))
+    slots = blocks.select(
+        "register_name", F.explode(F.sequence(F.col("from"), last, F.lit(size))).alias("slot"), "value"
     )
     return slots.select(F.timestamp_micros("slot").alias("bucket"), "register_name", "value")
 

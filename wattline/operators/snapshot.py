@@ -5,26 +5,19 @@ from pyspark.sql import functions as F
 from wattline.catalog import MINUTE_REGISTERS, PERIOD_RULES, parse_rules
 from wattline.functions.naming import column_name
 from wattline.functions.time import (
-    as_timestamp, bucket, bucket_micros, in_range, shift, utc_date, width_micros, width_months,
+    as_timestamp, bucket, in_range, shift, utc_date,
 )
 from wattline.operators.ordered import fill_gaps
 
 WARM_UP = "24 hours"
 
-# Up to this width, the place inside a bucket and the device fit together in one LONG.
-PACKED_MICROS = 2**31
-
-
-def packed_order(width):
-    """Order inside a bucket by time, then device, as one LONG; None for wide buckets.
+def by_time_and_device():
+    """Order of readings by time, then device, as one number of 32 digits, whatever the bucket.
 
     A fixed-width ordering keeps ``max_by`` in hash aggregation, where a struct would need a sort.
     """
-    if width_months(width) or width_micros(width) > PACKED_MICROS:
-        return None
-    micros = F.unix_micros("timestamp")
-    place = micros - bucket_micros(micros, width)
-    return F.shiftleft(place, 32) + F.col("device_id").cast("long")
+    micros = F.unix_micros("timestamp").cast("decimal(20,0)")
+    return micros * F.lit(2**32).cast("decimal(10,0)") + F.col("device_id").cast("decimal(10,0)")
 
 
 def wanted_register(registers, case_insensitive=False):
@@ -53,23 +46,15 @@ def snapshot(
         "value",
     )
     keys = [time, "device_id"] if by_device else [time]
-    order = F.col("timestamp") if by_device else packed_order(width)
-    if order is None:
-        rows = rows.groupBy(time, "register_name", "device_id").agg(
-            F.max_by("value", "timestamp").alias("value"), F.max("timestamp").alias("timestamp")
-        )
-        order = F.struct("timestamp", "device_id")
+    order = F.col("timestamp") if by_device else by_time_and_device()
     wide = rows.groupBy(*keys).pivot("register_name", registers).agg(F.max_by("value", order))
     return wide.select(*keys, *[F.col(f"`{r}`").alias(column_name(r)) for r in registers])
 
 
 def snapshot_long(telemetry, width="1 minute", time="minutets"):
     """Last value per bucket and register, in long form."""
-    place = packed_order(width)
-    if place is None:
-        raise ValueError("width too large for the long snapshot")
     at = bucket(F.col("timestamp"), width).alias(time)
-    return telemetry.groupBy(at, "register_name").agg(F.max_by("value", place).alias("value"))
+    return telemetry.groupBy(at, "register_name").agg(F.max_by("value", by_time_and_device()).alias("value"))
 
 
 def param_history(
@@ -107,10 +92,7 @@ def statistic(stat, value):
 
 def period_stat(history, keys=(), decimal=False):
     """One row of statistics over a filled history (one per device with ``keys``)."""
-    rules = [
-        (source.lower(), stat, column.replace("grid_", "grid", 1) if "grid_vac" in column else column)
-        for source, stat, column in parse_rules(PERIOD_RULES)
-    ]
+    rules = [(source.lower(), stat, column) for source, stat, column in parse_rules(PERIOD_RULES)]
     have = set(history.columns)
     aggregates = [
         (statistic(stat, F.col(source)) if source in have else F.lit(None).cast("double"))

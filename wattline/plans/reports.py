@@ -10,7 +10,7 @@ from wattline.operators.stats import tariff_report, tariff_stats
 from wattline.sources.wide import import_wide, read_wide_exports
 
 
-def history(telemetry, start, end=None, fill="previous_row", newest_first=True, **options):
+def history(telemetry, start, end=None, fill="previous_row", newest_first=True, by_device=False, **options):
     """Filled minute history straight from telemetry, reading only the range and its warm-up.
 
     Where a stored minute table exists, call ``param_history`` on that instead.
@@ -19,12 +19,15 @@ def history(telemetry, start, end=None, fill="previous_row", newest_first=True,
     # Up to the end of the last minute, which counts if it begins within the range.
     until = shift(high, "1 minute", sign=1)
     rows = telemetry.filter(in_range(telemetry, shift(low, WARM_UP), until))
-    return param_history(snapshot(rows, **options), start, end, fill, newest_first=newest_first)
+    snapshots = snapshot(rows, by_device=by_device, **options)
+    return param_history(snapshots, start, end, fill, by_device, newest_first=newest_first)
 
 
-def period_report(telemetry, start, end=None, **options):
-    """The statistics of a period straight from telemetry; they need no order."""
-    return period_stat(history(telemetry, start, end, newest_first=False, **options))
+def period_report(telemetry, start, end=None, by_device=False, **options):
+    """The statistics of a period straight from telemetry, of all devices together or of each one;
+    they need no order."""
+    filled = history(telemetry, start, end, newest_first=False, by_device=by_device, **options)
+    return period_stat(filled, ["device_id"] if by_device else [])
 
 
 def daily_tariff_report(telemetry, prices, registers=TARIFF_REGISTERS, tz="UTC"):

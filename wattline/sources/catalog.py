@@ -62,11 +62,12 @@ def parse_catalog(texts, strict=False):
         .when(F.col("device.registers").isNull(), "device without 'registers'")
     )
     devices = devices.withColumn("reason", reason)
+    refused = F.col("reason").isNotNull().alias("refused")
     registers = devices.select(
-        "source", F.col("id").alias("device_id"),
+        "source", F.col("id").alias("device_id"), refused,
         F.posexplode("device.registers").alias("register_no", "r"),
     ).select(
-        "source", "device_id", "register_no",
+        "source", "device_id", "refused", "register_no",
         F.col("r.address").try_cast("int").alias("address"),
         F.col("r.name").alias("name"),
         F.col("r.type").alias("type"),
@@ -81,13 +82,14 @@ def parse_catalog(texts, strict=False):
         .when(~_in_address_space("address"), "register without a valid 'address'")
         .when(F.col("name").isNull(), "register without 'name'")
         .when(~F.coalesce(F.col("type").isin(*WORDS), F.lit(False)), "invalid register type")
-        .when(~F.col("reg_type").isin(*SPACES), "invalid register space"),
-    )
+        .when(~F.col("reg_type").isin(*SPACES), "invalid register space")
+        .when(F.col("refused"), "register of a rejected device"),
+    ).drop("refused")
     ranges = devices.select(
-        "source", F.col("id").alias("device_id"),
+        "source", F.col("id").alias("device_id"), refused,
         F.posexplode("device.ranges").alias("range_no", "r"),
     ).select(
-        "source", "device_id", "range_no",
+        "source", "device_id", "refused", "range_no",
         F.col("r.start").try_cast("int").alias("start"),
         F.col("r.count").try_cast("int").alias("count"),
         F.col("r.period").alias("period"),
@@ -101,8 +103,9 @@ def parse_catalog(texts, strict=False):
         .when(~F.coalesce(F.col("count") >= 0, F.lit(False)), "range without a valid 'count'")
         .when(F.col("start") + F.col("count") > 65_536, "range beyond the address space")
         .when(F.col("period_seconds").isNull(), "invalid period")
-        .when(~F.col("reg_type").isin(*SPACES), "invalid register space"),
-    )
+        .when(~F.col("reg_type").isin(*SPACES), "invalid register space")
+        .when(F.col("refused"), "range of a rejected device"),
+    ).drop("refused")
     in_order = ranges.filter(F.col("reason").isNull())
     clashes = range_overlaps(in_order, ["source", "device_id"]).select(
         "source", "device_id", "range_no", F.lit("overlapping range").alias("clash")
