@@ -32,7 +32,7 @@ from wattline.sources.wide import (
     wide_rows,
 )
 from wattline.streaming.jobs import (
-    run_available, stream_deadband, stream_decode, stream_dedup, stream_snapshot,
+    run_available, stream_deadband, stream_decode, stream_dedup, stream_ingest, stream_snapshot,
     stream_tariff_stats, stream_to_table, upsert_batches,
 )
 
@@ -49,6 +49,11 @@ LINES = """l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_
     l_extendedprice double, l_discount double, l_tax double, l_returnflag string,
     l_shipdate timestamp"""
 
+# The same with one register for each address, as a map by address has it.
+CONTEXT_REGISTERS = """VALUES (500, 'r_u16', 'uint16', 1.0, false, true, 0),
+    (501, 'r_i16', 'int16', 0.25, false, true, 4), (502, 'r_u64', 'uint64', 1.0, false, true, 5),
+    (503, 'r_digit', 'uint16', 1.0, true, true, 6), (504, 'r_off', 'uint16', 1.0, false, false, 8),
+    (505, 'r_long', 'uint32', 1.0, false, true, 7), (600, 'r_far', 'uint16', 1.0, false, true, 9)"""
 DIRECTORY = """VALUES ('click', 'Clicks', 'n'), ('view', 'Views', ''), ('error', NULL, 'n'),
     ('purchase', 'Purchases', NULL)"""
 PRICES = """VALUES (TIMESTAMP '2024-01-05 00:00:00', 4.0, 2.0),
@@ -152,9 +157,9 @@ def stream_frames(spark, sf):
     return as_frames(lines)
 
 
-def frame_catalog(spark):
+def frame_catalog(spark, registers=None):
     columns = "address, name, type, scale, preprocessing, enabled, register_no"
-    return values(spark, REGISTERS, columns).select(
+    return values(spark, registers or REGISTERS, columns).select(
         F.explode(F.sequence(F.lit(1), F.lit(4))).alias("device_id"),
         F.lit("holding").alias("reg_type"), "address", "name", "type",
         F.col("scale").cast("double").alias("scale"), "preprocessing", "enabled", "register_no",
@@ -235,10 +240,10 @@ def configs(spark, sf):
     )
 
 
-def exports(spark, sf):
+def exports(spark, sf, file="l_suppkey"):
     """Order lines as wide rows, one file per supplier."""
     return read(spark, sf, "lineitem", LINES).select(
-        F.col("l_suppkey").cast("string").alias("file"),
+        F.col(file).cast("string").alias("file"),
         ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")).alias("line_no"),
         F.when(F.col("l_quantity") > 2, F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"))
         .otherwise(F.lit(" ")).alias("Time"),
@@ -286,27 +291,35 @@ def q_append(spark, sf):
 
 
 def export_lines(spark, sf):
-    """The same exports as CSV files written by Spark, each part with its title and header lines."""
+    """The same exports as CSV files, a folder for each supplier; the title and header lines come first
+    in a file."""
     path = scratch_path(spark, "exports")
-    rows = exports(spark, sf).select("Time", "quantity(n)/101", "discount(%)/102-103", "tax(℃)/104", "flag(NA)/105")
-    header = F.concat_ws(",", *[F.lit(c) for c in rows.columns])
-    text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in rows.columns])
-    lines = rows.select(F.spark_partition_id().alias("part"), text.alias("value"))
-    heads = lines.select("part").distinct().select(
-        "part", F.explode(F.array(F.lit("Report,,,,"), F.lit(",,,,"), header)).alias("value")
+    rows = exports(spark, sf)
+    columns = ["Time", "quantity(n)/101", "discount(%)/102-103", "tax(℃)/104", "flag(NA)/105"]
+    text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in columns])
+    lines = rows.select(F.col("file").alias("supplier"), text.alias("value"))
+    heads = lines.select("supplier").distinct().select(
+        "supplier", F.posexplode(F.array(F.lit("Report,,,,"), F.lit(",,,,"), F.lit(",".join(columns)))).alias("rank", "value")
     )
-    files = heads.withColumn("rank", F.lit(0)).unionByName(lines.withColumn("rank", F.lit(1)))
-    files.repartition("part").sortWithinPartitions("part", "rank").select("value").write.text(path)
-    return read_export_lines(spark, path)
+    files = heads.unionByName(lines.withColumn("rank", F.lit(3)))
+    files = files.repartition("supplier").sortWithinPartitions("supplier", "rank").drop("rank")
+    files.write.partitionBy("supplier").text(path)
+    return by_supplier(read_export_lines(spark, path))
+
+
+def by_supplier(lines):
+    """The folder stands for the file."""
+    return lines.withColumn("file", F.regexp_extract("file", "supplier=([0-9]+)", 1))
 
 
 def q_export_files(spark, sf):
     lines = export_lines(spark, sf)
-    return unpivot_rows(wide_rows(lines, export_headers(lines)), KNOWN).select("Time", "register_name", "value")
+    return unpivot_rows(wide_rows(lines, export_headers(lines)), KNOWN).select(
+        "file", "Time", "register_name", "value")
 
 
 def q_missing(spark, sf):
-    return missing_columns(export_headers(export_lines(spark, sf)), KNOWN).select("register_name").distinct()
+    return missing_columns(export_headers(export_lines(spark, sf)), KNOWN)
 
 
 def q_staging(spark, sf):
@@ -405,9 +418,7 @@ def q_decode(spark, sf):
 
 
 def q_context(spark, sf):
-    return decode_with_context(
-        frames(spark, sf), frame_catalog(spark).filter("register_no in (0, 4, 5, 6)"), share_of_pair
-    ).select("frame_id", "device_id", "ts", "address", "name", "value")
+    return decode_with_context(frames(spark, sf), frame_catalog(spark, CONTEXT_REGISTERS), share_of_pair).select("frame_id", "device_id", "ts", "address", "name", "value")
 
 
 def q_overhanging(spark, sf):
@@ -421,17 +432,21 @@ def q_stream_decode(spark, sf):
     return stream_to_table(spark, stream, "stream-decode").drop("id")
 
 
-def q_ingest(spark, sf):
-    """Frames of many devices to stored readings, a frame being told apart by its time."""
+def spread(frames):
+    """Frames over the seconds of their day; some share their device and time."""
     second = F.col("frame_id") * 7919 % 86_400
-    spread = frames(spark, sf).withColumns({
-        "ts": F.timestamp_micros(F.unix_micros("ts") + second * 1_000_000),
-        "words": F.transform("words", lambda w: F.floor(w / 64).cast("int")),
-    })
-    catalog = frame_catalog(spark).filter("register_no in (0, 6)")
-    # One frame per device and time, as a device answers one read at a time.
-    single = spread.groupBy("device_id", "reg_type", "ts", "start").agg(F.max("words").alias("words"))
-    return ingest_frames(single, catalog, "10 minutes").drop("id")
+    return frames.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + second * 1_000_000))
+
+
+def q_ingest(spark, sf):
+    return ingest_frames(spread(frames(spark, sf)), frame_catalog(spark), "10 minutes")
+
+
+def q_stream_ingest(spark, sf):
+    path = scratch_path(spark, "stream-ingest")
+    stream_ingest(
+        spark, spread(stream_frames(spark, sf)), frame_catalog(spark), path, f"{path}-checkpoint", "10 minutes")
+    return read_telemetry(spark, path).drop("date")
 
 
 def q_resolve(spark, sf):
@@ -519,8 +534,9 @@ def history_of(spark, sf, fill, by_device=False):
 
 
 def q_constants(spark, sf):
-    rows = unpivot_table(exports(spark, sf), KNOWN).filter("value is not null")
-    return constant_registers(rows, ("file", "register_name", "Time"), "line_no")
+    """Orders as files, so that some have one line only or repeat a value."""
+    orders = exports(spark, sf, "l_orderkey")
+    return constant_registers(unpivot_table(orders, KNOWN).filter("value is not null"), order="Time")
 
 
 QUERIES = {
@@ -575,6 +591,7 @@ QUERIES = {
     "precision_first": q_precision,
     "adjusted_address": q_addresses,
     "ingest_frames": q_ingest,
+    "stream_ingest": q_stream_ingest,
     "range_overlaps": lambda s, d: range_overlaps(part_ranges(s, d)).select(
         "device_id", "range_no", "start", "stop"
     ),

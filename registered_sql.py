@@ -516,6 +516,21 @@ def deadband(source, eps, hold):
     return f"WITH RECURSIVE {source}, {CHAIN.format(eps=eps, hold=hold)}"
 
 
+# Frames over the seconds of their day. A chain only runs on inside a run of equal values, as each value
+# that differs from the one before is kept; so each run is walked as a series of its own.
+SPREAD = FRAMES.replace(
+    "l_shipdate AS ts", "l_shipdate + to_seconds(((l_orderkey * 8 + l_linenumber) * 7919) % 86400) AS ts")
+RUNS = CHAIN.format(eps=1e-9, hold="INTERVAL 30 HOURS").replace(
+    "o.register_name, o.value FROM", "split_part(o.register_name, '#', 1) AS register_name, o.value FROM")
+INGEST = f"""WITH RECURSIVE {SPREAD}, {READ},
+in_order AS (SELECT *, row_number() OVER w AS place, lag(scaled) OVER w AS previous FROM scaled
+    WINDOW w AS (PARTITION BY device_id, name ORDER BY ts, frame_id)),
+runs AS (SELECT *, sum(CASE WHEN abs(scaled - previous) < 1e-9 THEN 0 ELSE 1 END) OVER (
+    PARTITION BY device_id, name ORDER BY place) AS run FROM in_order),
+gauges AS (SELECT frame_id AS id, device_id, ts AS "timestamp", name || '#' || run AS register_name,
+    scaled AS value FROM runs),
+{RUNS.replace(")\nSELECT o.id, o.device_id, o.\"timestamp\"", "),\nstored AS (SELECT o.id, o.device_id, o.\"timestamp\"")})"""
+
 EXPORTS = """wide AS (SELECT l_suppkey::VARCHAR AS file,
     (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS line_no,
     CASE WHEN l_quantity > 2 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') ELSE ' ' END AS "Time",
@@ -646,11 +661,9 @@ SQL = {
     "adjusted_address": f"""WITH {PART_REGISTERS} SELECT device_id, register_no, address,
         CASE WHEN is_zero THEN address ELSE greatest(address - 1, 0) END AS wire_address
         FROM registers r JOIN devices d ON d.id = r.device_id""",
-    "ingest_frames": f"""WITH RECURSIVE {FRAMES.replace('l_shipdate AS ts', "l_shipdate + to_seconds(((l_orderkey * 8 + l_linenumber) * 7919) % 86400) AS ts")},
-        coarse AS (SELECT device_id, ts, max(list_transform(w, lambda x: x // 64)) AS w FROM frames GROUP BY 1, 2),
-        gauges AS (SELECT 0 AS id, device_id, ts AS "timestamp", 'r_u16' AS register_name, w[1]::DOUBLE AS value
-            FROM coarse UNION ALL SELECT 0, device_id, ts, 'r_digit', w[4]::DOUBLE FROM coarse),
-        {CHAIN.format(eps=1e-9, hold="INTERVAL 30 HOURS").replace("SELECT o.id, o.device_id, o.\"timestamp\"", "SELECT o.device_id, o.\"timestamp\"")}""",
+    "ingest_frames": f"{INGEST} SELECT * FROM stored",
+    "stream_ingest": f"""{INGEST} SELECT min(id) AS id, device_id, "timestamp", register_name,
+        arg_min(value, id) AS value FROM stored GROUP BY 2, 3, 4""",
     "range_overlaps": f"""WITH {PART_RANGES}, r AS (SELECT *, start + "count" AS stop FROM ranges)
         SELECT device_id, range_no, start, stop FROM r WHERE EXISTS (SELECT 1 FROM r o
             WHERE o.device_id = r.device_id AND o.range_no <> r.range_no
@@ -701,10 +714,11 @@ SQL = {
         WHERE previous IS NULL OR value <> previous""",
     "wide_import": f"WITH {IMPORTED} SELECT * FROM imported",
     "unpivot_clean": f"WITH {EXPORTS} SELECT * FROM long",
-    "export_files": f"""WITH {EXPORTS} SELECT "Time", register_name, value FROM long""",
-    "missing_columns": "SELECT DISTINCT 'pf(NA)' AS register_name FROM lineitem",
-    "constant_registers": f"""WITH {EXPORTS} SELECT file, register_name, "Time", min(line_no) AS line_no
-        FROM long WHERE value IS NOT NULL GROUP BY 1, 2, 3 HAVING count(DISTINCT value) = 1""",
+    "export_files": f"""WITH {EXPORTS} SELECT file, "Time", register_name, value FROM long""",
+    "missing_columns": "SELECT DISTINCT l_suppkey::VARCHAR AS file, 'pf(NA)' AS register_name FROM lineitem",
+    "constant_registers": f"""WITH {EXPORTS.replace("l_suppkey", "l_orderkey")}
+        SELECT file, register_name, min("Time") AS "Time"
+        FROM long WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT value) = 1""",
     "staging_count": f"WITH {IMPORTED} SELECT count(*) AS n_rows FROM imported",
     "append_dedup": f"""WITH {GAUGES} SELECT min(id) AS id, device_id,
         date_trunc('millisecond', "timestamp") AS "timestamp", register_name, arg_min(value, id) AS value

@@ -266,23 +266,77 @@ def test_import_of_workbooks(spark, tmp_path):
     assert [r["file"][-6:] for r in bad_exports(read_xlsx_lines(spark, str(tmp_path))).collect()] == ["c.xlsx"]
 
 
-def test_append_lists_only_the_days_it_touches(spark, telemetry, tmp_path):
-    from wattline.sources.telemetry import new_rows
+def test_append_looks_only_at_the_days_it_touches(spark, telemetry, tmp_path):
+    from wattline.sources.telemetry import days_of, read_days, with_date
 
     path = str(tmp_path / "t")
     append_telemetry(spark, telemetry([(1, f"2024-01-{d:02} 10:00:00", "a", 1.0) for d in range(1, 20)]), path)
-    # A file of another day that no reader gets through.
-    other = os.path.join(path, "date=2024-01-19")
-    for name in os.listdir(other):
-        with open(os.path.join(other, name), "wb") as broken:
-            broken.write(b"broken")
-    batch = telemetry([(1, "2024-01-05 10:00:00", "a", 2.0), (1, "2024-01-06 11:00:00", "a", 2.0)])
-    df = new_rows(batch, read_telemetry(spark, path))
-    assert rows(df.select("timestamp")) == [("2024-01-06 11:00:00",)]
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    scan = next(line for line in plan.splitlines() if "FileScan parquet" in line and "date" in line)
-    filters = scan[scan.index("PartitionFilters"):scan.index("PushedFilters")]
-    assert "Subquery" in filters
+    # A file of another day that no reader gets through; a day between those of the batch, too.
+    for day in ("2024-01-19", "2024-01-07"):
+        other = os.path.join(path, f"date={day}")
+        for name in os.listdir(other):
+            with open(os.path.join(other, name), "wb") as broken:
+                broken.write(b"broken")
+    batch = telemetry([
+        (1, "2024-01-05 10:00:00", "a", 2.0), (1, "2024-01-08 11:00:00", "a", 2.0), (1, "2030-01-08 11:00:00", "a", 2.0),
+    ])
+    found = read_days(spark, path, days_of(with_date(batch)))
+    assert len(found.inputFiles()) == 2 and all("01-05" in f or "01-08" in f for f in found.inputFiles())
+    append_telemetry(spark, batch, path)
+    assert os.path.isdir(os.path.join(path, "date=2030-01-08"))
+    assert read_days(spark, path, days_of(with_date(batch))).count() == 4
+    assert read_days(spark, path, []) is None
+
+
+def test_cells_in_quotes(spark):
+    from wattline.sources.wide import _cells
+
+    texts = {'a,"b,c",d': ["a", "b,c", "d"], '"x ""y""",': ['x "y"', ""], "": [""], 'a,"open,b': ["a", '"open,b'], ",": ["", ""], ",,a": ["", "", "a"],
+             ",".join(["1"] * 5000): ["1"] * 5000}
+    df = spark.createDataFrame([(x,) for x in texts], "line string").withColumn("cells", _cells(F.col("line")))
+    assert {r["line"]: r["cells"] for r in df.collect()} == texts
+
+
+def test_first_sheet_of_another_name(spark, tmp_path):
+    import zipfile
+
+    workbook(tmp_path / "a.xlsx", [["Time", "totalUsed(kWh)/527-528"], ["2024-01-01 00:00:00", 7]])
+    with zipfile.ZipFile(tmp_path / "a.xlsx") as old, zipfile.ZipFile(tmp_path / "b.xlsx", "w") as new:
+        for name in old.namelist():
+            new.writestr(name.replace("sheet1", "data"), old.read(name))
+        main, relations = ("http://schemas.openxmlformats.org/" + x for x in (
+            "spreadsheetml/2006/main", "officeDocument/2006/relationships"))
+        new.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{relations}"><sheets>'
+                     '<sheet name="A" sheetId="2" r:id="rId7"/><sheet name="B" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        new.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/none.xml"/>'
+                     '<Relationship Id="rId7" Target="worksheets/data.xml"/></Relationships>')
+    os.remove(tmp_path / "a.xlsx")
+    got = import_wide(read_wide_exports(spark, str(tmp_path), xlsx=True), KNOWN)
+    assert [r["value"] for r in got.collect()] == [7.0]
+
+
+def test_unreadable_times_are_listed(spark):
+    from wattline.sources.wide import unreadable_times
+
+    df = spark.createDataFrame([("f", 1, "2024-01-01 00:00:00", "1"), ("f", 2, "soon-ish", "2")], ["file", "line_no", "Time", "a"])
+    assert [tuple(r) for r in unreadable_times(unpivot_table(df, ["a"])).collect()] == [("f", 0, 2, "soon-ish")]
+
+
+@pytest.mark.parametrize("seed, want", [("resume", [0, 2, 3]), ("reference", [0, 2, 3, 4])])
+def test_ingest_goes_on_after_a_restart(spark, tmp_path, seed, want):
+    from wattline.streaming.jobs import stream_ingest
+
+    columns = "device_id int, reg_type string, ts timestamp, start int, words array<int>, frame_id long"
+    catalog = spark.sql("""SELECT 1 AS device_id, 'holding' AS reg_type, 0 AS address, 'r' AS name, 'uint16' AS type,
+        1.0D AS scale, false AS preprocessing, true AS enabled, 0 AS register_no""")
+    frames, path, checkpoint = (str(tmp_path / x) for x in ("frames", "table", "checkpoint"))
+    at = [("10:00", 5), ("10:01", 5), ("10:02", 6), ("11:10", 6), ("11:11", 6), ("11:12", 6)]
+    rows = [(1, "holding", dt.datetime.fromisoformat(f"2024-01-01 {t}"), 0, [v], i) for i, (t, v) in enumerate(at)]
+    for part in (rows[:4], rows[4:]):
+        spark.createDataFrame(part, columns).coalesce(1).write.mode("append").parquet(frames)
+        stream = spark.readStream.schema(columns).parquet(frames)
+        stream_ingest(spark, stream, catalog, path, checkpoint, "20 seconds", seed)
+    assert sorted(r["id"] for r in read_telemetry(spark, path).collect()) == want
 
 
 def test_import_of_a_wide_table(spark):

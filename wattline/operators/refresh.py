@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wattline.functions.time import (
     ORIGIN_SECONDS, as_datetime, as_timestamp, in_range, utc_date, width_micros,
 )
-from wattline.sources.telemetry import remove_days, table_exists, within_days, write_by_date
+from wattline.sources.telemetry import days_of, read_days, remove_days, write_by_date
 
 # How far back and up to when the scheduled refresh of each aggregate looks.
 MINUTE_OFFSETS = ("2 hours", "1 minute")
@@ -54,19 +54,17 @@ def refresh_table(spark, telemetry, build, path, window, time):
     failed or repeated refresh leaves a whole table. Days of the window that have no rows any more
     are then removed; a refresh that ends before that removes them when it is repeated.
     """
-    low, high = as_timestamp(window[0]), as_timestamp(window[1])
     if window[0] >= window[1]:
         return
-    existing, stored_days = None, []
-    if table_exists(spark, path):
-        stored = spark.read.parquet(path)
-        existing = stored.filter(F.col("date").between(utc_date(low), utc_date(high)))
-        # One value for each day of the window.
-        stored_days = [r["date"] for r in existing.select("date").distinct().collect()]
+    first, last = as_datetime(window[0]).date(), as_datetime(window[1]).date()
+    window_days = [first + dt.timedelta(days=i) for i in range((last - first).days + 1)]
+    existing, stored_days = read_days(spark, path, window_days), []
+    if existing is not None:
+        stored_days = days_of(existing)
         existing = existing.drop("date")
     table = refreshed(existing, telemetry, build, window, time)
     table = table.withColumn("date", utc_date(F.col(time)))
-    days = {r["date"] for r in table.select("date").distinct().collect()} if stored_days else set()
+    days = set(days_of(table)) if stored_days else set()
     write_by_date(table, path, mode="overwrite", sort=())
     remove_days(spark, path, [day for day in stored_days if day not in days])
 
@@ -78,8 +76,7 @@ def upsert_table(spark, rows, path, keys, time):
     """
     dated = rows.withColumn("date", utc_date(F.col(time)))
     merged = dated
-    if table_exists(spark, path):
-        days = dated.select("date").distinct()
-        stored = within_days(spark.read.parquet(path), dated).join(days, "date", "left_semi")
+    stored = read_days(spark, path, days_of(dated))
+    if stored is not None:
         merged = stored.join(dated.select(*keys), keys, "left_anti").unionByName(dated)
     write_by_date(merged, path, mode="overwrite", sort=())

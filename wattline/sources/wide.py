@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from wattline.functions.naming import clean_header, clean_name
 from wattline.operators.changes import change_filter
 
-# A comma outside double quotes.
-_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+# A cell behind its comma: it ends at a comma outside double quotes; a quote left open runs to the
+# line's end. Every character is looked at once.
+_CELL = r',((?:[^",]++|"[^"]*+(?:"|$))*+)'
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 # Fixed value: day 0 of spreadsheet dates, 1899-12-30, in days before 1970.
 _SHEET_EPOCH_DAYS = 25_569
@@ -24,7 +26,7 @@ _SHEET_EPOCH_DAYS = 25_569
 
 def _cells(line):
     unquoted = F.transform(
-        F.split(line, _COMMA, -1), lambda c: F.regexp_replace(F.trim(c), r'^"([\s\S]*)"$', "$1")
+        F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)), lambda c: F.regexp_replace(F.trim(c), r'^"([\s\S]*)"$', "$1")
     )
     return F.transform(unquoted, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
 
@@ -52,29 +54,68 @@ def read_xlsx_lines(spark, path):
     return lines.select("file", F.lit(0).cast("long").alias("block"), "line_no", "cells")
 
 
+SHEET_LINES = 10_000
+
+
 def _sheet_lines(batches):
     for pdf in batches:
         for file, content in zip(pdf["path"], pdf["content"]):
+            start, part = 0, []
             try:
-                rows = sheet_rows(content)
+                for row in sheet_rows(content):
+                    part.append(row)
+                    if len(part) == SHEET_LINES:
+                        yield _as_lines(file, start, part)
+                        start, part = start + SHEET_LINES, []
             except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
-                rows = [[f"unreadable: {error}"]]
-            for start in range(0, len(rows), 10_000):
-                part = rows[start:start + 10_000]
-                yield pd.DataFrame({
-                    "file": file, "line_no": range(start, start + len(part)), "cells": part,
-                })
+                part.append([f"unreadable: {error}"])
+            if part:
+                yield _as_lines(file, start, part)
+
+
+def _as_lines(file, start, part):
+    return pd.DataFrame({"file": file, "line_no": range(start, start + len(part)), "cells": part})
+
+
+def _first_sheet(book):
+    """Name of the first sheet's part: the workbook names sheets by relations. Without that list it
+    has the usual name."""
+    if "xl/workbook.xml" not in book.namelist():
+        return "xl/worksheets/sheet1.xml"
+    sheet = next(ElementTree.parse(book.open("xl/workbook.xml")).iter(f"{_SHEET}sheet"), None)
+    if sheet is None:
+        raise KeyError("workbook without a sheet")
+    for relation in ElementTree.parse(book.open("xl/_rels/workbook.xml.rels")).getroot():
+        if relation.get("Id") == sheet.get(f"{_RELATION}id"):
+            target = relation.get("Target")
+            return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    raise KeyError("first sheet without a part")
+
+
+def _elements(book, part, tag):
+    """Elements of a part one by one, each dropped after use."""
+    with book.open(part) as file:
+        events = ElementTree.iterparse(file, events=("start", "end"))
+        parents = []
+        for event, element in events:
+            if event == "start":
+                parents.append(element)
+                continue
+            parents.pop()
+            if element.tag == f"{_SHEET}{tag}":
+                yield element
+                if parents:
+                    parents[-1].remove(element)
 
 
 def sheet_rows(content):
-    """Cells of the first sheet of a workbook, as text; None where a cell is empty."""
+    """Cells of the first sheet of a workbook row by row, as text; None where a cell is empty."""
     book = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
-        for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot():
+        for item in _elements(book, "xl/sharedStrings.xml", "si"):
             shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
-    rows = []
-    for row in ElementTree.parse(book.open("xl/worksheets/sheet1.xml")).iter(f"{_SHEET}row"):
+    for row in _elements(book, _first_sheet(book), "row"):
         cells = []
         for cell in row.iter(f"{_SHEET}c"):
             letters = re.match("[A-Z]*", cell.get("r", ""))[0]
@@ -85,8 +126,7 @@ def sheet_rows(content):
                 cells[place - 1] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
             elif value is not None:
                 cells[place - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-        rows.append(cells)
-    return rows
+        yield cells
 
 
 def export_headers(lines):
@@ -194,7 +234,7 @@ def import_long(long_rows, device_id=1):
     """The readings to store: changes only within each file, no NULLs or zeros.
 
     Zeros and NULLs go after the change filter, so a value that returns after one is kept. A row
-    with an unreadable time is left out.
+    with an unreadable time is left out; ``unreadable_times`` lists those.
     """
     timed = long_rows.drop("Time").filter(
         "timestamp IS NOT NULL AND file IS NOT NULL AND register_name IS NOT NULL"
@@ -210,6 +250,11 @@ def import_long(long_rows, device_id=1):
     )
 
 
+def unreadable_times(long_rows):
+    """Places of the rows that an import leaves out because their time cannot be read."""
+    return long_rows.filter("timestamp IS NULL").select("file", "block", "line_no", "Time").distinct()
+
+
 def missing_columns(headers, known):
     """Per file, the known registers it has no column for."""
     wanted = F.array(*[F.lit(k) for k in known])
