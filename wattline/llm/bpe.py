@@ -20,8 +20,9 @@ import regex
 
 from wattline.llm.common import map_batches
 
-KEPT_WORDS, KEPT_CHUNKS = 600_000, 500_000
-PUNCTUATION = frozenset(".,;:!?")  # ends of words that need no search for the words in a chunk
+KEPT_WORDS, KEPT_CHUNKS = 800_000, 1_000_000
+# Ends of words that need no search for the words in a chunk: letters, then one run of these.
+PUNCTUATION = ".,;:!?#$%&*|"
 # Python's split() also splits at these four, which are no white space for the splitter.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -125,11 +126,10 @@ class Tokenizer:
         # Capital sigma is lowered letter by letter, whatever its place in the word.
         if not part.isascii():
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        low = part.lower()
-        if low.isalpha():
-            return self.words[low]
-        if low[-1:] in PUNCTUATION and low[:-1].isalpha():
-            return self.words[low[:-1]] + self.words[low[-1]]
+        low = part if part.islower() else part.lower()
+        core = low.rstrip(PUNCTUATION)
+        if core.isalpha():
+            return self.words[low] if core == low else self.words[core] + self.words[low[len(core):]]
         return b"".join(map(self.words.__getitem__, self.splitter.findall(low)))
 
     def packed(self, ids):
