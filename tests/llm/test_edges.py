@@ -174,6 +174,26 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, piece):
         assert sum(s.end - s.start for s in found[i].spans) == found[i].n_removed
 
 
+def test_repeated_rows_are_copies(spark):
+    r = random.Random(9)
+    text, other = (" ".join(str(r.randrange(10**6)) for _ in range(300)) for _ in range(2))
+    rows = [(1, text), (1, text), (2, other), (3, " ".join(text.split()[100:200]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((x.doc_id, x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(df).collect())
+    assert found == [(1, 300, 300), (1, 300, 300), (2, 300, 0), (3, 100, 100)]
+
+
+def test_paths_are_compacted(spark):
+    """A passage in two texts is one path, cut where a third text leaves it."""
+    r = random.Random(4)
+    passage, *ends = ([str(r.randrange(10**6)) for _ in range(400)] for _ in range(7))
+    texts = [" ".join(x) for x in (ends[0] + passage + ends[1], ends[2] + passage + ends[3], ends[4] + passage[:200] + ends[5])]
+    df = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "k1 long, k2 long, text string")
+    found = [x for x in substring_dedup.repeated(df).collect() if x.edges > 1]
+    assert len({x.path for x in found}) <= 4 and len(found) <= 8
+    assert max(x.edges for x in found) > 100
+
+
 def test_substring_dedup_edges(docs, none):
     found = substring_dedup.remove_repeats(docs, with_text=False).collect()
     by = {(r.doc_id, r.n_words): r.n_removed for r in found}

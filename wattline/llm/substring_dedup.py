@@ -12,7 +12,10 @@ long. Equal edges have equal anchors, so all that can be equal meets under one a
 2. a path whose whole word sequence occurs again is repeated as it is (nonbranching);
 3. an anchor under which different paths meet, or one path meets itself, branches: one copy of each
    of its paths is taken apart into edges, which are counted one by one;
-4. repeated paths and edges return to the documents by their source coordinates (document, first
+4. repeated paths are compacted: where a path is always followed by one other and that one always
+   comes after it, a join of the paths with themselves links the two, and chains of such links
+   become one path;
+5. repeated paths and edges return to the documents by their source coordinates (document, first
    word, number of edges), where they are merged to maximal spans and cut out.
 
 Which path an edge belongs to depends on the edge's words alone as far as the anchor goes, and a path
@@ -30,6 +33,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattline.llm.common import map_batches, materialize, text_bytes
@@ -212,9 +216,41 @@ def edges_of(docs, wanted):
         run, "anchor long, edge long, k1 long, k2 long, start int")
 
 
+def compacted(spans):
+    """(k1, k2, start, edges, path) of compacted paths, from rows of the same form.
+
+    A path is inner when it has one predecessor at all its places, which in turn has it as its
+    only successor. Paths at a document's end have none there, so every chain has a head, and every
+    place of a compacted path runs from its head on. Rows that repeat key and text stand at the same
+    coordinates; their paths stay as they are.
+    """
+    spans = materialize(spans, "spans")
+    inside = Window.partitionBy("k1", "k2").orderBy("start")
+    after = F.lead("start").over(inside) == F.col("start") + F.col("edges")
+    before = F.lag(F.col("start") + F.col("edges")).over(inside) == F.col("start")
+    linked = spans.select(
+        "path", F.when(before, F.lag("path").over(inside)).alias("last"),
+        F.when(after, F.lead("path").over(inside)).alias("next"))
+    nodes = linked.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("last", "next") for k, f in (
+            ("n", F.count), ("low", F.min), ("high", F.max))])
+
+    def only(c):
+        return F.when((F.col(f"n_{c}") == F.col("n")) & (F.col(f"low_{c}") == F.col(f"high_{c}")), F.col(f"low_{c}"))
+
+    nodes = materialize(nodes.select("path", only("last").alias("last"), only("next").alias("next")), "nodes")
+    a, b = nodes.select(F.col("path").alias("last"), F.col("next").alias("path")), nodes.select("path", "last")
+    inner = materialize(a.join(b, ["last", "path"]).select("path", F.lit(True).alias("inner")), "inner")
+    headed = spans.join(inner, "path", "left").withColumn(
+        "chain", F.sum(F.when(F.col("inner"), 0).otherwise(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return headed.groupBy("k1", "k2", "chain").agg(
+        F.min("start").alias("start"), F.sum("edges").cast("int").alias("edges"),
+        F.min_by("path", "start").alias("path"))
+
+
 def repeated(docs):
-    """Written (k1, k2, start, edges): repeated edges of rows (k1, k2, text) by their coordinates,
-    as paths where whole paths repeat."""
+    """Written (k1, k2, start, edges, path): repeated edges of rows (k1, k2, text) by their coordinates,
+    as compacted paths where whole paths repeat; ``path`` is the hash of a path's head, or of the edge."""
     every = materialize(paths(docs), "paths")
     # 1. Anchors that occur again, or in which a path meets itself.
     anchors = every.groupBy("anchor").agg(
@@ -225,7 +261,8 @@ def repeated(docs):
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again"),
         *[F.first(c).alias(c) for c in ("k1", "k2", "start", "edges")]), "distinct-paths")
     whole = distinct.where("n > 1").select("anchor", "path")
-    spans = some.join(whole, ["anchor", "path"], "left_semi").select("k1", "k2", "start", "edges")
+    spans = compacted(some.join(whole, ["anchor", "path"], "left_semi").select("k1", "k2", "start", "edges", "path"))
+    spans = spans.select("k1", "k2", "start", "edges", "path")
     # 3. Edges of the paths whose anchor branches.
     branching = distinct.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("anchor")
@@ -233,7 +270,7 @@ def repeated(docs):
     edges = materialize(edges_of(docs, wanted), "edges")
     twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "edge")
     single = edges.join(materialize(twice, "repeated-edges"), ["anchor", "edge"], "left_semi").select(
-        "k1", "k2", "start", F.lit(1).alias("edges"))
+        "k1", "k2", "start", F.lit(1).alias("edges"), F.col("edge").alias("path"))
     return materialize(spans.unionByName(single), "repeats")
 
 
