@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -20,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 def spark():
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.driver.memory": "4g",
+        "spark.driver.memory": "4g", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"),
     })
     session.sparkContext.setLogLevel("ERROR")
     return session

@@ -1,5 +1,6 @@
 """Session defaults and the shared folder for intermediate tables."""
 
+import functools
 import tempfile
 import uuid
 
@@ -27,7 +28,7 @@ def build_session(app="wattline", master=None, **conf):
 
 
 def tune(spark):
-    """Puts the settings on a session that is already there."""
+    """Puts the settings on a session that is already there; they stay on it."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
@@ -36,13 +37,18 @@ def tune(spark):
 def shared_dir(spark):
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local session without that setting gets a temporary folder instead.
+    Only a local session without that setting gets a temporary folder instead, one for the process.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return _local_folder()
+
+
+@functools.cache
+def _local_folder():
     return tempfile.mkdtemp(prefix="wattline-")
 
 
