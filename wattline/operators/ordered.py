@@ -9,14 +9,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
-def carried_tails(df, keys, chunk, order, cols):
-    """Per key and chunk, the last non-NULL values of all earlier chunks, as ``seed_<col>``."""
-    tail = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"seed_{c}") for c in cols]
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    seeds = [F.last(f"seed_{c}", ignorenulls=True).over(before).alias(f"seed_{c}") for c in cols]
-    return df.groupBy(*keys, chunk).agg(*tail).select(*keys, chunk, *seeds)
-
-
 def with_previous(df, keys, chunk, order, cols):
     """Adds ``prev_<col>`` of the preceding row, per key in the given order (NULL at the first)."""
     in_chunk = Window.partitionBy(*keys, chunk).orderBy(*order)
@@ -50,12 +42,18 @@ def fill_gaps(df, keys, chunk, order, cols, fill="previous_row"):
         return known.select(*rest, *filled)
     if fill != "locf":
         raise ValueError(f"unknown fill: {fill!r}")
-    seeds = carried_tails(df, keys, chunk, order[0], cols)
-    up_to_row = (
-        Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    in_order = Window.partitionBy(*keys, chunk).orderBy(*order)
+    up_to_row = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    carried = df.withColumns({
+        **{c: F.last(c, ignorenulls=True).over(up_to_row) for c in cols},
+        "is_tail": F.lead(F.lit(True)).over(in_order).isNull(),
+    })
+    # The last row of a filled chunk has the chunk's last values; of those, the last ones before count.
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    seeds = carried.filter("is_tail").select(
+        *keys, chunk, *[F.last(c, ignorenulls=True).over(before).alias(f"seed_{c}") for c in cols]
     )
-    carried = df.withColumns({c: F.last(c, ignorenulls=True).over(up_to_row) for c in cols})
     joined = carried.join(seeds, [*keys, chunk], "left")
     return joined.withColumns(
         {c: F.coalesce(F.col(c), F.col(f"seed_{c}")) for c in cols}
-    ).drop(*[f"seed_{c}" for c in cols])
+    ).drop("is_tail", *[f"seed_{c}" for c in cols])
