@@ -27,6 +27,8 @@ from wattline.llm.common import map_batches, materialize
 LENGTH, END = 2048, 1
 # Tasks whose totals one task adds up in order; the blocks' sums are one row for so many tasks.
 BLOCK = 1024
+# So many tasks' offsets, 16 bytes each, are sent to every executor at most.
+MOST_SENT = 1_000_000
 def tokenized(df, path, text="text", key="doc_id", end=END):
     """Written table (part, start, key, tokens, ids): ids of every row, its task, and the ids of
     that task before it. Written once, so the places stay as they are whatever runs again."""
@@ -103,7 +105,11 @@ def pieces(tokens, key="doc_id", length=LENGTH, with_ids=True):
 
     schema = f"""key {kind}, start long, length long, ids_crc32 long, doc_tokens long,
         sequence_id long, offset long""" + (", ids array<int>" if with_ids else "")
-    placed = tokens.join(part_offsets(tokens), "part")
+    offsets = part_offsets(tokens)
+    # One row of two numbers for each task; beyond the bound the rows are joined by shuffling.
+    if offsets.count() <= MOST_SENT:
+        offsets = F.broadcast(offsets)
+    placed = tokens.join(offsets, "part")
     return map_batches(placed, run, schema).withColumnRenamed("key", key)
 
 
