@@ -22,12 +22,15 @@ VOCABULARY = "word_bpe_49k.json"
 
 def language_id(spark, docs, sf_dir):
     """Texts without a letter, and those unlike every learned language, go. Languages are learned from
-    the rows that name one."""
+    the rows that name one; where none does, only texts without a letter go."""
     prepare(spark)
+    known = prototypes(docs)
+    if not known:
+        return docs.where(docs["text"].rlike(r"\p{L}"))
     names = {c: free_name(docs, c) for c in ("lang_pred", "score", "whole_text")}
     # The text is looked at in a copy, as prediction returns all columns but the one it reads.
     rows = docs.withColumn(names["whole_text"], docs["text"])
-    found = predict(rows, prototypes(docs), names["whole_text"], names["lang_pred"], names["score"])
+    found = predict(rows, known, names["whole_text"], names["lang_pred"], names["score"])
     likely = (F.col(names["lang_pred"]) != UNKNOWN) & (F.col(names["score"]) >= LEAST_SCORE)
     return found.where(likely).select(*docs.columns)
 

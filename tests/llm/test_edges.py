@@ -406,5 +406,7 @@ def test_stages_on_odd_rows(spark, docs, none):
     kept = corpus_pipeline.language_id(spark, docs, None)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "6", "7", "8", "None"]
+    unnamed = corpus_pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), None)
+    assert sorted(str(r.doc_id) for r in unnamed.collect()) == ["1", "1", "6", "7", "8", "None"]
     masked = corpus_pipeline.secrets(spark, docs, None).collect()
     assert {r.n_chars for r in masked if r.text == '[SECRET]" x'} == {11}
