@@ -206,5 +206,9 @@ def drop_near_duplicates(df, text="text", key="doc_id", words=WORDS):
     copy, row = numbered(df)
     found = near_duplicates(copy, text, row, words).select(F.col(row).alias("row"), "component_id")
     keyed = copy.select(copy[row].alias("row"), copy[key].alias("key")).join(found, "row")
-    kept = keyed.groupBy("component_id").agg(F.coalesce(F.min_by("row", "key"), F.min("row")).alias(row))
-    return copy.join(materialize(kept.select(row), "kept"), row, "left_semi").drop(row)
+    keyed = materialize(keyed, "keyed")
+    stays = materialize(keyed.groupBy("component_id").agg(
+        F.coalesce(F.min_by("row", "key"), F.min("row")).alias("stays")), "stays")
+    # The rows that go are the fewer, so Spark can often send them to the texts.
+    gone = keyed.join(stays, "component_id").where("row <> stays").select(F.col("row").alias(row))
+    return copy.join(materialize(gone, "gone"), row, "left_anti").drop(row)
