@@ -96,7 +96,8 @@ def postings(df, grams, text="text"):
     low = df.select(F.xxhash64(df[text]).alias("text_key"), F.lower(df[text]).alias("low"))
     present = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]
     held = low.select("text_key", F.array_compact(F.array(*present)).alias("grams"))
-    return held.select("text_key", F.explode("grams").alias("gram")).distinct()
+    # Outer, as for a plain explode Spark would first test, and so compute, the array a second time.
+    return held.select("text_key", F.explode_outer("grams").alias("gram")).where("gram IS NOT NULL").distinct()
 
 
 def candidates(df, rules=RULES, text="text"):
