@@ -3,7 +3,7 @@
 Vectors are whole numbers (floor of 256 times each component); the score is the inner product. Equal
 vectors form a class and are searched once; of a class no more than the smallest ids can be among the
 best, so a very common vector is one class with a few ids. The approximation file holds a cell of one
-byte for each component: the component's range in the table is cut into 64 equal cells. With q a
+byte for each component: the component's range in the table is cut into 256 equal cells. With q a
 query, the score of a vector is within sum |q_d| * w_d / 2 of the inner product with its cells'
 centres, w_d being the width of a cell.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wattline.llm.common import materialize
 
-CELLS = 64
+CELLS = 256
 # Classes and queries in a block.
 ROWS, QUERIES = 2048, 256
 
