@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from wattline.llm.common import free_name, materialize, prepare
 from wattline.llm.exact_dedup import drop_exact_duplicates
-from wattline.llm.language_id import UNKNOWN, predict, prototypes
+from wattline.llm.language_id import UNKNOWN, predict, profiles
 from wattline.llm.packing import pack
 from wattline.llm.secret_scan import mask_secrets
 from wattline.llm.simhash import drop_near_duplicates
 
-# A score is (1 + cosine) / 2: below this a text is unlike every language that was learned.
-LEAST_SCORE = 0.5
+# Below this share of the support that a language's own rows have, a text is unlike that language.
+LEAST_SHARE = 0.25
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -24,14 +24,15 @@ def language_id(spark, docs, sf_dir):
     """Texts without a letter, and those unlike every learned language, go. Languages are learned from
     the rows that name one; where none does, only texts without a letter go."""
     prepare(spark)
-    known = prototypes(docs)
+    known, supports = profiles(docs)
     if not known:
         return docs.where(docs["text"].rlike(r"\p{L}"))
-    names = {c: free_name(docs, c) for c in ("lang_pred", "score", "whole_text")}
+    names = {c: free_name(docs, c) for c in ("lang_pred", "score", "share", "whole_text")}
     # The text is looked at in a copy, as prediction returns all columns but the one it reads.
     rows = docs.withColumn(names["whole_text"], docs["text"])
-    found = predict(rows, known, names["whole_text"], names["lang_pred"], names["score"])
-    likely = (F.col(names["lang_pred"]) != UNKNOWN) & (F.col(names["score"]) >= LEAST_SCORE)
+    found = predict(rows, known, names["whole_text"], names["lang_pred"], names["score"], supports, names["share"])
+    like = F.coalesce(F.col(names["share"]) >= LEAST_SHARE, F.lit(True))
+    likely = (F.col(names["lang_pred"]) != UNKNOWN) & like
     return found.where(likely).select(*docs.columns)
 
 

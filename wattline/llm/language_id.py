@@ -7,6 +7,12 @@ language the bundle of its texts, each scaled to one length. The mean of the lan
 share and is taken out of prototypes and texts. The language whose prototype has the highest cosine
 with the text is predicted; its score is (1 + cosine) / 2.
 
+That score compares languages, so it is high for the best one whatever the text. Whether a text is in
+any of them is told by its support: its mean product, over its trigrams, with a language's prototype
+before the mean is taken out. It does not depend on the text's length. Prediction can give the share of
+that support in what the language's own training rows have on average, each with the other rows; a
+language of one row has no such average and sets no bar.
+
 Prototypes are whole-number sums over all training rows, so they do not depend on the order of adding
 up. They are one vector for each language; a table with more than ``most`` languages is refused.
 
@@ -87,76 +93,104 @@ def trigram_rows(codes):
 
 def bundle(text):
     """Vector of a text, or None without a letter."""
+    return bundled(text)[0]
+
+
+def bundled(text):
+    """(vector of a text, number of its trigrams); the vector is None without a letter."""
     if not text:
-        return None
-    total, any_letter = np.zeros(SIZE), False
+        return None, 0
+    total, n = np.zeros(SIZE), 0
     for a in range(0, len(text), PIECE):
         # Pieces share two letters, so that no trigram is lost between them.
         low = letters_of(text[max(0, a - 2) : a + PIECE])
         if len(low) < 3:
             continue
-        any_letter = True
+        n += len(low) - 2
         grams, counts = np.unique(low[:-2] << np.uint64(42) | low[1:-1] << np.uint64(21) | low[2:], return_counts=True)
         for b in range(0, len(grams), KEPT_TRIGRAMS):
             rows = trigram_rows(grams[b : b + KEPT_TRIGRAMS].tolist())
             total += counts[b : b + KEPT_TRIGRAMS].astype(np.float32) @ ROWS[0][rows]
-    return total if any_letter else None
+    return (total, n) if n else (None, 0)
 
 
 def prototypes(df, text="text", lang="lang", most=MOST):
-    """{language: vector}: bundles of all rows with a language. One sum for each language and
-    component reaches the driver."""
+    """{language: vector}: bundles of all rows with a language."""
+    return profiles(df, text, lang, most)[0]
+
+
+def profiles(df, text="text", lang="lang", most=MOST):
+    """({language: vector}, {language: mean support of its rows}). For each language one sum for each
+    component of two vectors, and two more, reach the driver."""
+    size = 2 * SIZE + 2
 
     def run(batches):
         sums = {}
         for batch in batches:
             for x, y in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                if (v := bundle(x)) is not None and (n := np.linalg.norm(v)):
-                    v = np.rint(v * (SCALE / n)).astype(np.int64)
+                v, grams = bundled(x)
+                if v is not None and (n := np.linalg.norm(v)):
+                    v = np.rint(np.concatenate([v / n, v / grams, [n / grams, 1]]) * SCALE).astype(np.int64)
                     sums[y] = sums[y] + v if y in sums else v
         for y, v in sums.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([y] * SIZE), pa.array(range(SIZE), pa.int32()), pa.array(v)], names=["lang", "at", "value"])
+                [pa.array([y] * size), pa.array(range(size), pa.int32()), pa.array(v)], names=["lang", "at", "value"])
 
     rows = df.where(df[lang].isNotNull()).select(df[text].alias("text"), df[lang].alias("lang"))
     sums = rows.mapInArrow(run, "lang string, at int, value long").groupBy("lang", "at").agg(F.sum("value").alias("value"))
-    found = sums.limit(most * SIZE + 1).collect()
-    if len(found) > most * SIZE:
+    found = sums.limit(most * size + 1).collect()
+    if len(found) > most * size:
         raise ValueError(f"more than {most} languages")
     out = {}
     for r in found:
-        out.setdefault(r["lang"], np.zeros(SIZE))[r["at"]] = r["value"]
-    return out
+        out.setdefault(r["lang"], np.zeros(size))[r["at"]] = r["value"]
+    return {y: v[:SIZE] for y, v in out.items()}, {y: support(v) for y, v in out.items()}
+
+
+def support(sums):
+    """Mean support of a language's rows, each with the bundle of the others; 0 for a single row."""
+    bundles, means, (own, n) = sums[:SIZE], sums[SIZE : 2 * SIZE], sums[2 * SIZE :] / SCALE
+    if n < 2:
+        return 0.0
+    with_others = bundles @ means / SCALE**2 - own
+    # What is left without one row is on average this long.
+    length = np.sqrt(max((bundles @ bundles / SCALE**2) * (1 - 2 / n) + 1, 1e-12))
+    return max(with_others / (n * length), 0.0)
 
 
-def predict(df, known, text="text", lang_pred="lang_pred", score="score"):
+def predict(df, known, text="text", lang_pred="lang_pred", score="score", supports=None, share="share"):
     """All columns of ``df`` without the text, and the columns ``lang_pred`` and ``score``. Only the
-    text is looked at; ``known`` comes from ``prototypes``."""
+    text is looked at; ``known`` comes from ``prototypes``. With ``supports`` from ``profiles`` there
+    is a column ``share`` too: the largest share of a language's support that the text has, null
+    where the predicted language sets no bar."""
     names = sorted(known)
     if names:
         unit = np.array([known[n] / np.linalg.norm(known[n]) for n in names])
         mean = unit.mean(axis=0) if len(names) > 1 else np.zeros(SIZE)
         centred = unit - mean
         centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+        bar = np.array([(supports or {}).get(n, 0.0) for n in names])
 
     def guess(x):
-        v = bundle(x) if names else None
+        v, grams = bundled(x) if names else (None, 0)
         if v is None or not (n := np.linalg.norm(v)):
-            return UNKNOWN, 0.0
-        v = v / n - mean
-        cosines = centred @ v / max(np.linalg.norm(v), 1e-12)
+            return UNKNOWN, 0.0, 0.0
+        w = v / n - mean
+        cosines = centred @ w / max(np.linalg.norm(w), 1e-12)
         best = int(np.argmax(cosines))
-        return names[best], float(np.clip((1 + cosines[best]) / 2, 0, 1))
+        part = float(np.max((unit @ v)[bar > 0] / grams / bar[bar > 0])) if bar[best] > 0 else None
+        return names[best], float(np.clip((1 + cosines[best]) / 2, 0, 1)), part
 
     others = [f for f in df.schema if f.name != text]
+    added = [StructField(lang_pred, StringType()), StructField(score, DoubleType())]
+    if supports is not None:
+        added.append(StructField(share, DoubleType()))
 
     def run(batch):
         found = [guess(x) for x in batch[text].to_pylist()]
-        return {f.name: batch[f.name] for f in others} | {
-            lang_pred: [x for x, _ in found], score: [y for _, y in found]}
+        return {f.name: batch[f.name] for f in others} | {f.name: [x[i] for x in found] for i, f in enumerate(added)}
 
-    schema = StructType([*others, StructField(lang_pred, StringType()), StructField(score, DoubleType())])
-    return map_batches(df, run, schema)
+    return map_batches(df, run, StructType([*others, *added]))
 
 
 def is_held_out(key):
