@@ -27,3 +27,36 @@ def test_language_stage_drops_gibberish_and_keeps_texts_of_every_language(spark)
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, SF).collect()}
     clean = {r.doc_id: r.lang for r in docs.collect() if any(c.isalpha() for c in r.text)}
     assert kept == set(clean) and len(set(clean.values())) == 4
+
+
+def words(r, n):
+    return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n)]
+
+
+def like(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def kept_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+
+
+def test_near_dedup_keeps_texts_that_only_share_a_repeated_passage(spark):
+    r = random.Random(5)
+    passage = " ".join(words(r, 12))
+    # Counted with repeats, the passage decides every bit; the other texts have nothing in common.
+    texts = [" ".join([*words(r, 30), *[passage] * 200]) for _ in range(6)]
+    assert kept_of(spark, texts) == set(range(6))
+
+
+def test_near_dedup_keeps_the_far_ends_of_a_chain(spark):
+    r = random.Random(6)
+    chain = [words(r, 400)]
+    for _ in range(12):
+        chain.append(chain[-1][6:] + words(r, 6))
+    texts = [" ".join(x) for x in chain]
+    kept = kept_of(spark, texts)
+    sets = [{tuple(x[i : i + 5]) for i in range(396)} for x in chain]
+    assert all(any(like(sets[i], sets[j]) for j in kept if j < i) for i in set(range(13)) - kept)
+    assert len(kept) > 1

@@ -17,6 +17,7 @@ Null texts and texts without words have fingerprint zero and are linked like any
 repeat a key are one document each; a null key names a component only if there is no other.
 """
 
+import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -35,6 +36,8 @@ PIVOTS = 16
 PART = 8192
 # Shingles hashed at once.
 RUN = 1 << 16
+# Of two texts' distinct shingles, the part in common from which one of them is a near copy.
+SIMILARITY = 0.8
 
 
 def bit_counts(digests):
@@ -200,15 +203,78 @@ def near_duplicates(df, text="text", key="doc_id", words=WORDS):
         F.col("key").alias(key), unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df, text="text", key="doc_id", words=WORDS):
-    """The rows that stay, with all their columns: of each component the one with the smallest key
-    (of several with that key one, a null key only if there is no other)."""
+def shingle_hashes(text, words):
+    """Sorted distinct 64-bit hashes of a text's word shingles; none without words."""
+    found = text_bytes(text).lower().split()
+    if not found:
+        return np.array([], np.uint64)
+    n = max(1, len(found) - words + 1)
+    digests = b"".join(
+        xxhash.xxh64_digest(b" ".join(found[i : i + words]), SEED) for i in range(n))
+    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
+
+
+class Kept:
+    """Shingle sets of the documents of one component that stay, found by any of their shingles that
+    lie in the prefix: two sets of the similarity share one of these smallest hashes of each."""
+
+    def __init__(self, similarity):
+        self.similarity, self.sets, self.places = similarity, [], {}
+
+    def prefix(self, hashes):
+        return hashes[: len(hashes) - math.ceil(self.similarity * len(hashes) - 1e-9) + 1].tolist()
+
+    def has_like(self, hashes):
+        n = len(hashes)
+        if not n:
+            return any(not len(x) for x in self.sets)
+        for place in {p for h in self.prefix(hashes) for p in self.places.get(h, ())}:
+            other = self.sets[place]
+            if min(n, len(other)) < self.similarity * max(n, len(other)) - 1e-9:
+                continue
+            both = len(np.intersect1d(hashes, other, assume_unique=True))
+            if both >= self.similarity * (n + len(other) - both) - 1e-9:
+                return True
+        return False
+
+    def add(self, hashes):
+        for h in self.prefix(hashes):
+            self.places.setdefault(h, []).append(len(self.sets))
+        self.sets.append(hashes)
+
+
+def verified(batches, words, similarity):
+    """Numbers of the rows that go, of rows (component, row, text) that come with equal components next
+    to each other and in the order in which they are to stay."""
+    kept, last = None, None
+    for batch in batches:
+        gone = []
+        for component, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if kept is None or component != last:
+                kept, last = Kept(similarity), component
+            hashes = shingle_hashes(text, words)
+            if kept.has_like(hashes):
+                gone.append(row)
+            else:
+                kept.add(hashes)
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["row"])
+
+
+def drop_near_duplicates(df, text="text", key="doc_id", words=WORDS, similarity=SIMILARITY):
+    """The rows that stay, with all their columns. In the order of keys (null ones last), a row goes if a
+    row that stays, of the same component, has at least ``similarity`` of their distinct shingles in
+    common (Jaccard). Components only say which texts are compared, so no row goes for a chain of
+    links or for equal fingerprints. A component is gone through in one task, which holds the shingles of
+    its rows that stay."""
     copy, row = numbered(df)
     found = near_duplicates(copy, text, row, words).select(F.col(row).alias("row"), "component_id")
-    keyed = copy.select(copy[row].alias("row"), copy[key].alias("key")).join(found, "row")
-    keyed = materialize(keyed, "keyed")
-    stays = materialize(keyed.groupBy("component_id").agg(
-        F.coalesce(F.min_by("row", "key"), F.min("row")).alias("stays")), "stays")
+    found = materialize(found, "found")
+    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = materialize(found.join(several, "component_id"), "members")
+    texts = copy.select(copy[row].alias("row"), copy[key].alias("key"), copy[text].alias("text")).join(members, "row")
+    dealt = texts.repartition("component_id").sortWithinPartitions(
+        "component_id", F.col("key").asc_nulls_last(), "row").select("component_id", "row", "text")
+    gone = dealt.mapInArrow(lambda batches: verified(batches, words, similarity), "row long")
     # The rows that go are the fewer, so Spark can often send them to the texts.
-    gone = keyed.join(stays, "component_id").where("row <> stays").select(F.col("row").alias(row))
-    return copy.join(materialize(gone, "gone"), row, "left_anti").drop(row)
+    gone = materialize(gone.select(F.col("row").alias(row)), "gone")
+    return copy.join(gone, row, "left_anti").drop(row)
