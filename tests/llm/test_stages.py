@@ -60,3 +60,25 @@ def test_near_dedup_keeps_the_far_ends_of_a_chain(spark):
     sets = [{tuple(x[i : i + 5]) for i in range(396)} for x in chain]
     assert all(any(like(sets[i], sets[j]) for j in kept if j < i) for i in set(range(13)) - kept)
     assert len(kept) > 1
+
+
+def test_near_dedup_finds_what_brute_force_finds(spark):
+    """Near copies of similarity 0.8 to 1, in the middle of texts of all lengths."""
+    r = random.Random(7)
+    bodies = []
+    for n in (30, 60, 120, 400, 1500):
+        for part in (0.0, 0.02, 0.06, 0.1, 0.15, 0.3) * 4:
+            base = words(r, n)
+            cut = r.randint(0, n)
+            new = round(part * n / 2)
+            bodies += [base, base[new:cut] + words(r, new) + base[max(cut, new):]]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in bodies]
+    stay = []
+    for i, s in enumerate(sets):
+        if not any(like(sets[j], s) for j in stay):
+            stay.append(i)
+    kept = kept_of(spark, [" ".join(x) for x in bodies])
+    assert set(stay) <= kept and len(bodies) - len(stay) > 50
+    recall = (len(bodies) - len(kept)) / (len(bodies) - len(stay))
+    print("recall", recall, len(bodies) - len(stay))
+    assert recall >= 0.99
