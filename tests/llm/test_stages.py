@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 from conftest import SF
+from wattline.llm import registered, url_rules
 
 
 def gibberish(seed=3):
@@ -82,3 +83,14 @@ def test_near_dedup_finds_what_brute_force_finds(spark):
     recall = (len(bodies) - len(kept)) / (len(bodies) - len(stay))
     print("recall", recall, len(bodies) - len(stay))
     assert recall >= 0.99
+
+
+def test_capitals_end_the_tokens_of_a_rule(spark):
+    urls = ["http://a.org/Xspam-farm", "http://a.org/spam-farmX", "http://a.org/spam-farm", "http://a.org/xspam-farm",
+            "http://a.org/spam-farmx", "http://a.org/Spam-farm", "http://spam.org/", "http://farm.org/farm"]
+    rules = [url_rules.pattern_rule(*p) for p in registered.PATTERNS]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for more in ([], ["http://spam.org/"] * 9, ["http://farm.org/"] * 9):  # filed under either token
+        both = pages.unionByName(spark.createDataFrame([(100 + i, u) for i, u in enumerate(more)], pages.schema))
+        found = {r.page_id: r.verdict for r in url_rules.judge_urls(both, rules).collect()}
+        assert [found[i] for i in range(8)] == ["block"] * 3 + ["allow"] * 5

@@ -1,7 +1,8 @@
 """URL filters (operator 1): pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over ``host + path`` of a URL, with an action and a weight. Its literal
-tokens are the runs of ASCII letters and digits that every matching URL must hold as whole tokens. Over
+tokens are the runs of ASCII letters and digits that every matching URL must hold as whole tokens, where
+capitals may count as letters or as what ends a run. Over
 the table, Spark counts in how many URLs each such token occurs; every rule is filed under its rarest
 one. A URL is split into its tokens, the tokens fetch candidate rules, and only those run their
 regular expressions. Rules without a literal token are candidates for every URL. Of the rules that
@@ -24,13 +25,14 @@ from wattline.llm.common import map_batches
 
 ALLOW, BLOCK = "allow", "block"
 MOST_BYTES = 64 << 20
-TOKEN = re.compile("[0-9A-Za-z]+")
+TOKEN, LOWER_TOKEN = re.compile("[0-9A-Za-z]+"), re.compile("[0-9a-z]+")
 
 
 @dataclass(frozen=True)
 class UrlRule:
     """``name`` is what a report shows; a null name is a rule of the method's own. ``tokens`` must occur in
-    every URL that ``pattern`` matches, as whole runs of letters and digits, in lower case."""
+    every URL that ``pattern`` matches, in lower case: as whole runs of letters and digits, or as whole
+    runs of lower-case letters and digits."""
 
     name: str | None
     pattern: str
@@ -73,7 +75,7 @@ def token_counts(df, rules, url="url"):
     """{token: number of URLs that hold it} for the tokens of the rules; one number for each of
     them reaches the driver."""
     asked = sorted({t for r in rules for t in r.tokens})
-    held = F.array_distinct(F.split(F.lower(df[url]), "[^0-9a-z]+"))
+    held = F.array_union(F.split(F.lower(df[url]), "[^0-9a-z]+"), F.split(df[url], "[^0-9a-z]+"))
     wanted = F.filter(held, lambda t: t.isin(asked))
     counts = df.select(F.explode(wanted).alias("token")).groupBy("token").count().collect()
     return {t: 0 for t in asked} | {r["token"]: r["count"] for r in counts}
@@ -101,7 +103,7 @@ def judge_urls(df, rules, url="url", key="page_id", default=ALLOW):
         out = {"key": batch["key"], "host": [], "path": [], "rule": [], "verdict": []}
         for x in batch["url"].to_pylist():
             host, path = split_url(x)
-            tokens = set(TOKEN.findall((host + path).lower()))
+            tokens = {*TOKEN.findall((host + path).lower()), *LOWER_TOKEN.findall(host + path)}
             places = [p for t in (*tokens, None) for p in index.get(t, ())]
             hits = [p for p in places if checks[p].match(host + path)]
             best = max(hits, key=lambda p: (rules[p].weight, -p), default=None)
