@@ -30,6 +30,13 @@ def test_language_stage_drops_gibberish_and_keeps_texts_of_every_language(spark)
     assert kept == set(clean) and len(set(clean.values())) == 4
 
 
+def test_language_stage_keeps_short_clean_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    short = [(10**6, "Por el para ieí.", None), (10**6 + 1, "Hean trash be it as. scum", None)]
+    kept = corpus_pipeline.language_id(spark, docs.unionByName(spark.createDataFrame(short, docs.schema)), SF)
+    assert kept.where(f"doc_id >= {10**6}").count() == 2
+
+
 def words(r, n):
     return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n)]
 

@@ -9,9 +9,10 @@ with the text is predicted; its score is (1 + cosine) / 2.
 
 That score compares languages, so it is high for the best one whatever the text. Whether a text is in
 any of them is told by its support: its mean product, over its trigrams, with a language's prototype
-before the mean is taken out. It does not depend on the text's length. Prediction can give the share of
+before the mean is taken out. Its mean does not depend on the text's length. Prediction can give the share of
 that support in what the language's own training rows have on average, each with the other rows; a
-language of one row has no such average and sets no bar.
+language of one row has no such average and sets no bar. What chance can take from a short text's support
+is added to it first.
 
 Prototypes are whole-number sums over all training rows, so they do not depend on the order of adding
 up. They are one vector for each language; a table with more than ``most`` languages is refused.
@@ -32,6 +33,7 @@ UNKNOWN = "und"
 SIZE = 512  # components of a vector
 SCALE = 1 << 16  # length of a training text's vector, in whole numbers
 MOST = 1000
+CHANCE = 1.5  # deviations of a chance product, which has 1 for a trigram, that a text's support is given
 KEPT_TRIGRAMS = 30_000
 PIECE = 1 << 20  # letters handled at once
 GAP = 0
@@ -178,7 +180,7 @@ def predict(df, known, text="text", lang_pred="lang_pred", score="score", suppor
         w = v / n - mean
         cosines = centred @ w / max(np.linalg.norm(w), 1e-12)
         best = int(np.argmax(cosines))
-        part = float(np.max((unit @ v)[bar > 0] / grams / bar[bar > 0])) if bar[best] > 0 else None
+        part = float(np.max(((unit @ v) / grams + CHANCE / np.sqrt(grams))[bar > 0] / bar[bar > 0])) if bar[best] > 0 else None
         return names[best], float(np.clip((1 + cosines[best]) / 2, 0, 1)), part
 
     others = [f for f in df.schema if f.name != text]
