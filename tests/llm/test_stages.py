@@ -5,7 +5,7 @@ import random
 
 import corpus_pipeline
 from conftest import SF
-from wattline.llm import registered, url_rules
+from wattline.llm import registered, secret_scan, url_rules
 
 
 def gibberish(seed=3):
@@ -101,3 +101,8 @@ def test_capitals_end_the_tokens_of_a_rule(spark):
         both = pages.unionByName(spark.createDataFrame([(100 + i, u) for i, u in enumerate(more)], pages.schema))
         found = {r.page_id: r.verdict for r in url_rules.judge_urls(both, rules).collect()}
         assert [found[i] for i in range(8)] == ["block"] * 3 + ["allow"] * 5
+
+
+def test_the_github_rule_has_a_trigram_query():
+    rule = next(r for r in secret_scan.RULES if r.kind == "github")
+    assert secret_scan.trigram_query(rule.pattern) == [[f"gh{c}", f"h{c}_"] for c in "oprsu"]

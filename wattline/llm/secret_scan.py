@@ -53,6 +53,7 @@ MASK = "[SECRET]"
 
 # Alternatives of an expression that are followed; beyond that, a part counts as a gap.
 WIDEST = 64
+CLASS = 8  # letters of a class that stand for alternatives, as the parser folds (?:ab|ac) into a[bc]
 GAP = "\0"
 
 
@@ -63,6 +64,8 @@ def alternatives(parsed):
         name = str(kind)
         if name == "LITERAL":
             found = [chr(value).lower()]
+        elif name == "IN" and len(value) <= CLASS and all(str(k) == "LITERAL" for k, _ in value):
+            found = sorted({chr(c).lower() for _, c in value})
         elif name == "SUBPATTERN":
             found = alternatives(value[-1])
         elif name == "BRANCH":
@@ -71,7 +74,7 @@ def alternatives(parsed):
             least, most, inner = value
             once = alternatives(inner)
             found = ["", *once] if (least, most) == (0, 1) else [x + GAP for x in once] if least else [GAP]
-        else:  # classes, anchors and the rest say nothing about letters
+        else:  # larger classes, anchors and the rest say nothing about letters
             found = [GAP]
         if len(out) * len(found) > WIDEST:
             found = [GAP]
