@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wattline.llm import (
-    bpe, exact_dedup, language_id, packing, revisit, secret_scan, simhash, substring_dedup, url_rules,
+    bpe, exact_dedup, language_id, mixing, packing, revisit, secret_scan, simhash, substring_dedup, url_rules,
     vector_search,
 )
 from wattline.llm.common import prepare, read_table
@@ -91,6 +91,10 @@ def op10_revisit(spark, folder):
             e["key"], F.lit("="), e["value"])), "|").alias("headers"))
 
 
+def op12_mixing(spark, folder):
+    return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -102,6 +106,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_revisit": op10_revisit,
+    "op12_mixing": op12_mixing,
 }
 
 
@@ -249,4 +254,45 @@ SQL = {
                         || CASE page_id % 4 WHEN 1 THEN 'W/' ELSE '' END || coalesce(tag, '')
                         || '|last-modified=' || coalesce(modified, '') END AS headers
         FROM judged""",
+    "op12_mixing": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS n, doc_id, source,
+                   CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+            FROM documents),
+        sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM sums),
+        weighed AS (
+            SELECT *, [3, 1, 2][place % 3 + 1] AS weight, source_size * 2 AS cap,
+                   CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS budget FROM placed),
+        levels AS (
+            SELECT *, cap <= weight * ((budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, place
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY cap / weight, place
+                       ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS stopped FROM weighed),
+        targets AS (
+            SELECT source, source_size, place, budget, CASE WHEN stopped THEN CAST(cap AS DOUBLE)
+                       ELSE weight * ((budget - coalesce(sum(cap) FILTER (stopped) OVER (), 0))
+                           / sum(weight) FILTER (NOT stopped) OVER ()) END AS target FROM levels),
+        positions AS (
+            SELECT d.n, d.doc_id, d.size, t.source_size, t.place, t.target, t.budget,
+                   CAST(coalesce(sum(d.size) OVER (PARTITION BY d.source
+                       ORDER BY md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS LAST, size, n
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+            FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+        copies AS (
+            SELECT *, start + pass * source_size AS first FROM positions, (VALUES (0), (1)) AS p(pass)
+            WHERE size > 0 AND start + pass * source_size < target),
+        units AS (SELECT *, CASE WHEN first + size <= target THEN size ELSE 16 END AS unit FROM copies),
+        pieces AS (
+            SELECT place, target, budget, first + piece * unit AS start, least(unit, size - piece * unit) AS words
+            FROM (SELECT *, unnest(range((size - 1) // unit + 1)) AS piece FROM units)),
+        queued AS (
+            SELECT *, coalesce(sum(words) OVER (ORDER BY (start + words) / target, place, start
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+            FROM pieces WHERE start < target),
+        given AS (SELECT place, sum(greatest(0, least(floor(budget) - ahead, words))) AS given FROM queued GROUP BY place)
+        SELECT doc_id, size, source_size, target, CAST(
+                   greatest(0, least(size, coalesce(given, 0) - start))
+                   + greatest(0, least(size, coalesce(given, 0) - start - source_size)) AS BIGINT) AS taken
+        FROM positions LEFT JOIN given USING (place)""",
 }
