@@ -1,0 +1,109 @@
+"""Ranked lexical search against a plain ranking of every document, and odd rows."""
+
+import collections
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wattline.llm import lexical_search as ls
+
+FOLDED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(FOLDED))
+
+
+def brute(docs, items, k=10):
+    counts = [(i, collections.Counter(words(t))) for i, t in docs]
+    held = collections.Counter(t for _, c in counts for t in c)
+    n = sum(1 for _, c in counts if c)
+    total = sum(sum(c.values()) for _, c in counts)
+    out = []
+    for item, text in items:
+        asked, found = collections.Counter(words(text)), []
+        for key, c in counts:
+            score = 0
+            for t, times in asked.items():
+                if c[t]:
+                    w = math.floor(1000 * math.log((2 * n + 2) / (2 * held[t] + 1)))
+                    m = 25 + 75 * sum(c.values()) * n // total
+                    score += times * w * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+            if score > 0 and key is not None:
+                found.append((-score, key))
+        out += [(item, i + 1, key, -s) for i, (s, key) in enumerate(sorted(found)[:k])]
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items, **more):
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns(
+        {c: F.lit("x") for c in ("key", "part", "rank", "score", "name", "item")}).repartition(3)
+    q = spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(0))
+    return sorted((tuple(r) for r in ls.search(d, q, **more).collect()), key=str)
+
+
+def corpus(seed, n):
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)] + ["été", "naïve", "x1", "日本"]
+    weights = [1 / (i + 1) for i in range(len(vocabulary))]
+    return [(i, " ".join(r.choices(vocabulary, weights, k=r.randint(0, 60)))) for i in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_equals_a_plain_ranking(spark, monkeypatch, seed):
+    monkeypatch.setattr(ls, "DOCUMENTS", 37)  # several blocks in a task
+    monkeypatch.setattr(ls, "CELLS", 64 * 3)  # slices of a block
+    docs = corpus(seed, 500)
+    docs += [(1000 + i, docs[3][1]) for i in range(30)] + [(5000, "w1 " * 40_000 + "w39")]
+    items = [(i, t) for i, t in corpus(seed + 10, 12)] + [(50, " ".join(f"w{i}" for i in range(40)) + " w1 w1")]
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_items_in_chunks(spark):
+    docs, items = corpus(5, 200), corpus(6, 20)
+    assert run(spark, docs, items, chunk_bytes=600) == brute(docs, items)
+
+
+def test_odd_rows(spark):
+    docs = [(1, "Été x-Y 12"), (1, "Été x-Y 12"), (2, None), (3, ""), (4, "\x00{}!"), (None, "x y 12 z"), (None, None),
+            (5, "ÉTÉ é x_y"), (6, "x"), (7, "only here")]
+    items = [(1, "X y"), (1, "X y"), (2, None), (3, " !"), (4, "été ÉTÉ 12"), (None, "only"), (5, "nowhere")]
+    assert run(spark, docs, items) == brute(docs, items)
+    assert run(spark, [], items) == [] and run(spark, docs, []) == [] and run(spark, [(1, None)], items) == []
+
+
+def test_masks_are_evaluated_until_safe(monkeypatch):
+    """Rare terms lift few masks above the rest: the others' documents are never scored."""
+    texts = ["common"] * 5000 + ["common rare"] * 20
+    numbers = {b"common": 0, b"rare": 1}
+    block = ls.Block(2)
+    for i, t in enumerate(texts):
+        block.add(i, t, numbers)
+    row = block.row(0).to_pylist()[0]
+    impacts = ls.Impacts(row | {"lengths": np.array(row["lengths"])}, 5020, 5040)
+    scored = []
+
+    class Watched(np.ndarray):
+        def __matmul__(self, other):
+            scored.append(other.shape[1])
+            return np.asarray(self) @ other
+
+    real = np.array
+    monkeypatch.setattr(ls.np, "array", lambda x, *a: real(x, *a).view(Watched) if a == (np.int64,) and len(x) == 2 else real(x, *a))
+    best = impacts.ranked([0, 1], [1, 100], 10, [])
+    assert [-k for _, k in best] == list(range(5000, 5010)) and scored == [20]
+
+
+def test_masks_of_any_width():
+    words_ = np.array([[1, 2], [0, 5], [1, 2], [0, 4]], np.uint64)
+    found, group = ls.distinct(words_)
+    assert (found[group] == words_).all() and len(found) == 3
+
+
+def test_length_share_beyond_64_bits():
+    got = ls.shares(np.array([3]), np.array([10**12]), 10**9, 10**15)
+    assert got.tolist() == [3 * 10**9 // (3000 + 8 * (25 + 75 * 10**12 * 10**9 // 10**15))]

@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from wattline.llm import (
-    bpe, exact_dedup, language_id, mixing, packing, revisit, secret_scan, simhash, substring_dedup, url_rules,
-    vector_search,
+    bpe, exact_dedup, language_id, lexical_search, mixing, packing, revisit, secret_scan, simhash,
+    substring_dedup, url_rules, vector_search,
 )
 from wattline.llm.common import prepare, read_table
 
@@ -91,6 +91,11 @@ def op10_revisit(spark, folder):
             e["key"], F.lit("="), e["value"])), "|").alias("headers"))
 
 
+def op11_lexical_search(spark, folder):
+    items = read_table(spark, folder, "benchmark", "item_id", "text")
+    return lexical_search.search(documents(spark, folder, "doc_id", "text"), items)
+
+
 def op12_mixing(spark, folder):
     return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
 
@@ -106,6 +111,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_revisit": op10_revisit,
+    "op11_lexical_search": op11_lexical_search,
     "op12_mixing": op12_mixing,
 }
 
@@ -254,6 +260,32 @@ SQL = {
                         || CASE page_id % 4 WHEN 1 THEN 'W/' ELSE '' END || coalesce(tag, '')
                         || '|last-modified=' || coalesce(modified, '') END AS headers
         FROM judged""",
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        q AS (
+            SELECT row_number() OVER () AS i, item_id, regexp_extract_all(translate(coalesce(text, ''),
+                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+        asked AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS t FROM q) GROUP BY ALL),
+        total AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS words FROM d WHERE len(ts) > 0),
+        held AS (
+            SELECT n, t, count(*) AS tf FROM (SELECT n, unnest(ts) AS t FROM d) GROUP BY ALL
+            HAVING t IN (SELECT t FROM asked)),
+        weights AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+            FROM held, total GROUP BY t, docs),
+        shares AS (
+            SELECT n, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(ts) * docs) // words))) AS share
+            FROM held JOIN weights USING (t) JOIN d USING (n), total),
+        scored AS (
+            SELECT i, item_id, n, CAST(sum(times * share) AS BIGINT) AS score FROM asked JOIN shares USING (t) GROUP BY ALL),
+        ranked AS (
+            SELECT item_id, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+            FROM scored JOIN d USING (n) WHERE score > 0)
+        SELECT * FROM ranked WHERE rank <= 10""",
     "op12_mixing": r"""
         WITH d AS (
             SELECT row_number() OVER () AS n, doc_id, source,
