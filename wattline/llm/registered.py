@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from wattline.llm import (
     bpe, exact_dedup, language_id, lexical_search, mixing, packing, revisit, secret_scan, simhash,
-    substring_dedup, url_rules, vector_search,
+    substring_dedup, url_rules, vector_search, whitening,
 )
 from wattline.llm.common import prepare, read_table
 
@@ -100,6 +100,10 @@ def op12_mixing(spark, folder):
     return mixing.mix(documents(spark, folder, "doc_id", "text", "source"))
 
 
+def op13_whitening(spark, folder):
+    return whitening.whiten(read_table(prepare(spark), folder, "embeddings", "vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_url_rules": op1_url_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -113,6 +117,7 @@ QUERIES = {
     "op10_revisit": op10_revisit,
     "op11_lexical_search": op11_lexical_search,
     "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 
