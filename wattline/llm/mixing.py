@@ -120,7 +120,8 @@ def mix(df, weights=WEIGHTS, share=SHARE, most=MOST, key="doc_id", text="text",
     placed = materialize(positions(sizes, sources), "positions")
     # Entries of a source leave the queue in their order, so what it gave is the first part of its stream.
     given = queue(placed, budget, most).groupBy("place").agg(F.sum("taken").alias("given"))
-    rows = placed.join(given, "place", "left").withColumn("given", F.coalesce("given", F.lit(0)))
+    # Written, so that its size is known before the join is planned: few sources go to the documents.
+    rows = placed.join(materialize(given, "given"), "place", "left").withColumn("given", F.coalesce("given", F.lit(0)))
     taken = sum((
         F.greatest(F.lit(0), F.least(F.col("size"), F.col("given") - F.col("start") - i * F.col("source_size")))
         for i in range(most)), F.lit(0).cast("long"))
