@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -219,11 +220,9 @@ def test_trigrams_do_not_change_with_pieces(monkeypatch):
     text = "Ein Satz über Äpfel, Birnen und 𐐀𐐁 anderes Obst. " * 3
     whole = language_id.bundle(text)
     monkeypatch.setattr(language_id, "KEPT_TRIGRAMS", 40)
-    language_id.TRIGRAMS.clear()
-    language_id.ROWS.clear()
+    vars(sys.modules["wattline_worker_tables"]).pop("language vectors")
     assert np.array_equal(whole, language_id.bundle(text))
-    language_id.TRIGRAMS.clear()
-    language_id.ROWS.clear()
+    vars(sys.modules["wattline_worker_tables"]).pop("language vectors")
 
 
 # Byte pairs and packing -------------------------------------------------------------------------
@@ -244,8 +243,8 @@ def test_bpe_on_odd_texts():
 def test_bounded_tables_change_nothing(monkeypatch):
     text = "some words, and more words than the table holds: one two three four"
     whole = bpe.Tokenizer(PATH).encode(text).tolist()
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 2)
-    monkeypatch.setattr(bpe, "KEPT_CHUNKS", 2)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 500)
+    monkeypatch.setattr(bpe, "CHUNK_BYTES", 500)
     assert bpe.Tokenizer(PATH).encode(text).tolist() == whole
 
 

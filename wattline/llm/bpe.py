@@ -2,8 +2,9 @@
 
 ``encode`` splits a text into words as the file's normaliser and splitter say and merges each word
 by a priority queue of merge ranks over a doubly linked list of symbols. ``decode`` joins vocabulary
-strings by spaces, as a file without a decoder asks for. Words repeat, so every task keeps a bounded
-table of words already merged; a full table is emptied, which costs time and changes nothing.
+strings by spaces, as a file without a decoder asks for. Words repeat, so every Python worker keeps a
+table of words already merged, bounded in bytes; a full table is emptied, which costs time and changes
+nothing.
 
 Null and empty texts have no ids and decode to the empty text. Texts are encoded whole.
 """
@@ -18,9 +19,10 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import regex
 
-from wattline.llm.common import map_batches
+from wattline.llm.common import Known, map_batches, worker_table
 
-KEPT_WORDS, KEPT_CHUNKS = 800_000, 1_000_000
+# Bytes of the tables of words and of chunks in a Python worker.
+WORD_BYTES, CHUNK_BYTES = 80 << 20, 120 << 20
 # Ends of words that need no search for the words in a chunk: letters, then one run of these.
 PUNCTUATION = ".,;:!?#$%&*|"
 # Python's split() also splits at these four, which are no white space for the splitter.
@@ -65,8 +67,8 @@ class Tokenizer:
         self.special_ids = specials
         self.special = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self.space = regex.compile(r"\p{White_Space}+")
-        self.words = Known(lambda w: self.packed(self.merge(w.encode("utf-8", "surrogatepass"))), KEPT_WORDS)
-        self.chunks = Known(self.chunk_ids, KEPT_CHUNKS)
+        self.words = Known(lambda w: self.packed(self.merge(w.encode("utf-8", "surrogatepass"))), WORD_BYTES)
+        self.chunks = Known(self.chunk_ids, CHUNK_BYTES)
 
     def merge(self, data):
         """Ids of one word given as bytes.
@@ -151,27 +153,9 @@ class Tokenizer:
         return " ".join(map(self.strings.__getitem__, ids))
 
 
-class Known(dict):
-    """A bounded table: string -> bytes of its ids, computed when first asked for."""
-
-    def __init__(self, compute, most):
-        self.compute, self.most = compute, most
-
-    def __missing__(self, string):
-        if len(self) >= self.most:
-            self.clear()
-        found = self[string] = self.compute(string)
-        return found
-
-
-LOADED = {}
-
-
 def tokenizer(path):
-    """The tokenizer of a file, read once in each Python worker."""
-    if path not in LOADED:
-        LOADED[path] = Tokenizer(path)
-    return LOADED[path]
+    """The tokenizer of a file, read once in each Python worker; its tables stay for all its tasks."""
+    return worker_table(("bpe", path), lambda: Tokenizer(path))
 
 
 def encode(df, path, text="text", key="doc_id"):

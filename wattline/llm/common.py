@@ -1,5 +1,8 @@
 """Helpers shared by the operators: written intermediate tables, words, Arrow batches."""
 
+import sys
+import types
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -27,6 +30,38 @@ def materialize(df, name, **options):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worker_table(name, make):
+    """What ``make()`` gave in this Python worker, the first time it was asked for.
+
+    It lies in a module of the worker's own, as the globals of functions that travel with a task are
+    new in every task. The table must bound its size: it stays as long as the worker does.
+    """
+    store = vars(sys.modules.setdefault("wattline_worker_tables", types.ModuleType("wattline_worker_tables")))
+    if name not in store:
+        store[name] = make()
+    return store[name]
+
+
+class Known(dict):
+    """A table of what ``compute`` says of strings, kept once it was asked for. Strings of more than
+    ``LONGEST`` letters are not kept, and a table of more than ``most_bytes`` is emptied."""
+
+    LONGEST, ENTRY = 64, 100
+
+    def __init__(self, compute, most_bytes):
+        self.compute, self.most_bytes, self.bytes = compute, most_bytes, 0
+
+    def __missing__(self, string):
+        found = self.compute(string)
+        if len(string) <= self.LONGEST:
+            self.bytes += sys.getsizeof(string) + sys.getsizeof(found) + self.ENTRY
+            if self.bytes > self.most_bytes:
+                self.clear()
+                self.bytes = 0
+            self[string] = found
+        return found
+
+
 def numbered(df):
     """(written copy of the rows with a number each, name of the column of numbers)."""
     row = free_name(df, "row_number")

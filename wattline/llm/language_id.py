@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from wattline.llm.common import map_batches
+from wattline.llm.common import map_batches, worker_table
 
 UNKNOWN = "und"
 SIZE = 512  # components of a vector
@@ -38,7 +38,17 @@ KEPT_TRIGRAMS = 30_000
 PIECE = 1 << 20  # letters handled at once
 GAP = 0
 
-LETTERS, TRIGRAMS, ROWS = {}, {}, []
+
+class Tables:
+    """Vectors of letters and bound vectors of trigrams (their places in ``rows``), in a Python worker."""
+
+    def __init__(self):
+        self.low, self.letters, self.trigrams = is_letter_table(), {}, {}
+        self.rows = np.empty((KEPT_TRIGRAMS, SIZE), np.float32)
+
+
+def tables():
+    return worker_table("language vectors", Tables)
 
 
 def is_letter_table():
@@ -52,15 +62,10 @@ def is_letter_table():
     return table
 
 
-TABLE = []
-
-
 def letters_of(text):
     """Code points in lower case, with one gap for every run of other characters and at both ends."""
-    if not TABLE:
-        TABLE.append(is_letter_table())
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = TABLE[0][np.minimum(codes, (1 << 16) - 1)]
+    low = tables().low[np.minimum(codes, (1 << 16) - 1)]
     for i in np.flatnonzero(codes >= 1 << 16).tolist():
         c = chr(codes[i])
         low[i] = ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else GAP
@@ -71,26 +76,27 @@ def letters_of(text):
 
 
 def letter(code):
-    if code not in LETTERS:
-        if len(LETTERS) >= KEPT_TRIGRAMS:
-            LETTERS.clear()
-        LETTERS[code] = np.random.default_rng(code).integers(0, 2, SIZE).astype(np.float32) * 2 - 1
-    return LETTERS[code]
+    known = tables().letters
+    if code not in known:
+        if len(known) >= KEPT_TRIGRAMS:
+            known.clear()
+        known[code] = np.random.default_rng(code).integers(0, 2, SIZE).astype(np.float32) * 2 - 1
+    return known[code]
 
 
 def trigram_rows(codes):
-    """Places of trigrams in the table of bound vectors, which is emptied when it is full."""
-    new = [c for c in codes if c not in TRIGRAMS]
+    """Bound vectors of up to ``KEPT_TRIGRAMS`` trigrams; their table is emptied when it is full."""
+    t = tables()
+    new = [c for c in codes if c not in t.trigrams]
     if new:
-        if len(TRIGRAMS) + len(new) > KEPT_TRIGRAMS or not ROWS:
-            TRIGRAMS.clear()
-            ROWS[:] = [np.empty((max(KEPT_TRIGRAMS, len(codes)), SIZE), np.float32)]
+        if len(t.trigrams) + len(new) > KEPT_TRIGRAMS:
+            t.trigrams.clear()
             new = codes
         for c in new:
             a, b, d = c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF
-            TRIGRAMS[c] = at = len(TRIGRAMS)
-            ROWS[0][at] = np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(d)
-    return [TRIGRAMS[c] for c in codes]
+            t.trigrams[c] = at = len(t.trigrams)
+            t.rows[at] = np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(d)
+    return t.rows[[t.trigrams[c] for c in codes]]
 
 
 def bundle(text):
@@ -112,7 +118,7 @@ def bundled(text):
         grams, counts = np.unique(low[:-2] << np.uint64(42) | low[1:-1] << np.uint64(21) | low[2:], return_counts=True)
         for b in range(0, len(grams), KEPT_TRIGRAMS):
             rows = trigram_rows(grams[b : b + KEPT_TRIGRAMS].tolist())
-            total += counts[b : b + KEPT_TRIGRAMS].astype(np.float32) @ ROWS[0][rows]
+            total += counts[b : b + KEPT_TRIGRAMS].astype(np.float32) @ rows
     return (total, n) if n else (None, 0)
 
 

@@ -36,40 +36,28 @@ import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wattline.llm.common import map_batches, materialize, text_bytes
+from wattline.llm.common import Known, map_batches, materialize, text_bytes, worker_table
 
 WINDOW, ANCHOR = 35, 8
 # Edges in a path, at most.
 LONGEST = 64
 # Words handled at once.
 PIECE = 1 << 18
-KEPT_WORDS = 300_000
+# Bytes of the table of word hashes in a Python worker.
+HASH_BYTES = 60 << 20
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-class WordHashes(dict):
-    """A bounded table: word -> 64-bit hash."""
-
-    def __missing__(self, word):
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-HASHES = WordHashes()
-POWERS = {}
-
-
 def powers(base, n):
     """base ** 0, 1, ..., n - 1, modulo 2 ** 64."""
-    have = POWERS.get(base)
+    known = worker_table("powers", dict)
+    have = known.get(base)
     if have is None or len(have) < n:
         size = 1 << max(10, (n - 1).bit_length())
         have = np.full(size, base, np.uint64)
         have[0] = 1
-        have = POWERS[base] = np.multiply.accumulate(have)
+        have = known[base] = np.multiply.accumulate(have)
     return have[:n]
 
 
@@ -103,7 +91,8 @@ def sliding_minimum(x, width):
 
 
 def word_hashes(words):
-    return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    known = worker_table("word hashes", lambda: Known(xxhash.xxh3_64_intdigest, HASH_BYTES))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def pieces_of(texts):
