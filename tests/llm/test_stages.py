@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 from conftest import SF
+from test_queries import brute_components, brute_fingerprint
 from wattline.llm import registered, secret_scan, url_rules
 
 
@@ -41,55 +42,32 @@ def words(r, n):
     return ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(n)]
 
 
-def like(a, b):
-    return len(a & b) >= 0.8 * len(a | b)
-
-
 def kept_of(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
 
 
-def test_near_dedup_keeps_texts_that_only_share_a_repeated_passage(spark):
-    r = random.Random(5)
-    passage = " ".join(words(r, 12))
-    # Counted with repeats, the passage decides every bit; the other texts have nothing in common.
-    texts = [" ".join([*words(r, 30), *[passage] * 200]) for _ in range(6)]
-    assert kept_of(spark, texts) == set(range(6))
-
-
-def test_near_dedup_keeps_the_far_ends_of_a_chain(spark):
-    r = random.Random(6)
-    chain = [words(r, 400)]
-    for _ in range(12):
-        chain.append(chain[-1][6:] + words(r, 6))
-    texts = [" ".join(x) for x in chain]
-    kept = kept_of(spark, texts)
-    sets = [{tuple(x[i : i + 5]) for i in range(396)} for x in chain]
-    assert all(any(like(sets[i], sets[j]) for j in kept if j < i) for i in set(range(13)) - kept)
-    assert len(kept) > 1
-
-
-def test_near_dedup_finds_what_brute_force_finds(spark):
-    """Near copies of similarity 0.8 to 1, in the middle of texts of all lengths."""
+def test_near_dedup_keeps_one_document_of_each_group(spark):
     r = random.Random(7)
     bodies = []
-    for n in (30, 60, 120, 400, 1500):
-        for part in (0.0, 0.02, 0.06, 0.1, 0.15, 0.3) * 4:
+    for n in (60, 400, 1500):
+        for new in (0, 1, 2, n // 10, n // 3):
             base = words(r, n)
-            cut = r.randint(0, n)
-            new = round(part * n / 2)
-            bodies += [base, base[new:cut] + words(r, new) + base[max(cut, new):]]
-    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in bodies]
-    stay = []
-    for i, s in enumerate(sets):
-        if not any(like(sets[j], s) for j in stay):
-            stay.append(i)
-    kept = kept_of(spark, [" ".join(x) for x in bodies])
-    assert set(stay) <= kept and len(bodies) - len(stay) > 50
-    recall = (len(bodies) - len(kept)) / (len(bodies) - len(stay))
-    print("recall", recall, len(bodies) - len(stay))
-    assert recall >= 0.99
+            bodies += [base, words(r, new) + base[new:]]
+    texts = [" ".join(x) for x in bodies] + ["", None, " \t"]
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
+    groups = brute_components(prints)
+    assert 3 < len(set(groups.values())) < len(texts) - 5
+    assert kept_of(spark, texts) == set(groups.values())
+
+
+def test_near_dedup_of_one_group_of_thousands(spark):
+    r = random.Random(8)
+    base = words(r, 600)
+    texts = [" ".join(words(r, 400))] + [" ".join([*base, f"x{i % 40}"]) for i in range(4000)]
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(texts[:41])}
+    kept = kept_of(spark, texts)
+    assert kept == set(brute_components(prints).values())
 
 
 def test_capitals_end_the_tokens_of_a_rule(spark):

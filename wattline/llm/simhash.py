@@ -13,14 +13,12 @@ discard most of them, and the survivors are verified bit by bit. Links that join
 written, so a bucket yields fewer links than members. A large bucket is split into parts, and
 every two parts meet in a task of their own.
 
-The drop of near copies has settings of its own: shingles of five words, each counted once, a radius of
-24 bits, buckets of equal bands of least hashes (MinHash), and an exact comparison of the texts.
+``drop_near_duplicates`` keeps one document of each component, with the same settings.
 
 Null texts and texts without words have fingerprint zero and are linked like any other. Rows that
 repeat a key are one document each; a null key names a component only if there is no other.
 """
 
-import math
 from itertools import combinations, repeat
 
 import numpy as np
@@ -39,14 +37,6 @@ PIVOTS = 16
 PART = 8192
 # Shingles hashed at once.
 RUN = 1 << 16
-# For the drop of near copies: words of a shingle, and the part of two texts' distinct shingles in common
-# from which one of them is a near copy.
-NEAR_WORDS, SIMILARITY = 5, 0.8
-# Two texts of that similarity agree on a band of five least hashes with 0.8 ** 5, so on one of 20 with
-# 0.9996. Their fingerprints differ in 10 bits on average, in 12 if they have a few shingles only.
-BANDS, BAND, NEAR_DIFFERENT = 20, 5, 24
-# Shingles whose hashes for all bands are made at once.
-MIXED = 512
 
 
 def bit_counts(digests):
@@ -185,11 +175,6 @@ def links(distinct):
     any link within four bits connects."""
     keys = distinct.select("fp", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(m)) for m in masks()])).alias("choice", "bits"))
-    return links_in_buckets(keys, DIFFERENT)
-
-
-def links_in_buckets(keys, different):
-    """(u, v): links between fingerprints that share a bucket, of distinct rows (fp, choice, bits)."""
     buckets = keys.groupBy("choice", "bits").agg(
         F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("sign"),
         F.min("fp").alias("least"), F.max("fp").alias("most"),
@@ -201,8 +186,7 @@ def links_in_buckets(keys, different):
     met = members.select("choice", "bits", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     met = met.select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     bucket = ["choice", "bits", "low", "high"]
-    return met.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(
-        lambda batches: link_sorted(batches, different), "u long, v long")
+    return met.repartition(*bucket).sortWithinPartitions(*bucket).mapInArrow(link_sorted, "u long, v long")
 
 
 def near_duplicates(df, text="text", key="doc_id", words=WORDS):
@@ -218,125 +202,17 @@ def near_duplicates(df, text="text", key="doc_id", words=WORDS):
         F.col("key").alias(key), unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def shingle_hashes(text, words):
-    """Sorted distinct 64-bit hashes of a text's word shingles; none without words."""
-    found = text_bytes(text).lower().split()
-    if not found:
-        return np.array([], np.uint64)
-    n = max(1, len(found) - words + 1)
-    digests = b"".join(
-        xxhash.xxh64_digest(b" ".join(found[i : i + words]), SEED) for i in range(n))
-    return np.unique(np.frombuffer(digests, ">u8").astype(np.uint64))
-
-
-def multipliers():
-    """Odd factors and addends, by which a hash is made into one for each place of each band."""
-    r = np.random.default_rng(SEED)
-    n = (BANDS * BAND, 1)
-    return r.integers(0, 1 << 63, n, np.uint64) << np.uint64(1) | np.uint64(1), r.integers(0, 1 << 63, n, np.uint64)
-
-
-def sketch(hashes, factors):
-    """(fingerprint, bands) of distinct shingle hashes; a band is a hash of some least ones."""
-    if not len(hashes):
-        return 0, []
-    bits = np.packbits(2 * bit_counts(hashes.astype(">u8").tobytes()) > len(hashes))
-    times, plus = factors
-    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(hashes), MIXED):
-        np.minimum(least, (times * hashes[a : a + MIXED] + plus).min(axis=1), out=least)
-    bands = least.reshape(BANDS, BAND)
-    return int.from_bytes(bits.tobytes(), "big"), [
-        x - (1 << 64) if x >> 63 else x for x in (xxhash.xxh64_intdigest(b.tobytes(), SEED) for b in bands)]
-
-
-def sketches(df, text, key, words):
-    """(key, fp, bands) of every row."""
-
-    def run(batch):
-        factors = multipliers()
-        found = [sketch(shingle_hashes(x, words), factors) for x in batch["text"].to_pylist()]
-        return {"key": batch["key"], "fp": np.array([x for x, _ in found], np.uint64).view(np.int64),
-                "bands": [x for _, x in found]}
-
-    kind = df.schema[key].dataType.simpleString()
-    picked = df.select(df[key].alias("key"), df[text].alias("text"))
-    return map_batches(picked, run, f"key {kind}, fp long, bands array<bigint>")
-
-
-def near_groups(df, text, key, words, different):
-    """(key, root): rows with one root are to be compared. Fingerprints meet where a band is the same,
-    as blocks of bits that must agree are too short to look up at so wide a radius; there, pivots and
-    then the bits say which are linked."""
-    rows = materialize(sketches(df, text, key, words), "sketches")
-    keys = materialize(rows.select("fp", F.posexplode("bands").alias("choice", "bits")).distinct(), "bands")
-    roots = materialize(components(materialize(links_in_buckets(keys, different), "links")), "roots")
-    return rows.join(roots, rows["fp"] == roots["node"], "left").select("key", F.coalesce("root", "fp").alias("root"))
-
-
-class Kept:
-    """Shingle sets of the documents of one component that stay, found by any of their shingles that
-    lie in the prefix: two sets of the similarity share one of these smallest hashes of each."""
-
-    def __init__(self, similarity):
-        self.similarity, self.sets, self.places = similarity, [], {}
-
-    def prefix(self, hashes):
-        return hashes[: len(hashes) - math.ceil(self.similarity * len(hashes) - 1e-9) + 1].tolist()
-
-    def has_like(self, hashes):
-        n = len(hashes)
-        if not n:
-            return any(not len(x) for x in self.sets)
-        for place in {p for h in self.prefix(hashes) for p in self.places.get(h, ())}:
-            other = self.sets[place]
-            if min(n, len(other)) < self.similarity * max(n, len(other)) - 1e-9:
-                continue
-            both = len(np.intersect1d(hashes, other, assume_unique=True))
-            if both >= self.similarity * (n + len(other) - both) - 1e-9:
-                return True
-        return False
-
-    def add(self, hashes):
-        for h in self.prefix(hashes):
-            self.places.setdefault(h, []).append(len(self.sets))
-        self.sets.append(hashes)
-
-
-def verified(batches, words, similarity):
-    """Numbers of the rows that go, of rows (component, row, text) that come with equal components next
-    to each other and in the order in which they are to stay."""
-    kept, last = None, None
-    for batch in batches:
-        gone = []
-        for component, row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if kept is None or component != last:
-                kept, last = Kept(similarity), component
-            hashes = shingle_hashes(text, words)
-            if kept.has_like(hashes):
-                gone.append(row)
-            else:
-                kept.add(hashes)
-        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["row"])
-
-
-def drop_near_duplicates(
-        df, text="text", key="doc_id", words=NEAR_WORDS, similarity=SIMILARITY, different=NEAR_DIFFERENT):
-    """The rows that stay, with all their columns. In the order of keys (null ones last), a row goes if a
-    row that stays, of the same component, has at least ``similarity`` of their distinct shingles in
-    common (Jaccard). Components, by links of up to ``different`` bits, only say which texts are
-    compared, so no row goes for a chain of links or for equal fingerprints. A component is gone through
-    in one task, which holds the shingles of its rows that stay."""
+def drop_near_duplicates(df, text="text", key="doc_id", words=WORDS):
+    """The rows that stay, with all their columns: of each component of ``near_duplicates`` the one with
+    the smallest key (of several with that key one, a null key only if there is no other)."""
     copy, row = numbered(df)
-    found = near_groups(copy, text, row, words, different).select(
-        F.col("key").alias("row"), F.col("root").alias("component_id"))
-    found = materialize(found, "found")
-    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = materialize(found.join(several, "component_id"), "members")
-    texts = copy.select(copy[row].alias("row"), copy[key].alias("key"), copy[text].alias("text")).join(members, "row")
-    dealt = texts.repartition("component_id").sortWithinPartitions(
-        "component_id", F.col("key").asc_nulls_last(), "row").select("component_id", "row", "text")
-    gone = dealt.mapInArrow(lambda batches: verified(batches, words, similarity), "row long")
+    found = near_duplicates(copy, text, row, words).select(F.col(row).alias("row"), "component_id")
+    keyed = copy.select(copy[row].alias("row"), copy[key].alias("key")).join(found, "row")
+    keyed = materialize(keyed, "keyed")
+    # Written, so that its size is known before it meets the rows; groups of one need no look.
+    stays = keyed.groupBy("component_id").agg(
+        F.coalesce(F.min_by("row", "key"), F.min("row")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    stays = materialize(stays.where("n > 1").select("component_id", "stays"), "stays")
     # The rows that go are the fewer, so Spark can often send them to the texts.
-    gone = materialize(gone.select(F.col("row").alias(row)), "gone")
-    return copy.join(gone, row, "left_anti").drop(row)
+    gone = keyed.join(stays, "component_id").where("row <> stays").select(F.col("row").alias(row))
+    return copy.join(materialize(gone, "gone"), row, "left_anti").drop(row)
