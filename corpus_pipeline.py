@@ -42,7 +42,8 @@ def exact_dedup(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each group of near copies one document stays, the one with the smallest id."""
+    """Of each group of near copies (four-word shingles, at most four bits apart) one document stays, the
+    one with the smallest id."""
     prepare(spark)
     return drop_near_duplicates(docs)
 
