@@ -516,8 +516,8 @@ def deadband(source, eps, hold):
     return f"WITH RECURSIVE {source}, {CHAIN.format(eps=eps, hold=hold)}"
 
 
-# Frames over the seconds of their day. A chain only runs on inside a run of equal values, as each value
-# that differs from the one before is kept; so each run is walked as a series of its own.
+# Frames over the seconds of their day. A value that is two deadbands away from the one before is kept, as the
+# last kept one lies within a deadband of that; so each run up to such a value is walked as a series of its own.
 SPREAD = FRAMES.replace(
     "l_shipdate AS ts", "l_shipdate + to_seconds(((l_orderkey * 8 + l_linenumber) * 7919) % 86400) AS ts")
 RUNS = CHAIN.format(eps=1e-9, hold="INTERVAL 30 HOURS").replace(
@@ -525,7 +525,7 @@ RUNS = CHAIN.format(eps=1e-9, hold="INTERVAL 30 HOURS").replace(
 INGEST = f"""WITH RECURSIVE {SPREAD}, {READ},
 in_order AS (SELECT *, row_number() OVER w AS place, lag(scaled) OVER w AS previous FROM scaled
     WINDOW w AS (PARTITION BY device_id, name ORDER BY ts, frame_id)),
-runs AS (SELECT *, sum(CASE WHEN abs(scaled - previous) < 1e-9 THEN 0 ELSE 1 END) OVER (
+runs AS (SELECT *, sum(CASE WHEN abs(scaled - previous) < 2e-9 THEN 0 ELSE 1 END) OVER (
     PARTITION BY device_id, name ORDER BY place) AS run FROM in_order),
 gauges AS (SELECT frame_id AS id, device_id, ts AS "timestamp", name || '#' || run AS register_name,
     scaled AS value FROM runs),
