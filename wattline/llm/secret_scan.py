@@ -50,6 +50,8 @@ MORE = (
 )
 RULES = BASE + MORE
 MASK = "[SECRET]"
+# Matches added up one by one; a text with more is added up block by block.
+BLOCK = 128
 
 # Alternatives of an expression that are followed; beyond that, a part counts as a gap.
 WIDEST = 64
@@ -104,7 +106,7 @@ def postings(df, grams, text="text"):
 
 
 def candidates(df, rules=RULES, text="text"):
-    """Written (text_key, rules): a bit for each rule whose trigram query the text satisfies."""
+    """Written (text_key, rules): the places of the rules whose trigram query the text satisfies."""
     spark = df.sparkSession
     terms = [
         (r, c, gram, len(grams))
@@ -116,18 +118,20 @@ def candidates(df, rules=RULES, text="text"):
     index = postings(df, sorted({t[2] for t in terms}), text)
     met = index.join(asked, "gram").groupBy("text_key", "rule", "clause").agg(
         F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed")).where("n = needed")
-    # A rule is counted once for each text, so the sum of bits is their union.
-    return materialize(met.select("text_key", F.expr("shiftleft(1L, rule)").alias("bit")).groupBy("text_key").agg(
-        F.bit_or("bit").alias("rules")), "candidates")
+    return materialize(met.groupBy("text_key").agg(F.collect_set("rule").alias("rules")), "candidates")
 
 
 def with_candidates(df, rules=RULES, text="text"):
-    """``df`` with the bits of its candidate rules, and the name of that column."""
-    key, bits = free_name(df, "text_key"), free_name(df, "rule_bits")
-    found = candidates(df, rules, text).select(F.col("text_key").alias(key), F.col("rules").alias(bits))
+    """``df`` with the places of its candidate rules, and the name of that column."""
+    key, held = free_name(df, "text_key"), free_name(df, "rules_held")
+    found = candidates(df, rules, text).select(F.col("text_key").alias(key), F.col("rules").alias(held))
     joined = df.withColumn(key, F.xxhash64(df[text])).join(found, key, "left").drop(key)
-    always = sum(1 << i for i, rule in enumerate(rules) if trigram_query(rule.pattern) is None)
-    return joined.withColumn(bits, F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseOR(F.lit(always))), bits
+    return joined.withColumn(held, F.coalesce(F.col(held), F.array().cast("array<int>"))), held
+
+
+def is_asked(held, rules, i):
+    """Whether a text is a candidate of rule ``i``; a rule without trigrams has every text."""
+    return F.lit(True) if trigram_query(rules[i].pattern) is None else F.array_contains(F.col(held), i)
 
 
 def parts(text, rule):
@@ -146,21 +150,38 @@ def parts(text, rule):
     )
 
 
+def running(values, first, step):
+    """For each element of an array of whole numbers, the outcome of ``step`` over those ahead of it.
+
+    ``step`` is associative. Elements are taken in blocks, as an array that grows one by one is copied
+    for each: a long array costs the blocks' own work, and not the square of its length.
+    """
+    def ahead(array, start):
+        none = F.array().cast("array<int>")
+        return F.aggregate(
+            array, F.struct(start.alias("at"), none.alias("out")),
+            lambda seen, x: F.struct(step(seen["at"], x).alias("at"), F.concat(seen["out"], F.array(seen["at"])).alias("out")),
+            lambda seen: seen["out"])
+
+    count = F.floor((F.size(values) - 1) / BLOCK).cast("int")
+    blocks = F.when(F.size(values) > 0, F.transform(
+        F.sequence(F.lit(0), count), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))).otherwise(
+        F.array().cast("array<array<int>>"))
+    start = F.lit(first)
+    before = ahead(F.transform(blocks, lambda x: F.aggregate(x, start, step)), start)
+    return F.flatten(F.zip_with(blocks, before, ahead))
+
+
 def spans(text, rule, order):
     """Array of (start, rule, end) of a rule's matches."""
-    none = F.array().cast("array<struct<start:int,rule:int,end:int>>")
-    walked = F.aggregate(
-        parts(text, rule), F.struct(F.lit(0).alias("at"), none.alias("spans")),
-        lambda seen, x: F.struct(
-            (seen["at"] + F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["kept"], F.concat(seen["spans"], F.array(F.struct(
-                (seen["at"] + F.length(x["before"])).alias("start"), F.lit(order).alias("rule"),
-                (seen["at"] + F.length(x["before"]) + F.length(x["match"])).alias("end"),
-            )))).otherwise(seen["spans"]).alias("spans"),
-        ),
-        lambda seen: seen["spans"],
-    )
-    return F.when(text.rlike(rule.pattern), walked).otherwise(none)
+    found = parts(text, rule)
+    size = F.transform(found, lambda x: F.length(x["before"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+    placed = F.zip_with(found, running(size, 0, lambda a, b: a + b), lambda x, at: F.struct(
+        (at + F.length(x["before"])).alias("start"), F.lit(order).alias("rule"),
+        (at + F.length(x["before"]) + F.length(x["match"])).alias("end"), x["kept"].alias("kept")))
+    kept = F.transform(F.filter(placed, lambda x: x["kept"]), lambda x: F.struct(
+        x["start"].alias("start"), x["rule"].alias("rule"), x["end"].alias("end")))
+    return F.when(text.rlike(rule.pattern), kept).otherwise(F.array().cast("array<struct<start:int,rule:int,end:int>>"))
 
 
 def scan(df, rules=RULES, text="text"):
@@ -172,7 +193,7 @@ def scan(df, rules=RULES, text="text"):
     names = []
     for i, rule in enumerate(rules):
         names.append(free_name(found, f"spans_{i}"))
-        asked = F.col(bits).bitwiseAND(F.lit(1 << i)) != 0
+        asked = is_asked(bits, rules, i)
         empty = F.array().cast("array<struct<start:int,rule:int,end:int>>")
         found = found.withColumn(names[-1], F.when(asked, spans(F.col(whole), rule, i)).otherwise(empty))
     return found.withColumn("spans", F.sort_array(F.concat(*names))).drop(bits, whole, *names)
@@ -201,12 +222,16 @@ def secret_report(df, text="text", key="doc_id", rules=RULES, base=len(BASE)):
 
 
 def mask_secrets(df, rules=RULES, text="text", mask=MASK):
-    """``df`` with every secret in the text replaced by ``mask``, rule after rule; other texts, and
-    null ones, stay as they are."""
-    found, bits = with_candidates(df, rules, text)
-    for i, rule in enumerate(rules):
-        held = (F.col(bits).bitwiseAND(F.lit(1 << i)) != 0) & F.col(text).rlike(rule.pattern)
-        put = F.array_join(F.transform(parts(F.col(text), rule), lambda x: F.concat(
-            x["before"], F.when(x["kept"], F.lit(mask)).otherwise(F.coalesce(x["match"], F.lit(""))))), "")
-        found = found.withColumn(text, F.when(held, put).otherwise(F.col(text)))
-    return found.select(*df.columns)
+    """``df`` with every secret in the text replaced by ``mask``; other texts, and null ones, stay as they
+    are. Spans are those of the text as it comes; spans that overlap are one secret."""
+    # ``scan`` replaces a column named spans; one of the table's own is put aside meanwhile.
+    aside, own = free_name(df, "spans_aside"), next((c for c in df.columns if c.lower() == "spans"), None)
+    found = scan(df.withColumnRenamed(own, aside) if own else df, rules, text)
+    at = F.col("spans")
+    covered = running(F.transform(at, lambda x: x["end"]), 0, lambda a, b: F.greatest(a, b))
+    pieces = F.zip_with(at, covered, lambda x, c: F.when(
+        x["start"] >= c, F.concat(F.substring(F.col(text), c + 1, x["start"] - c), F.lit(mask))).otherwise(F.lit("")))
+    last = F.array_max(F.transform(at, lambda x: x["end"]))
+    put = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), last + 1, F.length(text)))
+    found = found.withColumn(text, F.when(F.size(at) > 0, put).otherwise(F.col(text))).drop("spans")
+    return (found.withColumnRenamed(aside, own) if own else found).select(*df.columns)
