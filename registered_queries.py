@@ -15,7 +15,9 @@ from wattline.operators.frames import (
 )
 from wattline.operators.latest import last_known, last_value_at, period_diff
 from wattline.operators.quality import range_overlaps, wide_columns
-from wattline.operators.refresh import DAY_OFFSETS, MINUTE_OFFSETS, refresh_table, refresh_window
+from wattline.operators.refresh import (
+    DAY_OFFSETS, MINUTE_OFFSETS, refresh_table, refresh_touched, refresh_window,
+)
 from wattline.operators.series import period_avg, period_values
 from wattline.operators.snapshot import param_history, snapshot
 from wattline.operators.stats import (
@@ -32,7 +34,7 @@ from wattline.sources.wide import (
     wide_rows,
 )
 from wattline.streaming.jobs import (
-    run_available, stream_deadband, stream_decode, stream_dedup, stream_ingest, stream_snapshot,
+    run_available, stream_bucket_stats, stream_deadband, stream_decode, stream_dedup, stream_ingest, stream_snapshot,
     stream_tariff_stats, stream_to_table, upsert_batches,
 )
 
@@ -367,6 +369,28 @@ def refreshed_twice(spark, rows, build, name, time, offsets, width):
     return spark.read.parquet(path).drop("date")
 
 
+def q_touched(spark, sf):
+    """Rows of the first days come sixty days after the others; only their days are rebuilt."""
+    path = scratch_path(spark, "touched")
+    rows = named_gauges(spark, sf)
+    late = (F.col("id") % 7 == 0) & (F.col("timestamp") < "2024-01-04")
+    for part in (rows.filter(~late), rows.filter(late)):
+        append_telemetry(spark, part, f"{path}/telemetry", f"{path}/log")
+        refresh_touched(spark, f"{path}/telemetry", bucket_stats, f"{path}/stats", f"{path}/log", "1 day", "metricts")
+    return rounded_stats(spark.read.parquet(f"{path}/stats").drop("date"))
+
+
+def q_stream_stats(spark, sf):
+    """Readings come in three files, the last with late ones of every day."""
+    path = scratch_path(spark, "stream-stats")
+    rows = named_gauges(spark, sf)
+    late, second = F.col("id") % 5 == 0, F.col("timestamp") >= "2024-01-16"
+    for part in (rows.filter(~late & ~second), rows.filter(~late & second), rows.filter(late)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    return rounded_stats(stream_bucket_stats(spark, stream, f"{path}/states", f"{path}/checkpoint"))
+
+
 def q_default_rule(spark, sf):
     """Registers at the address of the built-in rule, on its device and on others."""
     read_at_540 = frames(spark, sf).withColumns({
@@ -620,6 +644,7 @@ QUERIES = {
     "append_dedup": q_append,
     "refresh_aggregate": q_refresh,
     "refresh_lost_day": q_lost_days,
+    "refresh_touched": q_touched,
     "refresh_bucket_stats": lambda s, d: rounded_stats(refreshed_twice(
         s, named_gauges(s, d), bucket_stats, "refresh-stats", "metricts", DAY_OFFSETS, "1 day")),
     "refresh_snapshot": lambda s, d: refreshed_twice(
@@ -645,6 +670,7 @@ QUERIES = {
     "stream_decode": q_stream_decode,
     "stream_dedup": lambda s, d: stream_to_table(s, stream_dedup(stream_gauges(s, d)), "stream-dedup"),
     "stream_tariff_stats": q_stream_tariff,
+    "stream_bucket_stats": q_stream_stats,
 }
 
 

@@ -729,6 +729,11 @@ SQL = {
         SELECT * FROM stats WHERE day NOT IN (TIMESTAMP '2024-01-14', TIMESTAMP '2024-01-15')""",
     "refresh_bucket_stats": f"""WITH {NAMED}, stats AS ({bucket_stats('gauges', 'day', True)})
         SELECT * FROM stats""",
+    "refresh_touched": f"""WITH {NAMED}, stored AS (SELECT DISTINCT ON (device_id, "timestamp", register_name) * FROM (
+        SELECT id, device_id, date_trunc('millisecond', "timestamp") AS "timestamp", register_name, value FROM gauges)
+        ORDER BY device_id, "timestamp", register_name,
+            (id % 7 = 0 AND "timestamp" < TIMESTAMP '2024-01-04'), id) {bucket_stats('stored', 'day', True)}""",
+    "stream_bucket_stats": f"WITH {NAMED} {bucket_stats('gauges', 'day', True)}",
     "refresh_snapshot": f"WITH {NAMED}, {SNAP} SELECT * FROM snap",
     "stream_snapshot_7m": stream_snapshot("7 MINUTES"),
     "stream_snapshot_1h": stream_snapshot("1 HOUR"),

@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from wattline.functions.time import (
     ORIGIN_SECONDS, as_datetime, as_timestamp, in_range, utc_date, width_micros,
 )
-from wattline.sources.telemetry import days_of, read_days, remove_days, write_by_date
+from wattline.schemas import STORED_TELEMETRY
+from wattline.session import scratch_path
+from wattline.sources.telemetry import (
+    clear_log, days_of, logged_days, read_days, remove_days, write_by_date,
+)
 
 # How far back and up to when the scheduled refresh of each aggregate looks.
 MINUTE_OFFSETS = ("2 hours", "1 minute")
@@ -62,13 +66,65 @@ def refresh_table(spark, telemetry, build, path, window, time):
     if existing is not None:
         stored_days = days_of(existing)
         existing = existing.drop("date")
-    table = refreshed(existing, telemetry, build, window, time)
-    table = table.withColumn("date", utc_date(F.col(time)))
+    _put(spark, refreshed(existing, telemetry, build, window, time), path, time, stored_days)
+
+
+def _put(spark, table, path, time, stored_days):
+    """Replaces the days of a table by its rows, and removes those of the stored days that have none. The
+    rows are computed once, to a table beside."""
+    beside = scratch_path(spark, "refreshed")
+    table.withColumn("date", utc_date(F.col(time))).write.parquet(beside)
+    table = spark.read.parquet(beside)
     days = set(days_of(table)) if stored_days else set()
     write_by_date(table, path, mode="overwrite", sort=())
     remove_days(spark, path, [day for day in stored_days if day not in days])
 
 
+def touched_buckets(spark, days, width, time):
+    """(time): the buckets that have a part in any of the days."""
+    size = width_micros(width)
+    since = F.unix_micros(F.col("date").cast("timestamp")) - F.lit(ORIGIN_SECONDS * 1_000_000)
+    first, last = F.floor(since / size), F.floor((since + F.lit(86_400_000_000 - 1)) / size)
+    dated = spark.createDataFrame([(day,) for day in days], "date date")
+    numbers = dated.select(F.explode(F.sequence(first, last)).alias("number")).distinct()
+    at = F.col("number") * F.lit(size) + F.lit(ORIGIN_SECONDS * 1_000_000)
+    return numbers.select(F.timestamp_micros(at).alias(time))
+
+
+def touched_range(day, width):
+    """The days that the buckets of a day reach over."""
+    size = dt.timedelta(microseconds=width_micros(width))
+    origin = dt.datetime.fromtimestamp(ORIGIN_SECONDS, dt.timezone.utc)
+    start = dt.datetime.combine(day, dt.time(), dt.timezone.utc)
+    low = origin + (start - origin) // size * size
+    high = origin - (origin - start - dt.timedelta(days=1)) // size * size - dt.timedelta(microseconds=1)
+    return {low.date() + dt.timedelta(days=i) for i in range((high.date() - low.date()).days + 1)}
+
+
+def refresh_touched(spark, telemetry_path, build, path, log, width, time):
+    """Rebuilds the buckets of the days that appends have logged since the last time (writes), whatever
+    their age; returns those days.
+
+    Only the folders of these days, and of days that their buckets reach over, are read and replaced. The
+    log's files are removed last, so that a refresh that fails is repeated whole.
+    """
+    days, files = logged_days(spark, log)
+    if days:
+        reach = sorted(set().union(*(touched_range(day, width) for day in days)))
+        buckets = touched_buckets(spark, days, width, time)
+        telemetry = read_days(spark, telemetry_path, reach, STORED_TELEMETRY)
+        fresh = build(telemetry.drop("date")).join(buckets, time, "left_semi") if telemetry is not None else None
+        existing, stored_days = read_days(spark, path, reach), []
+        if existing is not None:
+            stored_days = days_of(existing)
+            existing = existing.drop("date").join(buckets, time, "left_anti")
+        parts = [x for x in (existing, fresh) if x is not None]
+        if parts:
+            _put(spark, parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0], path, time, stored_days)
+    clear_log(spark, files)
+    return days
+
+
 def upsert_table(spark, rows, path, keys, time):
     """Replaces or adds rows by key in the days they touch (writes); safe to repeat.
 

@@ -17,9 +17,7 @@ def bucket_stats(telemetry, width="1 day", rules=DAY_RULES, time="metricts"):
     """
     rules = parse_rules(rules) if isinstance(rules, str) else list(rules)
     registers = list(dict.fromkeys(source for source, _, _ in rules))
-    plain = list(dict.fromkeys(s for _, s, _ in rules if s not in ("delta", "end")))
-    aggregates = {f"s{i}": statistic(stat, F.col("value")) for i, stat in enumerate(plain)}
-    slot = {stat: f"s{i}" for i, stat in enumerate(plain)}
+    aggregates = {f"s{i}": statistic(stat, F.col("value")) for i, stat in enumerate(plain_statistics(rules))}
     if any(s in ("delta", "end") for _, s, _ in rules):
         last = F.max_by("value", "timestamp")
         aggregates["delta"] = last - F.min_by("value", "timestamp")
@@ -34,12 +32,26 @@ def bucket_stats(telemetry, width="1 day", rules=DAY_RULES, time="metricts"):
     reduced = rows.groupBy(time, "device_id", "register_name").agg(
         *[a.alias(name) for name, a in aggregates.items()]
     )
+    return spread(reduced, rules, time)
+
+
+def plain_statistics(rules):
+    """The statistics of rules that are one aggregate each, in their order."""
+    return list(dict.fromkeys(s for _, s, _ in rules if s not in ("delta", "end")))
+
+
+def spread(reduced, rules, time="metricts"):
+    """Statistics per (bucket, device, register), in columns s0, s1, ..., delta and end, as one row per
+    (bucket, device) with a column for each rule."""
+    registers = list(dict.fromkeys(source for source, _, _ in rules))
+    names = [c for c in reduced.columns if c not in (time, "device_id", "register_name")]
+    slot = {stat: f"s{i}" for i, stat in enumerate(plain_statistics(rules))}
     wide = reduced.groupBy(time, "device_id").pivot("register_name", registers).agg(
-        *[F.first(name).alias(name) for name in aggregates]
+        *[F.first(name).alias(name) for name in names]
     )
 
     def cell(source, stat):
-        name = source if len(aggregates) == 1 else f"{source}_{slot.get(stat, stat)}"
+        name = source if len(names) == 1 else f"{source}_{slot.get(stat, stat)}"
         value = F.col(f"`{name}`")
         return F.coalesce(value, F.lit(0)) if stat == "count" else value
 
