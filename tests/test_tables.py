@@ -339,6 +339,35 @@ def test_ingest_goes_on_after_a_restart(spark, tmp_path, seed, want):
     assert sorted(r["id"] for r in read_telemetry(spark, path).collect()) == want
 
 
+def test_ingest_seeds_from_the_table(spark, tmp_path):
+    """Starts without states; the series of device 2 was last stored days before that of device 1, and a
+    batch that runs again does not start from its own rows."""
+    from wattline.sources.telemetry import append_telemetry, last_stored
+    from wattline.streaming.jobs import ingest_batches, stream_ingest
+
+    columns = "device_id int, reg_type string, ts timestamp, start int, words array<int>, frame_id long"
+    catalog = spark.sql("""SELECT id AS device_id, 'holding' AS reg_type, 0 AS address, 'r' AS name, 'uint16' AS type,
+        1.0D AS scale, false AS preprocessing, true AS enabled, 0 AS register_no FROM VALUES (1), (2), (3) AS t(id)""")
+    frames, path = str(tmp_path / "frames"), str(tmp_path / "table")
+    append_telemetry(spark, spark.sql("""SELECT i AS id, d AS device_id, timestamp(t) AS timestamp, 'r' AS register_name,
+        v AS value FROM VALUES (0L, 1, '2024-01-09 23:00', 4D), (1L, 1, '2024-01-09 23:30', 5D),
+        (2L, 2, '2024-01-01 00:00', 7D), (3L, 2, '2023-12-01 00:00', 8D) AS x(i, d, t, v)"""), path)
+    wanted = spark.createDataFrame([(d, "r") for d in (1, 2, 3)], "device_id int, register_name string")
+    assert [r[3] for r in rows(last_stored(spark, path, wanted))] == [5.0, 7.0]
+    assert last_stored(spark, str(tmp_path / "none"), wanted).count() == 0
+    at = [(1, "2024-01-09 23:31", 5), (1, "2024-01-09 23:32", 6), (2, "2024-01-09 23:31", 7), (3, "2024-01-09 23:31", 9)]
+    batch = spark.createDataFrame(
+        [(d, "holding", dt.datetime.fromisoformat(t), 0, [v], 10 + i) for i, (d, t, v) in enumerate(at)], columns)
+    write = ingest_batches(spark, catalog, path, str(tmp_path / "states"), "20 minutes", "sink")
+    for _ in range(2):
+        write(batch, 0)
+    # 5 again within the hold goes; 7 is due after days, and 9 is the first of its series.
+    assert sorted(r["id"] for r in read_telemetry(spark, path).collect()) == [0, 1, 2, 3, 11, 12, 13]
+    batch.limit(0).write.parquet(frames)
+    stream = spark.readStream.schema(columns).parquet(frames)
+    stream_ingest(spark, stream, catalog, path, str(tmp_path / "checkpoint"), "20 minutes", "sink")
+
+
 def test_import_of_a_wide_table(spark):
     lines = [line.split(",") for line in EXPORT.replace('"', "").splitlines()[3:]]
     names = ["batteryTemp(℃)/586", "totalUsed(kWh)/527-528", "unknown/999"]
