@@ -531,6 +531,9 @@ gauges AS (SELECT frame_id AS id, device_id, ts AS "timestamp", name || '#' || r
     scaled AS value FROM runs),
 {RUNS.replace(")\nSELECT o.id, o.device_id, o.\"timestamp\"", "),\nstored AS (SELECT o.id, o.device_id, o.\"timestamp\"")})"""
 
+FIRST_OF_KEY = """SELECT min(id) AS id, device_id, "timestamp", register_name, arg_min(value, id) AS value
+    FROM stored GROUP BY 2, 3, 4"""
+
 EXPORTS = """wide AS (SELECT l_suppkey::VARCHAR AS file,
     (l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS line_no,
     CASE WHEN l_quantity > 2 THEN strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') ELSE ' ' END AS "Time",
@@ -662,8 +665,7 @@ SQL = {
         CASE WHEN is_zero THEN address ELSE greatest(address - 1, 0) END AS wire_address
         FROM registers r JOIN devices d ON d.id = r.device_id""",
     "ingest_frames": f"{INGEST} SELECT * FROM stored",
-    "stream_ingest": f"""{INGEST} SELECT min(id) AS id, device_id, "timestamp", register_name,
-        arg_min(value, id) AS value FROM stored GROUP BY 2, 3, 4""",
+    "stream_ingest": f"{INGEST} {FIRST_OF_KEY}",
     "range_overlaps": f"""WITH {PART_RANGES}, r AS (SELECT *, start + "count" AS stop FROM ranges)
         SELECT device_id, range_no, start, stop FROM r WHERE EXISTS (SELECT 1 FROM r o
             WHERE o.device_id = r.device_id AND o.range_no <> r.range_no
