@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattline.catalog import MINUTE_REGISTERS, TARIFF_REGISTERS
 from wattline.functions.decode import adjusted_address, precision_first
+from wattline.functions.naming import column_name
 from wattline.functions.tariff import tariff_zone
 from wattline.functions.time import bucket, format_utc, period_seconds
 from wattline.operators.changes import change_filter, constant_registers, deadband_heartbeat
@@ -14,7 +15,9 @@ from wattline.operators.frames import (
     plan_frames, registers_in_ranges, resolve_addresses,
 )
 from wattline.operators.latest import last_known, last_value_at, period_diff
-from wattline.operators.quality import range_overlaps, wide_columns
+from wattline.operators.quality import (
+    as_spark_type, cast_wide, catalog_types, range_overlaps, rejected_values, stored_drift, wide_columns,
+)
 from wattline.operators.refresh import (
     DAY_OFFSETS, MINUTE_OFFSETS, refresh_table, refresh_touched, refresh_window,
 )
@@ -27,7 +30,7 @@ from wattline.plans.reports import daily_tariff_report, history, ingest_frames,
 from wattline.session import scratch_path
 from wattline.sources.catalog import parse_catalog
 from wattline.sources.telemetry import (
-    append_telemetry, distinct_registers, read_telemetry, row_count, write_staging,
+    append_telemetry, distinct_registers, read_staging, read_telemetry, row_count, write_staging,
 )
 from wattline.sources.wide import (
     export_headers, import_long, missing_columns, read_export_lines, unpivot_rows, unpivot_table,
@@ -327,7 +330,70 @@ def q_missing(spark, sf):
 def q_staging(spark, sf):
     path = scratch_path(spark, "staging")
     write_staging(exports_long(spark, sf), path)
-    return row_count(spark.read.parquet(path))
+    return row_count(read_staging(spark, path))
+
+
+def q_staging_replaced(spark, sf):
+    """A second load, of every other line, takes the place of the first."""
+    path = scratch_path(spark, "staging")
+    rows = exports(spark, sf)
+    write_staging(import_long(unpivot_table(rows, KNOWN)), path)
+    write_staging(import_long(unpivot_table(rows.filter("line_no % 2 = 0"), KNOWN)), path)
+    return read_staging(spark, path).select("device_id", "timestamp", "register_name", "value")
+
+
+# Registers of the wide table: what order lines are measured in, as a device's registers.
+WIDE_REGISTERS = """VALUES (1, 'quantity(n)', 'int16', 1.0, true), (2, 'price(x)', 'uint16', 0.1, true),
+    (3, 'part', 'int32', 1.0, true), (4, 'order', 'uint64', 1.0, true), (5, 'tax(%)', 'float32', 1.0, true),
+    (6, 'total', 'uint32', 0.1, true), (7, 'off', 'int16', 1.0, false)"""
+
+
+def wide_lines(spark, sf):
+    """Order lines as a wide table whose columns are doubles, some too large for their register."""
+    return read(spark, sf, "lineitem", LINES).select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").alias("quantity"),
+        F.col("l_extendedprice").alias("price"), (F.col("l_partkey") * F.lit(1e8)).alias("part"),
+        (F.col("l_orderkey") * F.lit(1e15)).alias("order"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_tax")).alias("tax"),
+        (F.col("l_suppkey") * F.lit(25e6)).alias("total"), F.col("l_discount").alias("off"),
+    )
+
+
+LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+def wide_types(spark):
+    return catalog_types(values(spark, WIDE_REGISTERS, "register_no, name, type, scale, enabled").withColumn(
+        "scale", F.col("scale").cast("double")))
+
+
+def q_wide_schema(spark, sf):
+    typed = cast_wide(wide_lines(spark, sf), wide_types(spark))
+    names = {f.name: f.dataType.simpleString() for f in typed.schema if f.name not in LINE_KEYS}
+    return typed.select(*LINE_KEYS, *[F.col(c).cast("string").alias(c) if t.startswith("decimal") else F.col(c)
+                                      for c, t in names.items()])
+
+
+def q_wide_rejects(spark, sf):
+    return rejected_values(wide_lines(spark, sf), wide_types(spark), LINE_KEYS).withColumn(
+        "value", F.col("value").cast("double"))
+
+
+def q_schema_drift(spark, sf):
+    """Wide tables of three ages, a folder for each month: floats first, then without a column, then as
+    the catalog has it."""
+    path = scratch_path(spark, "ages")
+    types = wide_types(spark)
+    rows = read(spark, sf, "lineitem", LINES).select(*LINE_KEYS, F.date_format("l_shipdate", "yyyy-MM").alias("month"))
+    rows = wide_lines(spark, sf).join(rows, LINE_KEYS)
+    first, second, third = (
+        rows.filter("month < '1997'"), rows.filter("month >= '1997' AND month < '1999'").drop("price"),
+        rows.filter("month >= '1999'"))
+    for age in (first, cast_wide(second, types), cast_wide(third, types)):
+        age.hint("rebalance", "month").write.mode("append").partitionBy("month").parquet(path)
+    expected = {column_name(register): as_spark_type(t) for register, t in types.items()}
+    month = F.regexp_extract("file", "month=([0-9-]+)", 1).alias("month")
+    return stored_drift(spark, path, expected).select(month, "column_name", "current_type", "expected_type").distinct()
 
 
 def exports_long(spark, sf):
@@ -641,6 +707,10 @@ QUERIES = {
     "missing_columns": q_missing,
     "constant_registers": q_constants,
     "staging_count": q_staging,
+    "staging_replaced": q_staging_replaced,
+    "schema_drift": q_schema_drift,
+    "wide_schema": q_wide_schema,
+    "wide_rejects": q_wide_rejects,
     "append_dedup": q_append,
     "refresh_aggregate": q_refresh,
     "refresh_lost_day": q_lost_days,

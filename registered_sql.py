@@ -550,6 +550,30 @@ imported AS (SELECT epoch("Time"::TIMESTAMP)::BIGINT AS id, 1 AS device_id, "Tim
     register_name, value, file FROM moves
     WHERE (previous IS NULL OR value <> previous) AND value IS NOT NULL AND value <> 0)"""
 
+# Column, value, and storage type as the catalog of the wide table gives it.
+WIDE = [
+    ("quantity", "l_quantity", "INTEGER"), ("price", "l_extendedprice", "DECIMAL(6,2)"),
+    ("part", "l_partkey * 1e8", "INTEGER"), ("order", "l_orderkey * 1e15", "DECIMAL(20,0)"),
+    ("tax", "CASE WHEN l_linenumber > 1 THEN l_tax END", "DOUBLE"), ("total", "l_suppkey * 25e6", "DECIMAL(10,2)"),
+]
+LINE_KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+WIDE_TYPED = ", ".join(
+    f"""TRY_CAST(({v})::DOUBLE AS {t}){"::VARCHAR" if t.startswith("DECIMAL") else ""} AS "{c}\"""" for c, v, t in WIDE)
+WIDE_REJECTS = " UNION ALL ".join(
+    f"""SELECT {LINE_KEYS}, '{c}' AS column_name, ({v})::DOUBLE AS value, '{t}' AS column_type FROM lineitem
+        WHERE ({v}) IS NOT NULL AND TRY_CAST(({v})::DOUBLE AS {t}) IS NULL""" for c, v, t in WIDE)
+SPARK_NAMES = {"INTEGER": "int"}
+# Type in a file of the first age, where all are doubles, and of the second, which lacks the price.
+DRIFT = " UNION ALL ".join(
+    f"""SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, '{c}' AS column_name, {now} AS current_type,
+        '{SPARK_NAMES.get(t, t.lower())}' AS expected_type FROM lineitem WHERE {when}"""
+    for c, _, t in WIDE
+    for now, when in [
+        ("'double'", "l_shipdate < DATE '1997-01-01'"),
+        ("NULL", "l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1999-01-01'"),
+    ]
+    if t != "DOUBLE" and (now != "NULL" or c == "price"))
+
 CONFIGS = """r AS (SELECT p_partkey AS k, (p_partkey // 40)::INT AS device_id,
     (p_partkey % 40)::INT AS register_no FROM part),
 d AS (SELECT DISTINCT device_id AS id FROM r)"""
@@ -721,6 +745,11 @@ SQL = {
     "constant_registers": f"""WITH {EXPORTS.replace("l_suppkey", "l_orderkey")}
         SELECT file, register_name, min("Time") AS "Time"
         FROM long WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT value) = 1""",
+    "staging_replaced": f"""WITH {IMPORTED.replace("FROM lineitem)", "FROM lineitem WHERE ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) % 2 = 0)")}
+        SELECT device_id, "timestamp", register_name, value FROM imported""",
+    "schema_drift": DRIFT,
+    "wide_schema": f"SELECT {LINE_KEYS}, {WIDE_TYPED}, l_discount AS off FROM lineitem",
+    "wide_rejects": WIDE_REJECTS,
     "staging_count": f"WITH {IMPORTED} SELECT count(*) AS n_rows FROM imported",
     "append_dedup": f"""WITH {GAUGES} SELECT min(id) AS id, device_id,
         date_trunc('millisecond', "timestamp") AS "timestamp", register_name, arg_min(value, id) AS value

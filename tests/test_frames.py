@@ -8,7 +8,10 @@ from wattline.operators.frames import (
     decode_frames, decode_with_context, enabled_registers, frame_sizes, frame_telemetry,
     overhanging_registers, parse_addresses, plan_frames, registers_in_ranges, resolve_addresses,
 )
-from wattline.operators.quality import cast_wide, range_overlaps, schema_drift, wide_columns
+from wattline.operators.quality import (
+    cast_wide, catalog_types, drift_report, range_overlaps, rejected_values, schema_drift, stored_columns,
+    stored_drift, wide_columns,
+)
 from wattline.operators.snapshot import snapshot
 from wattline.plans.reports import ingest_frames
 from wattline.sources.catalog import parse_catalog, read_address_specs, read_register_catalog
@@ -246,3 +249,40 @@ def test_wide_types_and_drift(spark, telemetry):
     assert (str(typed.first()["vpv1"]), typed.first()["ppv1"]) == ("12.35", 7)
     drift = schema_drift(typed, {"VPV1": "DECIMAL(6, 2)", "ppv1": "BIGINT", "none": "int"})
     assert rows(drift) == [("none", None, "int"), ("ppv1", "int", "BIGINT")]
+
+
+def test_values_beyond_their_type_are_rejected(spark):
+    regs = registers(spark, [
+        (1, 1, "vpv1(V)", "uint16", {"scale": 0.1}), (1, 2, "ppv1(W)", "uint16"), (1, 3, "f", "float32"),
+        (1, 4, "gone", "uint16", {"enabled": False}),
+    ])
+    types = catalog_types(regs)
+    assert types == {"vpv1(V)": "DECIMAL(6,2)", "ppv1(W)": "INTEGER", "f": "FLOAT"}
+    nan = float("nan")
+    wide = spark.createDataFrame(
+        [(1, 9999.99, 7.0, 1.0), (2, 10000.0, 3e9, 2.0), (3, None, nan, nan), (4, -9999.99, -1.0, None)],
+        "n int, vpv1 double, ppv1 double, f double")
+    assert [tuple(r)[1:3] for r in cast_wide(wide, types).orderBy("n").collect()][1:3] == [(None, None), (None, None)]
+    assert rows(rejected_values(wide, types, ["n"])) == [
+        (2, "ppv1", "3.0E9", "INTEGER"), (2, "vpv1", "10000.0", "DECIMAL(6,2)"), (3, "ppv1", "NaN", "INTEGER")]
+    assert rejected_values(wide.select("n"), types, ["n"]).count() == 0
+    assert rejected_values(wide.limit(0), types, ["n"]).count() == 0
+
+
+def test_drift_over_stored_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    path = str(tmp_path / "with space")
+    spark.range(3).selectExpr("id", "CAST(id AS DECIMAL(6,2)) AS Vpv1").coalesce(1).write.parquet(path + "/a")
+    spark.range(3).selectExpr("CAST(id AS INT) AS id", "1 AS extra").coalesce(1).write.parquet(path + "/b=1")
+    # A file that Spark has not written has no schema of Spark's.
+    pq.write_table(pa.table({"ID": pa.array([1], pa.int64()), "vpv1": pa.array([1.0])}), path + "/b=1/own.parquet")
+    found = {(c, t) for _, c, t in rows(stored_columns(spark, path, ["VPV1"]))}
+    assert found == {("id", "bigint"), ("Vpv1", "decimal(6,2)"), ("id", "int"), ("extra", "int"), ("VPV1", None),
+                     ("ID", "bigint"), ("vpv1", "double")}
+    drift = stored_drift(spark, path, {"id": "BIGINT", "VPV1": "Decimal(6, 2)"})
+    report = drift_report(drift).drop("a_file")
+    assert rows(report) == [
+        ("id", "int", "BIGINT", 1), ("vpv1", None, "Decimal(6, 2)", 1), ("vpv1", "double", "Decimal(6, 2)", 1)]
+    assert stored_drift(spark, path, {}).count() == 0

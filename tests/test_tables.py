@@ -13,8 +13,8 @@ from wattline.operators.stats import tariff_stats
 from wattline.plans.reports import ingest_exports
 from wattline.session import scratch_path, shared_dir
 from wattline.sources.telemetry import (
-    append_telemetry, distinct_registers, read_directory, read_prices, read_telemetry, row_count,
-    write_staging,
+    append_telemetry, committed_versions, distinct_registers, read_directory, read_prices, read_staging,
+    read_telemetry, row_count, write_staging,
 )
 from wattline.sources.wide import (
     bad_exports, export_headers, import_long, import_wide, missing_columns, read_export_lines,
@@ -69,7 +69,37 @@ def test_filters_prune_days(spark, telemetry, tmp_path):
 def test_staging_is_replaced(spark, telemetry, tmp_path):
     for n in (3, 2):
         write_staging(telemetry([(1, f"{DAY} 10:00:0{i}", "a", 1.0) for i in range(n)]), str(tmp_path / "s"))
-    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+    assert read_staging(spark, str(tmp_path / "s")).count() == 2
+
+
+def test_failed_load_leaves_the_staging_table(spark, telemetry, tmp_path):
+    path = str(tmp_path / "s")
+    with pytest.raises(ValueError, match="no whole version"):
+        read_staging(spark, path)
+    good = telemetry([(1, f"{DAY} 10:00:0{i}", "a", float(i)) for i in range(4)])
+    write_staging(good, path)
+    # The load fails in one task, when others have written their files.
+    broken = good.repartition(4, "value").withColumn(
+        "value", F.when(F.col("value") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("value") + 10).cast("double"))
+    with pytest.raises(Exception, match="broken"):
+        write_staging(broken, path)
+    assert rows(read_staging(spark, path)) == rows(good)
+    write_staging(good.filter("value > 1"), path)
+    assert rows(read_staging(spark, path)) == rows(good.filter("value > 1"))
+
+
+def test_staging_keeps_the_version_before(spark, telemetry, tmp_path):
+    path = str(tmp_path / "s")
+    loads = [telemetry([(1, f"{DAY} 10:00:00", "a", float(n))]) for n in range(4)]
+    write_staging(loads[0], path)
+    for load in loads[1:]:
+        reader = read_staging(spark, path)
+        write_staging(load, path)
+        assert reader.count() == 1  # a reader from before the switch
+    assert committed_versions(spark, path) == [3, 4]
+    assert sorted(x for x in os.listdir(path) if x.startswith("version")) == ["version-3", "version-4"]
+    write_staging(loads[0].limit(0), path)
+    assert read_staging(spark, path).count() == 0
 
 
 def test_dimensions(spark, tmp_path):

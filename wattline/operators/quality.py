@@ -1,9 +1,17 @@
 """Checks of catalogs and schemas."""
 
+import json
+import re
+from urllib.parse import unquote
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructType
 
 from wattline.functions.naming import column_name
+from wattline.session import scratch_path
 
 
 def range_overlaps(ranges, keys=("device_id",)):
@@ -66,6 +74,103 @@ def cast_wide(wide, types):
     ])
 
 
+def catalog_types(registers):
+    """``{register: storage type}`` of the enabled registers of a catalog, read when the plan is made: as
+    many values as the wide table has columns reach the driver. Of registers that share a name the
+    first number counts."""
+    named = wide_columns(registers).groupBy("name").agg(F.min_by("column_type", "register_no").alias("type"))
+    return {r["name"]: r["type"] for r in named.collect()}
+
+
+def rejected_values(wide, types, keys):
+    """(keys, column_name, value, column_type): values that ``cast_wide`` makes null, as they are beyond
+    the column's type, not numbers, or infinite. Values as text."""
+    storage = {column_name(register): t for register, t in types.items()}
+    lost = [
+        F.when(
+            F.col(c).isNotNull() & F.col(c).try_cast(as_spark_type(storage[c])).isNull(),
+            F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"),
+                     F.lit(storage[c]).alias("column_type")),
+        )
+        for c in wide.columns if c in storage
+    ]
+    if not lost:
+        lost = [F.lit(None).cast("struct<column_name:string,value:string,column_type:string>")]
+    return wide.select(*keys, F.explode(F.array_compact(F.array(*lost))).alias("lost")).select(*keys, "lost.*")
+
+
+def stored_columns(spark, path, wanted=()):
+    """(file, column_name, current_type): the columns of every Parquet file below a path.
+
+    Files are listed by Spark and their footers alone are read, in tasks; types are Spark's, from the
+    schema that Spark leaves in a file, else from the file's own. A column of ``wanted`` that a file
+    lacks has the type null. Names are compared without regard to case. The path must be one that
+    pyarrow can open on the executors (a shared folder, hdfs, s3, gs).
+    """
+    wanted = list(wanted)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(path).select("path")
+    # Listed files come many to a partition; a footer takes a round trip, so they are dealt out.
+    beside = scratch_path(spark, "listed-files")
+    files.write.parquet(beside)
+    listed = spark.read.schema("path string").parquet(beside)
+    tasks = max(1, min(listed.count() // FOOTERS + 1, MOST_TASKS))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for file in batch["path"]:
+                found = footer_types(file)
+                have = {c.lower() for c in found}
+                rows += [(file, c, t) for c, t in found.items()]
+                rows += [(file, c, None) for c in wanted if c.lower() not in have]
+            yield pd.DataFrame(rows, columns=["file", "column_name", "current_type"])
+
+    return listed.repartition(tasks).mapInPandas(run, "file string, column_name string, current_type string")
+
+
+# Footers a task reads, and tasks at most (each then reads more).
+FOOTERS, MOST_TASKS = 64, 10_000
+
+
+def footer_types(file):
+    """{column: Spark type} of one Parquet file."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    # Hadoop's spelling of addresses, as pyarrow has it.
+    address = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", file))
+    if address.startswith("file:"):
+        system, name = fs.LocalFileSystem(), unquote(address.removeprefix("file://"))
+    else:
+        system, name = fs.FileSystem.from_uri(address)
+    schema = pq.read_schema(name, filesystem=system)
+    written = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    if written:
+        return {f.name: f.dataType.simpleString() for f in StructType.fromJson(json.loads(written))}
+    return {f.name: from_arrow_type(f.type).simpleString() for f in schema}
+
+
+def stored_drift(spark, path, expected):
+    """(file, column_name, current_type, expected_type): columns of the Parquet files below a path whose
+    type is not the expected one, ignoring case and blanks; missing ones have a null current type.
+    Columns that are not expected are let be."""
+    columns = stored_columns(spark, path, expected)
+    if not expected:
+        return columns.withColumn("expected_type", F.lit(None).cast("string")).limit(0)
+    types = F.create_map(*[F.lit(x) for name, wanted in expected.items() for x in (name.lower(), wanted)])
+    known = columns.withColumn("expected_type", types[F.lower("column_name")])
+    have, want = (F.lower(F.regexp_replace(c, r"\s", "")) for c in ("current_type", "expected_type"))
+    drifting = F.col("expected_type").isNotNull() & ~have.eqNullSafe(want)
+    return known.filter(drifting)
+
+
+def drift_report(drift):
+    """(column_name, current_type, expected_type, n_files, a_file): files that drift alike, together."""
+    return drift.groupBy(F.lower("column_name").alias("column_name"), "current_type", "expected_type").agg(
+        F.count(F.lit(1)).alias("n_files"), F.min("file").alias("a_file"))
+
+
 def schema_drift(df, expected):
     """Columns whose type is not the expected one, ignoring case and blanks; missing ones too."""
     current = {f.name.lower(): f.dataType.simpleString() for f in df.schema}
