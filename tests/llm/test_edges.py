@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import math
 import random
 import sys
 
@@ -290,8 +291,46 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     found = vector_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
     assert {tuple(x) for x in found} == want and len(found) == len(want)
     assert vector_search.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
-    twice = df.union(df.where("vec_id = 100"))
-    assert {tuple(x) for x in vector_search.top_k(twice, F.col("vec_id") % 50 == 0).collect()} == want
+
+
+def brute_top_k(rows, k=5):
+    """As the query's SQL has it: pairs of rows of different ids, the best of each query id."""
+    pairs = {}
+    for i, q in rows:
+        for j, v in rows:
+            if i % 50 == 0 and i != j and len(q) == len(v):
+                score = sum(math.floor(256 * a) * math.floor(256 * b) for a, b in zip(q, v, strict=True))
+                pairs.setdefault(i, []).append((-min(max(score, -(2**63)), 2**63 - 1), j))
+    return sorted((i, n + 1, j, -s) for i, found in pairs.items() for n, (s, j) in enumerate(sorted(found)[:k]))
+
+
+def top_k_of(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    return sorted(map(tuple, vector_search.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+
+
+def test_top_k_counts_every_row(spark):
+    rows = [(50, [1.0]), (1, [1.0]), (1, [1.0]), (2, [0.5])]
+    assert top_k_of(spark, rows) == [(50, 1, 1, 65536), (50, 2, 1, 65536), (50, 3, 2, 32768)] == brute_top_k(rows)
+    r = np.random.default_rng(5)
+    some = [r.integers(-3, 4, 3).astype(float).tolist() for _ in range(12)]
+    rows = [(int(i), some[j]) for i, j in zip(r.integers(0, 120, 150), r.integers(0, 12, 150), strict=True)]
+    # An id of many vectors, one of many copies, and queries of both kinds.
+    rows += [(100, x) for x in some] + [(50, some[0])] * 9 + [(3, some[1])] * 9
+    assert top_k_of(spark, rows) == brute_top_k(rows)
+
+
+def test_top_k_of_an_id_with_the_only_vectors(spark):
+    rows = [(50, [1.0, 2.0])] * 20 + [(50, [3.0, 1.0])] * 3
+    assert top_k_of(spark, rows) == []
+    rows += [(7, [1.0, 2.0])]
+    assert top_k_of(spark, rows) == brute_top_k(rows)
+
+
+def test_top_k_beyond_64_bits(spark):
+    rows = [(50, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [-3e38, 5.0]), (3, [1.0, 1.0]), (4, [0.0, 1e300]), (5, [2.0**40, 3.0]),
+            (6, [2.0**40 + 1, 3.0]), (100, [2.0**10, -1.0]), (150, [-1e300, 1e300])]
+    assert top_k_of(spark, rows) == brute_top_k(rows)
 
 
 # Secrets ----------------------------------------------------------------------------------------
