@@ -681,6 +681,14 @@ SQL = {
         FROM (SELECT c.*, CASE WHEN s >= 32768 THEN s - 65536 ELSE s END AS second_word FROM (
             SELECT *, (((frame_id - register_line) // 8) * 7919) % 65536 AS s FROM (
                 SELECT *, frame_id % 8 AS register_line FROM chosen)) c)""",
+    "decode_with_memory": f"""WITH {FRAMES.replace("l_orderkey * 8 + l_linenumber AS", "(l_orderkey * 8 + l_linenumber) * 100000 + l_partkey AS")},
+        {READ}, seen AS (SELECT frame_id, device_id, ts, last_value(CASE WHEN frame_id % 3 <> 0 THEN
+                CASE WHEN w[2] >= 32768 THEN w[2] - 65536 ELSE w[2] END END IGNORE NULLS) OVER (
+                PARTITION BY device_id ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS second_word FROM frames)
+        SELECT c.frame_id, c.device_id, c.ts, address, name,
+            CASE WHEN preprocessing THEN round(scaled / (abs(0.25::DOUBLE * second_word) + 1), 8) ELSE scaled END AS value
+        FROM scaled c JOIN seen s ON s.frame_id = c.frame_id AND s.device_id = c.device_id AND s.ts = c.ts
+        WHERE register_no = 6 OR (register_no IN (0, 4, 5) AND c.frame_id % 3 <> 0)""",
     "overhanging_registers": f"""WITH {FRAMES} SELECT frame_id, device_id, ts, address, name
         FROM frames, registers WHERE enabled AND address BETWEEN 500 AND 505 AND NOT ({FITS})""",
     "precision_first": f"""SELECT l_orderkey, l_linenumber, l_extendedprice,

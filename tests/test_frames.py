@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from wattline.operators.frames import (
-    decode_frames, decode_with_context, enabled_registers, frame_sizes, frame_telemetry,
+    decode_frames, decode_with_context, decode_with_memory, enabled_registers, frame_sizes, frame_telemetry,
     overhanging_registers, parse_addresses, plan_frames, registers_in_ranges, resolve_addresses,
 )
 from wattline.operators.quality import (
@@ -70,6 +70,35 @@ def test_hook_sees_the_other_values(spark):
     assert rows(got.select("start", "name", "value")) == [(10, "part", 0.2), (10, "total", 50.0), (11, "part", None)]
 
 
+def test_hook_sees_values_of_earlier_frames(spark):
+    regs = registers(spark, [
+        (1, 10, "part", "uint16", {"preprocessing": True}), (1, 20, "total", "uint16", {"scale": 2.0}),
+        (2, 10, "part", "uint16", {"preprocessing": True}), (1, 30, "level", "uint16", {"reg_type": "input"}),
+    ])
+    data = [
+        (1, "holding", "2024-01-09 23:00:00", 10, [1]),  # nothing known yet
+        (1, "holding", "2024-01-09 23:30:00", 20, [5]),
+        (1, "input", "2024-01-09 23:40:00", 30, [7]),
+        (1, "holding", "2024-01-12 00:00:00", 10, [2]),  # from three days before
+        (1, "holding", "2024-01-12 01:00:00", 20, [9]),
+        (1, "holding", "2024-01-12 02:00:00", 10, [3]),  # from the same day
+        (1, "holding", "2024-01-14 02:00:00", 10, [4] + [0] * 9 + [50]),  # from the frame itself
+        (2, "holding", "2024-01-14 03:00:00", 10, [6]),  # another device
+    ]
+    hook = lambda address, value, values: value * 1000 + values[20] + F.coalesce(values[30], F.lit(0.0)) / 10
+    got = decode_with_memory(frames(spark, data), regs, hook, [30, 20])
+    parts = got.filter("name = 'part'").orderBy("ts").select("value").collect()
+    assert [x and round(x, 6) for (x,) in parts] == [None, 2010.7, 3018.7, 4100.7, None]
+    assert rows(got.filter("name <> 'part'").select("name", "value")) == [
+        ("level", 7.0), ("total", 10.0), ("total", 100.0), ("total", 18.0)]
+    # Of frames of one time the number tells which comes first.
+    ties = frames(spark, [(1, "holding", TS, 20, [n]) for n in (3, 1, 2)] + [(1, "holding", TS, 10, [5])])
+    ties = ties.withColumn("frame_id", F.when(F.col("start") == 10, 9).otherwise(F.col("words")[0]))
+    assert rows(decode_with_memory(ties, regs, hook, [20, 30]).filter("name = 'part'").select("value")) == [(5006.0,)]
+    assert decode_with_memory(frames(spark, data).limit(0), regs, hook, [20, 30]).count() == 0
+    assert decode_with_memory(frames(spark, data), regs, lambda a, v, m: v, []).count() == 9
+
+
 def test_hot_device_frames_decode_whole_without_broadcast(spark):
     regs = registers(spark, [(d, a, f"r{a}", "uint16") for d in range(1, 4) for a in range(20)])
     hot = spark.range(3000).select(
