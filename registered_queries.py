@@ -33,8 +33,8 @@ from wattline.sources.telemetry import (
     append_telemetry, distinct_registers, read_staging, read_telemetry, row_count, write_staging,
 )
 from wattline.sources.wide import (
-    export_headers, import_long, missing_columns, read_export_lines, unpivot_rows, unpivot_table,
-    wide_rows,
+    export_headers, import_long, missing_columns, read_export_lines, read_wide_exports, unpivot_rows,
+    unpivot_table, wide_rows, write_workbooks,
 )
 from wattline.streaming.jobs import (
     run_available, stream_bucket_stats, stream_deadband, stream_decode, stream_dedup, stream_ingest, stream_snapshot,
@@ -324,6 +324,22 @@ def q_export_files(spark, sf):
         "file", "Time", "register_name", "value")
 
 
+def q_workbooks(spark, sf):
+    """Order lines as workbooks of 20,000 order numbers each, every other one with days since 1904."""
+    path = scratch_path(spark, "workbooks")
+    second = F.make_dt_interval(secs=((F.col("l_orderkey") * 7919) % 86_400).cast("decimal(18,6)"))
+    rows = read(spark, sf, "lineitem", LINES).withColumn("book", F.floor(F.col("l_orderkey") / 20_000))
+    time = F.when(F.col("l_quantity") > 2, F.col("l_shipdate") + second)
+    cells = {
+        "quantity(n)/101": F.col("l_quantity"), "discount(%)/102-103": F.col("l_discount"),
+        "tax(℃)/104": F.col("l_tax"), "flag(NA)/105": F.col("l_returnflag"),
+    }
+    write_workbooks(rows, path, "book", time, cells, F.col("book") % 2 == 1).write.parquet(path + "-written")
+    long = unpivot_rows(read_wide_exports(spark, path, xlsx=True), KNOWN)
+    book = F.regexp_extract("file", r"([0-9]+)\.xlsx$", 1).alias("book")
+    return long.select(book, "timestamp", "register_name", "value")
+
+
 def q_missing(spark, sf):
     return missing_columns(export_headers(export_lines(spark, sf)), KNOWN)
 
@@ -719,6 +735,7 @@ QUERIES = {
     "wide_import": lambda s, d: exports_long(s, d),
     "unpivot_clean": lambda s, d: unpivot_table(exports(s, d), KNOWN).drop("block", "timestamp"),
     "export_files": q_export_files,
+    "workbooks": q_workbooks,
     "missing_columns": q_missing,
     "constant_registers": q_constants,
     "staging_count": q_staging,

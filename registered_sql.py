@@ -749,6 +749,13 @@ SQL = {
     "wide_import": f"WITH {IMPORTED} SELECT * FROM imported",
     "unpivot_clean": f"WITH {EXPORTS} SELECT * FROM long",
     "export_files": f"""WITH {EXPORTS} SELECT file, "Time", register_name, value FROM long""",
+    "workbooks": """WITH kept AS (SELECT (l_orderkey // 20000)::VARCHAR AS book,
+            l_shipdate + to_seconds((l_orderkey * 7919) % 86400) AS "timestamp", l_quantity AS q, l_discount AS d, l_tax AS t
+            FROM lineitem WHERE l_quantity > 2)
+        SELECT book, "timestamp", 'quantity(n)' AS register_name, q AS value FROM kept
+        UNION ALL SELECT book, "timestamp", 'discount(%)', d FROM kept
+        UNION ALL SELECT book, "timestamp", 'tax(C)', t FROM kept
+        UNION ALL SELECT book, "timestamp", 'flag(NA)', NULL FROM kept""",
     "missing_columns": "SELECT DISTINCT l_suppkey::VARCHAR AS file, 'pf(NA)' AS register_name FROM lineitem",
     "constant_registers": f"""WITH {EXPORTS.replace("l_suppkey", "l_orderkey")}
         SELECT file, register_name, min("Time") AS "Time"

@@ -18,7 +18,7 @@ from wattline.sources.telemetry import (
 )
 from wattline.sources.wide import (
     bad_exports, export_headers, import_long, import_wide, missing_columns, read_export_lines,
-    read_wide_exports, read_xlsx_lines, unpivot_table,
+    read_wide_exports, read_xlsx_lines, unpivot_rows, unpivot_table,
 )
 from wattline.streaming.jobs import (
     append_batches, run_available, stream_dedup, stream_snapshot, stream_tariff_stats, upsert_batches,
@@ -296,6 +296,44 @@ def test_import_of_workbooks(spark, tmp_path):
     assert [r["file"][-6:] for r in bad_exports(read_xlsx_lines(spark, str(tmp_path))).collect()] == ["c.xlsx"]
 
 
+@pytest.mark.parametrize("code, date", [
+    ("yyyy-mm-dd", True), ("d/m/yy h:mm", True), ("0.00", False), ("General", False), ('0.0 "days"', False),
+    ("[h]:mm:ss", False), ("[Red]0;[Blue]yyyy", False), (r"0\d", False), ("[$-409]d\\-mmm", True),
+])
+def test_formats_that_show_a_date(code, date):
+    from wattline.sources.wide import _shows_a_date
+
+    assert _shows_a_date(code) is date
+
+
+@pytest.mark.parametrize("epoch, days", [(0, 45292.5), (1, 43830.5)])
+def test_dates_of_workbooks_by_their_format(spark, tmp_path, epoch, days):
+    """Only cells whose format says so are dates; the calendar is the workbook's."""
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    line = f'<c t="str"><v>Time</v></c><c t="str"><v>totalUsed(kWh)/527-528</v></c><c t="str"><v>batteryTemp(℃)/586</v></c>'
+    rows_ = [
+        line, f'<c s="2"><v>{days}</v></c><c><v>{days}</v></c><c s="1"><v>21.5</v></c>',
+        f'<c s="1"><v>45293</v></c><c><v>8</v></c><c s="2"><v>{days}</v></c>',
+    ]
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="{r}"><workbookPr date1904="{epoch}"/><sheets>'
+                      '<sheet name="x" sheetId="1" r:id="r9"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r9" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/styles.xml", f'<styleSheet {ns}><numFmts><numFmt numFmtId="170" formatCode="0.0 &quot;d&quot;"/></numFmts>'
+                      '<cellXfs><xf numFmtId="0"/><xf numFmtId="170"/><xf numFmtId="22"/></cellXfs></styleSheet>')
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>" + "".join(
+            f'<row r="{i}">{x}</row>' for i, x in enumerate(rows_, 1)) + "</sheetData></worksheet>")
+    long = read_wide_exports(spark, str(tmp_path), xlsx=True)
+    got = rows(unpivot_rows(long, KNOWN).select("timestamp", "register_name", "value"))
+    assert got == [
+        ("2024-01-01 12:00:00", "batteryTemp(C)", 21.5), ("2024-01-01 12:00:00", "totalUsed(kWh)", days),
+        # A plain number in the time column counts from 1900, a date among the values is no number.
+        ("2024-01-02 00:00:00", "batteryTemp(C)", None), ("2024-01-02 00:00:00", "totalUsed(kWh)", 8.0)]
+
+
 def test_append_looks_only_at_the_days_it_touches(spark, telemetry, tmp_path):
     from wattline.sources.telemetry import days_of, read_days, with_date
 

@@ -1,8 +1,6 @@
 """Checks of catalogs and schemas."""
 
 import json
-import re
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Window
@@ -12,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from wattline.functions.naming import column_name
 from wattline.session import scratch_path
+from wattline.sources.files import file_system
 
 
 def range_overlaps(ranges, keys=("device_id",)):
@@ -136,14 +135,8 @@ FOOTERS, MOST_TASKS = 64, 10_000
 def footer_types(file):
     """{column: Spark type} of one Parquet file."""
     import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    # Hadoop's spelling of addresses, as pyarrow has it.
-    address = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", file))
-    if address.startswith("file:"):
-        system, name = fs.LocalFileSystem(), unquote(address.removeprefix("file://"))
-    else:
-        system, name = fs.FileSystem.from_uri(address)
+
+    system, name = file_system(file)
     schema = pq.read_schema(name, filesystem=system)
     written = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
     if written:

@@ -1,16 +1,19 @@
 """Wide spreadsheet exports into rows of the long table."""
 
+import datetime as dt
 import io
 import re
 import zipfile
 from functools import reduce
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from wattline.functions.naming import clean_header, clean_name
 from wattline.operators.changes import change_filter
+from wattline.sources.files import file_system
 
 # A cell behind its comma: it ends at a comma outside double quotes; a quote left open runs to the
 # line's end. Every character is looked at once.
@@ -22,6 +25,10 @@ _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationship
 
 # Fixed value: day 0 of spreadsheet dates, 1899-12-30, in days before 1970.
 _SHEET_EPOCH_DAYS = 25_569
+# Day 0 of both calendars of workbooks, and the built-in number formats that show a date.
+_EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
+_DATE_FORMATS = {*range(14, 18), 22, *range(27, 37), *range(50, 59)}
+_LAST_DAY = 2_958_465
 
 
 def _cells(line):
@@ -45,7 +52,8 @@ def read_xlsx_lines(spark, path):
     """The same from the first sheet of ``.xlsx`` files; an unreadable file gives one line only.
 
     A sheet holds at most 1,048,576 rows, so a file is the unit of work, and files are spread
-    over the tasks.
+    over the tasks. Numbers whose format shows a date come as text of that date, by the workbook's own
+    calendar (days since 1900 or 1904).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     lines = files.select("path", "content").mapInPandas(
@@ -115,6 +123,7 @@ def sheet_rows(content):
     if "xl/sharedStrings.xml" in book.namelist():
         for item in _elements(book, "xl/sharedStrings.xml", "si"):
             shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
+    dates, epoch = _date_styles(book), _EPOCHS[_counts_from_1904(book)]
     for row in _elements(book, _first_sheet(book), "row"):
         cells = []
         for cell in row.iter(f"{_SHEET}c"):
@@ -126,9 +135,106 @@ def sheet_rows(content):
                 cells[place - 1] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
             elif value is not None:
                 cells[place - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
+                if cell.get("t", "n") == "n" and int(cell.get("s", 0)) in dates:
+                    cells[place - 1] = _date_text(value.text, epoch)
         yield cells
 
 
+def _date_styles(book):
+    """Numbers of the cell styles whose number format shows a date."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    styles = ElementTree.parse(book.open("xl/styles.xml")).getroot()
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{_SHEET}numFmt")}
+    dates = _DATE_FORMATS - set(own) | {n for n, code in own.items() if _shows_a_date(code)}
+    used = styles.find(f"{_SHEET}cellXfs")
+    return {i for i, x in enumerate(used if used is not None else ()) if int(x.get("numFmtId", 0)) in dates}
+
+
+def _shows_a_date(code):
+    """Whether a number format has a year or a day: outside of quotes, brackets and escapes, in its part for
+    positive numbers."""
+    plain = re.sub(r'"[^"]*"|\[[^\]]*\]|\\.|_.|\*.', "", code).split(";")[0].lower()
+    return "general" not in plain and any(c in plain for c in "yd")
+
+
+def _counts_from_1904(book):
+    if "xl/workbook.xml" not in book.namelist():
+        return False
+    settings = next(ElementTree.parse(book.open("xl/workbook.xml")).iter(f"{_SHEET}workbookPr"), None)
+    return settings is not None and settings.get("date1904", "0") in ("1", "true")
+
+
+def _date_text(days, epoch):
+    """Date and time of a number of days, to the millisecond; what is no date stays as it is."""
+    if not re.match(_NUMBER, days) or not 0 <= float(days) <= _LAST_DAY:
+        return days
+    time = epoch + dt.timedelta(milliseconds=round(float(days) * 86_400_000))
+    return time.isoformat(" ", "milliseconds" if time.microsecond else "seconds")
+
+
+def write_workbooks(rows, path, file, time, cells, from_1904=None):
+    """Writes one ``.xlsx`` file for each value of column ``file`` (a long): two title lines, the names, then
+    the rows. Returns (file, n_rows) once all are written.
+
+    ``time`` is a timestamp column, written as a date; null is left blank. ``cells`` are the other columns by
+    their headers. ``from_1904`` is a boolean column, one value a file. A file is made in one task, so the
+    caller cuts its rows to what a sheet can hold. A task that runs again writes the same file again.
+    """
+    headers = list(cells)
+
+    def write(pdf):
+        number = int(pdf["file"].iloc[0])
+        first = bool(pdf["from_1904"].iloc[0])
+        system, folder = file_system(path)
+        system.create_dir(folder, recursive=True)
+        with system.open_output_stream(f"{folder}/{number}.xlsx") as out:
+            out.write(_workbook(pdf, headers, first))
+        return pd.DataFrame({"file": [number], "n_rows": [len(pdf)]})
+
+    named = {f"c{i}": column for i, column in enumerate(cells.values())}
+    inputs = rows.select(
+        F.col(file).cast("long").alias("file"), F.unix_millis(time).alias("time"),
+        F.lit(False).alias("from_1904") if from_1904 is None else F.coalesce(from_1904, F.lit(False)).alias("from_1904"),
+        *[c.cast("string").alias(n) for n, c in named.items()],
+    )
+    return inputs.groupBy("file").applyInPandas(write, "file long, n_rows long")
+
+
+def _workbook(pdf, headers, from_1904):
+    """Bytes of a workbook: numbers as numbers, other texts in place, times by the second of two styles."""
+    space = f'xmlns="{_SHEET[1:-1]}"'
+    day0 = (_EPOCHS[from_1904] - dt.datetime(1970, 1, 1)).days
+
+    def cell(text):
+        if text is None:
+            return "<c/>"
+        kind = f"<v>{text}</v>" if re.match(_NUMBER, text) else None
+        return f"<c>{kind}</c>" if kind else f'<c t="inlineStr"><is><t>{escape(text)}</t></is></c>'
+
+    lines = [["Report"], [], ["Time", *headers]]
+    body = ["".join(map(cell, line)) for line in lines]
+    columns = [pdf[f"c{i}"] for i in range(len(headers))]
+    for time, *values in zip(pdf["time"], *columns, strict=True):
+        at = "<c/>" if pd.isna(time) else f'<c s="1"><v>{time / 86_400_000 - day0!r}</v></c>'
+        body.append(at + "".join(cell(None if v is None else v) for v in values))
+    sheet = "".join(f'<row r="{i}">{x}</row>' for i, x in enumerate(body, 1))
+    parts = {
+        "xl/workbook.xml": f'<workbook {space} xmlns:r="{_RELATION[1:-1]}"><workbookPr date1904="{int(from_1904)}"/>'
+        '<sheets><sheet name="data" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        '<Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {space}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm:ss"/></numFmts>'
+        '<cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f"<worksheet {space}><sheetData>{sheet}</sheetData></worksheet>",
+    }
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, text in parts.items():
+            out.writestr(name, text)
+    return book.getvalue()
+
+
 def export_headers(lines):
     """One row per file: its cleaned header, the first line with a cell ``Time``."""
     heads = lines.filter(F.array_contains("cells", "Time"))
