@@ -22,20 +22,28 @@ PATTERNS = [
     (r"(?i:(?<![0-9a-z])(?:ads?|banner)s?/)", "block", ()),
 ]
 
-# Captures that pages stand for: the page itself, and two revisits of it, one of them too early.
+# Captures that pages stand for. Five pages in a row are versions of the first one's URL, each captured in
+# full 50 minutes after the one before, the last two at one time; each is asked for again 30 minutes before
+# it (validators of a version to come) and 20 minutes after it. One in nine asks without validators.
 CAPTURES = """
-    SELECT page_id * 3 + k AS id, concat(url, CASE k WHEN 1 THEN '#again' ELSE '' END) AS url,
-        timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0,
-            CAST(page_id * 7919 % 20000 AS INT) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 90 ELSE -30 END, 0) AS time,
-        CASE k WHEN 0 THEN 200 ELSE 304 END AS status,
-        CASE k WHEN 0 THEN map('Content-Type', 'text/html', 'ETag', concat('"', md5(html), '"'),
-                'Last-Modified', concat('v', page_id % 7), 'Cache-Control', concat('max-age=', page_id % 100))
+    SELECT id, url, time, CASE k WHEN 0 THEN 200 ELSE 304 END AS status,
+        CASE k WHEN 0 THEN map('Content-Type', 'text/html', 'ETag', concat('"', tag, '"'),
+                'Last-Modified', concat('v', first % 7), 'Cache-Control', concat('max-age=', page_id % 100))
             ELSE map('Content-Length', '0', 'Cache-Control', 'no-cache',
-                'ETag', CASE page_id % 4 WHEN 0 THEN concat('"', md5(html), '"')
-                    WHEN 1 THEN concat('W/"', md5(html), '"') WHEN 2 THEN '"other"' ELSE '' END,
-                'Last-Modified', CASE page_id % 4 WHEN 3 THEN concat('v', page_id % 7) ELSE '' END) END AS headers,
-        CASE k WHEN 0 THEN sha2(html, 256) END AS digest
-    FROM {pages} LATERAL VIEW explode(array(0, 1, 2)) AS k"""
+                'ETag', CASE WHEN page_id % 9 = 5 THEN '' WHEN page_id % 4 = 0 THEN concat('"', tag, '"')
+                    WHEN page_id % 4 = 1 THEN concat('W/"', tag, '"') WHEN page_id % 4 = 2 THEN '"other"' ELSE '' END,
+                'Last-Modified', CASE WHEN page_id % 4 = 3 AND page_id % 9 <> 5 THEN concat('v', first % 7) ELSE '' END)
+            END AS headers,
+        CASE k WHEN 0 THEN digest END AS digest
+    FROM (
+        SELECT p.page_id, p.first, k, p.tag, p.digest, p.page_id * 3 + k AS id,
+            concat(coalesce(l.url, p.url), CASE k WHEN 1 THEN '#again' ELSE '' END) AS url,
+            timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(p.first * 7919 % 20000
+                + 50 * least(p.page_id % 5, 3) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE -30 END AS INT), 0) AS time
+        FROM (SELECT page_id, page_id - page_id % 5 AS first, url, md5(html) AS tag, sha2(html, 256) AS digest
+              FROM {pages}) p
+        LEFT JOIN (SELECT page_id, url FROM {pages}) l ON l.page_id = p.first
+        LATERAL VIEW explode(array(0, 1, 2)) AS k)"""
 
 
 def documents(spark, folder, *columns):
@@ -226,11 +234,12 @@ SQL = {
               FROM documents)""",
     "op10_revisit": r"""
         WITH captures AS (
-            SELECT page_id * 3 + k AS id, url || CASE k WHEN 1 THEN '#again' ELSE '' END AS url,
-                   TIMESTAMP '2024-01-01' + to_minutes(CAST(page_id * 7919 % 20000 + CASE k WHEN 0 THEN 0
-                       WHEN 1 THEN 90 ELSE -30 END AS INT)) AS time,
-                   k = 0 AS stored, '"' || md5(html) || '"' AS own_tag, sha256(html) AS sha, page_id
-            FROM pages, (VALUES (0), (1), (2)) AS t(k)),
+            SELECT p.page_id * 3 + k AS id, coalesce(l.url, p.url) || CASE k WHEN 1 THEN '#again' ELSE '' END AS url,
+                   TIMESTAMP '2024-01-01' + to_minutes(CAST((p.page_id - p.page_id % 5) * 7919 % 20000
+                       + 50 * least(p.page_id % 5, 3) + CASE k WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE -30 END AS INT)) AS time,
+                   k = 0 AS stored, '"' || md5(p.html) || '"' AS own_tag, sha256(p.html) AS sha, p.page_id,
+                   p.page_id - p.page_id % 5 AS first, p.page_id % 9 = 5 AS bare
+            FROM pages p LEFT JOIN pages l ON l.page_id = p.page_id - p.page_id % 5, (VALUES (0), (1), (2)) AS t(k)),
         cut AS (
             SELECT *, regexp_replace(regexp_extract(url, '(?s)://(.*)$', 1), '(?s)#.*$', '') AS rest FROM captures),
         named AS (
@@ -242,15 +251,15 @@ SQL = {
         keyed AS (
             SELECT *, CASE WHEN contains(url, '://') THEN host || path || CASE WHEN len(args) > 0
                        THEN '?' || array_to_string(args, '&') ELSE '' END END AS canonical,
-                   CASE WHEN stored THEN own_tag WHEN page_id % 4 IN (0, 1) THEN own_tag
+                   CASE WHEN stored THEN own_tag WHEN bare THEN NULL WHEN page_id % 4 IN (0, 1) THEN own_tag
                         WHEN page_id % 4 = 2 THEN '"other"' END AS tag,
-                   CASE WHEN stored OR page_id % 4 = 3 THEN 'v' || page_id % 7 END AS modified FROM named),
+                   CASE WHEN stored OR (page_id % 4 = 3 AND NOT bare) THEN 'v' || first % 7 END AS modified FROM named),
         paired AS (
             SELECT k.*, (SELECT max_by(b.id, (b.time, b.id)) FROM keyed b WHERE b.stored AND b.canonical = k.canonical
                          AND b.time < k.time) AS base FROM keyed k),
         judged AS (
             SELECT p.*, b.tag AS base_tag, b.modified AS base_modified, b.sha AS base_sha, b.page_id AS base_page,
-                   CASE WHEN p.stored THEN 'response' WHEN b.id IS NULL THEN 'orphan'
+                   CASE WHEN p.stored THEN 'response' WHEN b.id IS NULL THEN 'orphan' WHEN p.bare THEN 'unverified'
                         WHEN p.tag IS NOT NULL THEN CASE WHEN p.tag = b.tag THEN 'resolved' ELSE 'mismatch' END
                         WHEN p.modified = b.modified THEN 'resolved' ELSE 'mismatch' END AS state
             FROM paired p LEFT JOIN keyed b ON b.id = p.base)
@@ -262,7 +271,7 @@ SQL = {
                         || CASE page_id % 4 WHEN 1 THEN 'W/' ELSE '' END || CASE WHEN page_id % 4 = 3 THEN '' ELSE tag END
                         || '|last-modified=' || CASE WHEN page_id % 4 = 3 THEN modified ELSE '' END
                     ELSE 'cache-control=no-cache|content-length=0|etag='
-                        || CASE page_id % 4 WHEN 1 THEN 'W/' ELSE '' END || coalesce(tag, '')
+                        || CASE WHEN page_id % 4 = 1 AND NOT bare THEN 'W/' ELSE '' END || coalesce(tag, '')
                         || '|last-modified=' || coalesce(modified, '') END AS headers
         FROM judged""",
     "op11_lexical_search": r"""
