@@ -551,23 +551,23 @@ imported AS (SELECT epoch("Time"::TIMESTAMP)::BIGINT AS id, 1 AS device_id, "Tim
     WHERE (previous IS NULL OR value <> previous) AND value IS NOT NULL AND value <> 0)"""
 
 # Column, value, and storage type as the catalog of the wide table gives it.
-WIDE = [
+WIDE_COLUMNS = [
     ("quantity", "l_quantity", "INTEGER"), ("price", "l_extendedprice", "DECIMAL(6,2)"),
     ("part", "l_partkey * 1e8", "INTEGER"), ("order", "l_orderkey * 1e15", "DECIMAL(20,0)"),
     ("tax", "CASE WHEN l_linenumber > 1 THEN l_tax END", "DOUBLE"), ("total", "l_suppkey * 25e6", "DECIMAL(10,2)"),
 ]
 LINE_KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 WIDE_TYPED = ", ".join(
-    f"""TRY_CAST(({v})::DOUBLE AS {t}){"::VARCHAR" if t.startswith("DECIMAL") else ""} AS "{c}\"""" for c, v, t in WIDE)
+    f"""TRY_CAST(({v})::DOUBLE AS {t}){"::VARCHAR" if t.startswith("DECIMAL") else ""} AS "{c}\"""" for c, v, t in WIDE_COLUMNS)
 WIDE_REJECTS = " UNION ALL ".join(
     f"""SELECT {LINE_KEYS}, '{c}' AS column_name, ({v})::DOUBLE AS value, '{t}' AS column_type FROM lineitem
-        WHERE ({v}) IS NOT NULL AND TRY_CAST(({v})::DOUBLE AS {t}) IS NULL""" for c, v, t in WIDE)
+        WHERE ({v}) IS NOT NULL AND TRY_CAST(({v})::DOUBLE AS {t}) IS NULL""" for c, v, t in WIDE_COLUMNS)
 SPARK_NAMES = {"INTEGER": "int"}
 # Type in a file of the first age, where all are doubles, and of the second, which lacks the price.
 DRIFT = " UNION ALL ".join(
     f"""SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS month, '{c}' AS column_name, {now} AS current_type,
         '{SPARK_NAMES.get(t, t.lower())}' AS expected_type FROM lineitem WHERE {when}"""
-    for c, _, t in WIDE
+    for c, _, t in WIDE_COLUMNS
     for now, when in [
         ("'double'", "l_shipdate < DATE '1997-01-01'"),
         ("NULL", "l_shipdate >= DATE '1997-01-01' AND l_shipdate < DATE '1999-01-01'"),

@@ -1,5 +1,6 @@
 """Minute snapshots, their gap-filled history, and statistics of a period."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wattline.catalog import MINUTE_REGISTERS, PERIOD_RULES, parse_rules
@@ -103,3 +104,58 @@ def period_stat(history, keys=(), decimal=False):
         for a, (_, _, column) in zip(aggregates, rules)
     ]
     return history.groupBy(*keys).agg(*named) if keys else history.agg(*named)
+
+
+def filled_long(telemetry, start, end=None, by_device=False, width="1 minute", registers=MINUTE_REGISTERS,
+                case_insensitive=False, warm_up=WARM_UP):
+    """(cells, present): the history of ``[start, end]`` filled by the preceding row, in long form.
+
+    A reading counts in its own bucket and, where its register has none there, in the next bucket that is
+    present; so rows hold one value each, however many registers there are. ``present`` are the buckets of
+    the range with any row. Neither needs the order of whole rows.
+    """
+    low, high = as_timestamp(start), as_timestamp(end)
+    keys = ["device_id"] if by_device else []
+    rows = telemetry.select(
+        bucket(F.col("timestamp"), width).alias("time"), "device_id",
+        wanted_register(list(registers), case_insensitive).alias("register_name"), "timestamp", "value",
+    )
+    rows = rows.filter(in_range(rows, shift(low, warm_up), high, ts="time"))
+    order = F.col("timestamp") if by_device else by_time_and_device()
+    cells = rows.filter("register_name IS NOT NULL").groupBy(*keys, "time", "register_name").agg(
+        F.max_by("value", order).alias("value")).filter("value IS NOT NULL")
+    buckets = rows.select(*keys, "time").distinct().withColumn("day", utc_date(F.col("time")))
+    # The next bucket: inside a day by a window, at its end the first bucket of the next day that has one.
+    heads = buckets.groupBy(*keys, "day").agg(F.min("time").alias("head"))
+    heads = heads.select(*keys, "day", F.lead("head").over(Window.partitionBy(*keys).orderBy("day")).alias("head"))
+    in_day = Window.partitionBy(*keys, "day").orderBy("time")
+    after = buckets.withColumn("after", F.lead("time").over(in_day)).join(heads, [*keys, "day"])
+    after = after.select(*keys, "time", F.coalesce("after", "head").alias("after"))
+    twice = F.array(
+        F.struct(F.col("time"), F.lit(1).alias("own")), F.struct(F.col("after").alias("time"), F.lit(0).alias("own")))
+    counted = cells.join(after, [*keys, "time"]).select(*keys, "register_name", "value", F.inline(twice))
+    within = F.col("time").between(low, high)
+    filled = counted.filter(within).groupBy(*keys, "time", "register_name").agg(F.max_by("value", "own").alias("value"))
+    return filled, buckets.filter(within).select(*keys, "time")
+
+
+def period_stat_long(cells, present, keys=(), registers=MINUTE_REGISTERS):
+    """``period_stat`` of a filled history in long form: each statistic once for each register, then the
+    rules pick theirs. A device whose registers have no values has a row too."""
+    keys = list(keys)
+    rules = [(source.lower(), stat, column) for source, stat, column in parse_rules(PERIOD_RULES)]
+    column_of = {column_name(r): r for r in registers}
+    kinds = {stat: f"s{i}" for i, stat in enumerate(dict.fromkeys(stat for _, stat, _ in rules))}
+    each = cells.groupBy(*keys, "register_name").agg(
+        *[statistic(stat, F.col("value")).alias(name) for stat, name in kinds.items()])
+
+    def pick(source, stat):
+        if source not in column_of:
+            return F.lit(None).cast("double")
+        found = F.max(F.when(F.col("register_name") == column_of[source], F.col(kinds[stat])))
+        return F.coalesce(found, F.lit(0)) if stat == "count" else found
+
+    named = [pick(source, stat).alias(column) for source, stat, column in rules]
+    if not keys:
+        return each.agg(*named)
+    return present.select(*keys).distinct().join(each, keys, "left").groupBy(*keys).agg(*named)

@@ -1,11 +1,13 @@
 """Reports and ingests from end to end, each one lazy plan."""
 
-from wattline.catalog import TARIFF_REGISTERS
+from wattline.catalog import MINUTE_REGISTERS, TARIFF_REGISTERS
 from wattline.functions.decode import default_preprocess
 from wattline.functions.time import as_timestamp, in_range, shift
 from wattline.operators.changes import deadband_heartbeat
 from wattline.operators.frames import decode_frames, frame_telemetry
-from wattline.operators.snapshot import WARM_UP, param_history, period_stat, snapshot
+from wattline.operators.snapshot import (
+    WARM_UP, filled_long, param_history, period_stat, period_stat_long, snapshot,
+)
 from wattline.operators.stats import tariff_report, tariff_stats
 from wattline.sources.wide import import_wide, read_wide_exports
 
@@ -23,11 +25,17 @@ def history(telemetry, start, end=None, fill="previous_row", newest_first=True,
     return param_history(snapshots, start, end, fill, by_device, newest_first=newest_first)
 
 
-def period_report(telemetry, start, end=None, by_device=False, **options):
+def period_report(telemetry, start, end=None, by_device=False, fill="previous_row", **options):
     """The statistics of a period straight from telemetry, of all devices together or of each one;
     they need no order."""
-    filled = history(telemetry, start, end, newest_first=False, by_device=by_device, **options)
-    return period_stat(filled, ["device_id"] if by_device else [])
+    keys = ["device_id"] if by_device else []
+    if fill != "previous_row":
+        filled = history(telemetry, start, end, fill, newest_first=False, by_device=by_device, **options)
+        return period_stat(filled, keys)
+    low, until = as_timestamp(start), shift(as_timestamp(end), "1 minute", sign=1)
+    rows = telemetry.filter(in_range(telemetry, shift(low, WARM_UP), until))
+    cells, present = filled_long(rows, start, end, by_device, **options)
+    return period_stat_long(cells, present, keys, options.get("registers", MINUTE_REGISTERS))
 
 
 def daily_tariff_report(telemetry, prices, registers=TARIFF_REGISTERS, tz="UTC"):
