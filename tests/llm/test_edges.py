@@ -196,6 +196,23 @@ def test_paths_are_compacted(spark):
     assert max(x.edges for x in found) > 100
 
 
+def test_words_that_only_share_hashes_are_no_repeats(spark):
+    """The words at the coordinates are compared: a hash that tells words apart by length alone is found
+    out, and another one takes its place."""
+    r = random.Random(6)
+    texts = [" ".join(str(r.randrange(10**5, 10**6)) for _ in range(80)) for _ in range(4)]
+    texts.append(" ".join(texts[1].split()[20:70]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = []
+
+    def hashes(attempt):
+        asked.append(attempt)
+        return ("lengths", len) if attempt == 0 else substring_dedup.seeded(attempt)
+
+    found = sorted((x.doc_id, x.n_removed) for x in substring_dedup.remove_repeats(df, hashes=hashes).collect())
+    assert found == [(0, 0), (1, 50), (2, 0), (3, 0), (4, 50)] and asked == [0, 1]
+
+
 def test_substring_dedup_edges(docs, none):
     found = substring_dedup.remove_repeats(docs, with_text=False).collect()
     by = {(r.doc_id, r.n_words): r.n_removed for r in found}

@@ -16,19 +16,24 @@ long. Equal edges have equal anchors, so all that can be equal meets under one a
    comes after it, a join of the paths with themselves links the two, and chains of such links
    become one path;
 5. repeated paths and edges return to the documents by their source coordinates (document, first
-   word, number of edges), where they are merged to maximal spans and cut out.
+   word, number of edges), where they are merged to maximal spans and cut out;
+6. at these coordinates the words themselves are read again, and all places of a path must hold the
+   same ones.
 
 Which path an edge belongs to depends on the edge's words alone as far as the anchor goes, and a path
 may be cut anywhere, so a path's limits decide only what is compared as a whole, never the result.
-Words are hashed to 64 bits; two sequences are taken as equal when both their anchors and their own
-64-bit hashes, of different kinds, agree.
+Words are hashed to 64 bits; two sequences count as equal at first when both their anchors and their
+own 64-bit hashes, of different kinds, agree. Equal words always agree, so only a false agreement can go
+wrong. It shows in step 6, where a cryptographic digest (BLAKE2b, 128 bits) of the words at each place is
+compared within every path; if one path holds different words, all is done again with other word hashes.
 
 Null texts have no words. Texts of fewer than 35 words stay as they are. Rows that repeat key and
 text are copies of each other like any other rows. An empty table gives no row.
 """
 
 import hashlib
-from itertools import compress
+from functools import partial
+from itertools import compress, count
 
 import numpy as np
 import pyarrow as pa
@@ -90,12 +95,21 @@ def sliding_minimum(x, width):
     return x if size == width else np.minimum(x[: len(x) - (width - size)], x[width - size :])
 
 
-def word_hashes(words):
-    known = worker_table("word hashes", lambda: Known(xxhash.xxh3_64_intdigest, HASH_BYTES))
+def seeded(attempt):
+    """(name, function): the hash of words, as bytes, in each attempt."""
+    return f"word hashes {attempt}", partial(xxhash.xxh3_64_intdigest, seed=attempt)
+
+
+FIRST = seeded(0)
+
+
+def word_hashes(words, hashed=FIRST):
+    name, function = hashed
+    known = worker_table(name, lambda: Known(function, HASH_BYTES))
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
-def pieces_of(texts):
+def pieces_of(texts, hashed=FIRST):
     """(row, first word, word hashes) of each text; long texts come in pieces that share 34 words,
     so that every window is in exactly one piece."""
     for row, text in enumerate(texts):
@@ -103,7 +117,7 @@ def pieces_of(texts):
         for a in range(0, max(1, len(words) - WINDOW + 1), PIECE):
             some = words[a : a + PIECE + WINDOW - 1]
             if len(some) >= WINDOW:
-                yield row, a, word_hashes(some)
+                yield row, a, word_hashes(some, hashed)
 
 
 def gathered(pieces, size=PIECE):
@@ -150,13 +164,13 @@ def paths_in(group):
     return rows, offsets, edges, anchor[start], sequences.at(at, edges + WINDOW - 1), again
 
 
-def paths(docs):
+def paths(docs, hashed=FIRST):
     """(anchor, path, k1, k2, start, edges, again) of rows (k1, k2, text): all paths of all texts."""
 
     def run(batches):
         for batch in batches:
             k1, k2 = batch.column("k1"), batch.column("k2")
-            for group in gathered(pieces_of(batch.column("text").to_pylist())):
+            for group in gathered(pieces_of(batch.column("text").to_pylist(), hashed)):
                 rows, start, edges, anchor, path, again = paths_in(group)
                 rows = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
@@ -169,7 +183,7 @@ def paths(docs):
         run, "anchor long, path long, k1 long, k2 long, start int, edges int, again boolean")
 
 
-def edges_of(docs, wanted):
+def edges_of(docs, wanted, hashed=FIRST):
     """(anchor, edge, k1, k2, start): the single edges of the paths in ``wanted``."""
     lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "edges", "anchor")).alias("paths"))
 
@@ -189,7 +203,7 @@ def edges_of(docs, wanted):
                     # Paths that start within a bounded stretch of the text.
                     b = int(np.searchsorted(starts, starts[a] + PIECE))
                     base, stop = int(starts[a]), int((starts[a:b] + counts[a:b]).max()) + WINDOW - 1
-                    sequences = Sequences(word_hashes(words[base:stop]))
+                    sequences = Sequences(word_hashes(words[base:stop], hashed))
                     n = counts[a:b]
                     place = np.repeat(starts[a:b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     edge = sequences.at(place - base, WINDOW).view(np.int64)
@@ -237,10 +251,10 @@ def compacted(spans):
         F.min_by("path", "start").alias("path"))
 
 
-def repeated(docs):
+def repeated(docs, hashed=FIRST):
     """Written (k1, k2, start, edges, path): repeated edges of rows (k1, k2, text) by their coordinates,
     as compacted paths where whole paths repeat; ``path`` is the hash of a path's head, or of the edge."""
-    every = materialize(paths(docs), "paths")
+    every = materialize(paths(docs, hashed), "paths")
     # 1. Anchors that occur again, or in which a path meets itself.
     anchors = every.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("anchor")
@@ -256,7 +270,7 @@ def repeated(docs):
     branching = distinct.groupBy("anchor").agg(
         F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again").select("anchor")
     wanted = distinct.join(materialize(branching, "branching"), "anchor", "left_semi")
-    edges = materialize(edges_of(docs, wanted), "edges")
+    edges = materialize(edges_of(docs, wanted, hashed), "edges")
     twice = edges.groupBy("anchor", "edge").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", "edge")
     single = edges.join(materialize(twice, "repeated-edges"), ["anchor", "edge"], "left_semi").select(
         "k1", "k2", "start", F.lit(1).alias("edges"), F.col("edge").alias("path"))
@@ -277,17 +291,39 @@ def spans_of(mask):
     return edge.reshape(-1, 2).tolist()
 
 
-def remove_repeats(df, text="text", key="doc_id", with_text=True):
+def digests(words, cut):
+    """Array of (path, edges, a, b): 128 bits that stand for the very words of each repeated path or edge."""
+    text = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    begins = np.concatenate([[0], ends[:-1]]).tolist()
+    ends, view = ends.tolist(), memoryview(text)
+    found = b"".join(
+        hashlib.blake2b(view[begins[c["start"]] : ends[c["start"] + c["edges"] + WINDOW - 2] - 1], digest_size=16).digest()
+        for c in cut)
+    halves = np.frombuffer(found, np.int64).reshape(-1, 2)
+    return pa.StructArray.from_arrays(
+        [pa.array([c["path"] for c in cut], pa.int64()), pa.array([c["edges"] for c in cut], pa.int32()),
+         pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())], names=["path", "edges", "a", "b"])
+
+
+def same_words(cut):
+    """Whether all places of each repeated path hold the same words, from the digests in column ``seen``."""
+    bounds = [f(c).alias(f"{k}_{c}") for c in ("a", "b") for k, f in (("low", F.min), ("high", F.max))]
+    each = cut.select(F.explode("seen").alias("s")).select("s.*").groupBy("path", "edges").agg(*bounds)
+    return each.where("low_a <> high_a OR low_b <> high_b").isEmpty()
+
+
+def remove_repeats(df, text="text", key="doc_id", with_text=True, hashes=seeded):
     """One row for every row of the table: key, n_words, n_removed, kept_sha256 and, if wanted, the
-    kept text and the removed spans [start, end) in words."""
+    kept text and the removed spans [start, end) in words. ``hashes`` gives the word hash of each attempt."""
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(
         df[key].alias("key"), df[text].alias("text"), F.xxhash64(df[text], F.lit(1)).alias("k1"),
         F.xxhash64(df[key], F.lit(2), df[text]).alias("k2"))
-    lists = repeated(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "edges")).alias("cut"))
 
     def run(batch):
         out = {"n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
+        seen, places = [digests([], [])], [0]
         for x, cut in zip(batch["text"].to_pylist(), batch["cut"].to_pylist(), strict=True):
             words = text_bytes(x).split()
             kept, gone = words, []
@@ -295,6 +331,8 @@ def remove_repeats(df, text="text", key="doc_id", with_text=True):
                 mask = covered(len(words), [c["start"] for c in cut], [c["edges"] for c in cut])
                 kept = list(compress(words, (~mask).tolist()))
                 gone = spans_of(mask)
+                seen.append(digests(words, cut))
+            places.append(places[-1] + len(cut or []))
             joined = b" ".join(kept)
             out["n_words"].append(len(words))
             out["n_removed"].append(len(words) - len(kept))
@@ -302,10 +340,16 @@ def remove_repeats(df, text="text", key="doc_id", with_text=True):
             if with_text:
                 out["kept"].append(joined.decode("utf-8", "replace"))
                 out["spans"].append([{"start": a, "end": b} for a, b in gone])
-        return out | {"key": batch["key"]}
+        return out | {"key": batch["key"], "seen": pa.ListArray.from_arrays(places, pa.concat_arrays(seen))}
 
     schema = f"key {kind}, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", kept string, spans array<struct<start: int, end: int>>"
-    found = docs.join(lists, ["k1", "k2"], "left").select("key", "text", "cut")
-    return map_batches(found, run, schema).withColumnRenamed("key", key)
+    for attempt in count():
+        lists = repeated(docs, hashes(attempt)).groupBy("k1", "k2").agg(
+            F.collect_list(F.struct("start", "edges", "path")).alias("cut"))
+        found = docs.join(lists, ["k1", "k2"], "left").select("key", "text", "cut")
+        cut = materialize(
+            map_batches(found, run, f"{schema}, seen array<struct<path: long, edges: int, a: long, b: long>>"), "cut")
+        if same_words(cut):
+            return cut.drop("seen").withColumnRenamed("key", key)
