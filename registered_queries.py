@@ -552,6 +552,10 @@ def q_stream_decode(spark, sf):
     return stream_to_table(spark, stream, "stream-decode").drop("id")
 
 
+# When the ingest starts for the second time.
+SECOND_START = "2024-01-22 00:00:00"
+
+
 def spread(frames):
     """Frames over the seconds of their day; some share their device and time."""
     second = F.col("frame_id") * 7919 % 86_400
@@ -569,6 +573,26 @@ def q_stream_ingest(spark, sf):
     return read_telemetry(spark, path).drop("date")
 
 
+def within_weeks(frames):
+    """Frames of seven years within six weeks, a day in 24 minutes."""
+    days = F.datediff(F.to_date("ts"), F.lit("1992-01-01").cast("date"))
+    millis = days.cast("long") * 1_440_000 + F.col("frame_id") * 7919 % 1_440_000
+    return frames.withColumn("ts", F.timestamp_millis(F.lit(1_704_067_200_000) + millis))
+
+
+def q_ingest_two_starts(spark, sf):
+    """Two starts of the ingest, the second without the states of the first: it goes on from the table."""
+    path = scratch_path(spark, "ingest-starts")
+    recorded = within_weeks(frames(spark, sf)).withColumn("part", (F.col("ts") >= SECOND_START).cast("int"))
+    recorded.write.partitionBy("part").parquet(f"{path}/frames")
+    schema = recorded.drop("part").schema
+    for part in (0, 1):
+        stream = spark.readStream.schema(schema).parquet(f"{path}/frames/part={part}")
+        stream_ingest(
+            spark, stream, frame_catalog(spark), f"{path}/table", f"{path}/checkpoint-{part}", "10 minutes", "sink")
+    return read_telemetry(spark, f"{path}/table").drop("date")
+
+
 def q_resolve(spark, sf):
     key = F.col("p_partkey")
     address = ((key * 37) % 500).cast("string")
@@ -713,6 +737,7 @@ QUERIES = {
     "adjusted_address": q_addresses,
     "ingest_frames": q_ingest,
     "stream_ingest": q_stream_ingest,
+    "ingest_two_starts": q_ingest_two_starts,
     "range_overlaps": lambda s, d: range_overlaps(part_ranges(s, d)).select(
         "device_id", "range_no", "start", "stop"
     ),
