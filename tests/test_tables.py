@@ -450,3 +450,14 @@ def test_zero_goes_after_the_change_filter(spark):
     got = import_long(unpivot_table(df, ["a", "b"]))
     assert unpivot_table(df, ["none"]).count() == 0
     assert [v for _, r, v in rows(got.select("timestamp", "register_name", "value")) if r == "a"] == [5.0, 5.0, 6.0, 10.0]
+
+
+def test_headers_of_workbooks_are_read_without_the_rows_below(spark, tmp_path):
+    from wattline.sources.wide import write_workbooks
+
+    rows = spark.range(40).select(F.lit(3).alias("book"), F.col("id").cast("timestamp").alias("at"), "id")
+    write_workbooks(rows, str(tmp_path / "w"), "book", F.col("at"), {"a(n)/1": F.col("id")}).collect()
+    heads = read_xlsx_lines(spark, str(tmp_path / "w"), heads=True)
+    assert [r["cells"] for r in heads.orderBy("line_no").collect()] == [["Report"], [], ["Time", "a(n)/1"]]
+    assert read_xlsx_lines(spark, str(tmp_path / "w")).count() == 43
+    assert read_wide_exports(spark, str(tmp_path / "w"), xlsx=True).filter("Time <> 'Report'").count() == 40

@@ -6,6 +6,7 @@ import re
 import zipfile
 from functools import reduce
 from xml.etree import ElementTree
+from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -48,8 +49,9 @@ def read_export_lines(spark, path):
     )
 
 
-def read_xlsx_lines(spark, path):
-    """The same from the first sheet of ``.xlsx`` files; an unreadable file gives one line only.
+def read_xlsx_lines(spark, path, heads=False):
+    """The same from the first sheet of ``.xlsx`` files; an unreadable file gives one line only. With
+    ``heads`` a file is read as far as its header, the first line with a cell ``Time``.
 
     A sheet holds at most 1,048,576 rows, so a file is the unit of work, and files are spread
     over the tasks. Numbers whose format shows a date come as text of that date, by the workbook's own
@@ -57,7 +59,7 @@ def read_xlsx_lines(spark, path):
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     lines = files.select("path", "content").mapInPandas(
-        _sheet_lines, "file string, line_no long, cells array<string>"
+        _sheet_heads if heads else _sheet_lines, "file string, line_no long, cells array<string>"
     )
     return lines.select("file", F.lit(0).cast("long").alias("block"), "line_no", "cells")
 
@@ -65,13 +67,19 @@ def read_xlsx_lines(spark, path):
 SHEET_LINES = 10_000
 
 
-def _sheet_lines(batches):
+def _sheet_heads(batches):
+    return _sheet_lines(batches, heads=True)
+
+
+def _sheet_lines(batches, heads=False):
     for pdf in batches:
         for file, content in zip(pdf["path"], pdf["content"]):
             start, part = 0, []
             try:
                 for row in sheet_rows(content):
                     part.append(row)
+                    if heads and "Time" in row:
+                        break
                     if len(part) == SHEET_LINES:
                         yield _as_lines(file, start, part)
                         start, part = start + SHEET_LINES, []
@@ -124,22 +132,76 @@ def sheet_rows(content):
         for item in _elements(book, "xl/sharedStrings.xml", "si"):
             shared.append("".join(t.text or "" for t in item.iter(f"{_SHEET}t")))
     dates, epoch = _date_styles(book), _EPOCHS[_counts_from_1904(book)]
-    for row in _elements(book, _first_sheet(book), "row"):
+    for row in _sheet_cells(book, _first_sheet(book)):
         cells = []
-        for cell in row.iter(f"{_SHEET}c"):
-            letters = re.match("[A-Z]*", cell.get("r", ""))[0]
-            place = reduce(lambda n, c: n * 26 + ord(c) - 64, letters, 0) or len(cells) + 1
+        for known, value, texts in row:
+            place = _place(known["r"]) if "r" in known else 0
+            place = place or len(cells) + 1
             cells += [None] * (place - len(cells))
-            value = cell.find(f"{_SHEET}v")
-            if cell.get("t") == "inlineStr":
-                cells[place - 1] = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t"))
+            if known.get("t") == "inlineStr":
+                cells[place - 1] = "".join(texts)
             elif value is not None:
-                cells[place - 1] = shared[int(value.text)] if cell.get("t") == "s" else value.text
-                if cell.get("t", "n") == "n" and int(cell.get("s", 0)) in dates:
-                    cells[place - 1] = _date_text(value.text, epoch)
+                text = "".join(value) or None
+                cells[place - 1] = shared[int(text)] if known.get("t") == "s" else text
+                if known.get("t", "n") == "n" and int(known.get("s", 0)) in dates:
+                    cells[place - 1] = _date_text(text, epoch)
         yield cells
 
 
+def _place(reference):
+    """Number of a cell's column, 0 if its reference names none."""
+    return reduce(lambda n, c: n * 26 + ord(c) - 64, re.match("[A-Z]*", reference)[0], 0)
+
+
+# Bytes of a sheet that are parsed at a time.
+_SHEET_PART = 1 << 14
+
+
+def _sheet_cells(book, part):
+    """Rows of a sheet one by one: lists of (attributes, pieces of the value or None, texts) of their cells."""
+    row_tag, cell_tag, value_tag, text_tag = (f"{_SHEET[1:]}{x}" for x in ("row", "c", "v", "t"))
+    ready, open_cells, heard = [], [], [None]
+    parser = expat.ParserCreate(namespace_separator="}")
+    parser.buffer_text = True
+
+    def start(tag, attributes):
+        heard[0] = None
+        if tag == cell_tag:
+            open_cells.append((attributes, None, []))
+        elif tag == value_tag and open_cells and open_cells[-1][1] is None:
+            heard[0] = []
+            open_cells[-1] = (open_cells[-1][0], heard[0], open_cells[-1][2])
+        elif tag == text_tag and open_cells:
+            heard[0] = open_cells[-1][2]
+        elif tag == row_tag:
+            open_cells.clear()
+
+    def end(tag):
+        heard[0] = None
+        if tag == row_tag:
+            ready.append(open_cells.copy())
+            open_cells.clear()
+
+    def text(data):
+        if heard[0] is not None:
+            heard[0].append(data)
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
+    with book.open(part) as file:
+        more = True
+        while more:
+            data = file.read(_SHEET_PART)
+            more, fault = bool(data), None
+            try:
+                parser.Parse(data, not more)
+            except expat.ExpatError as error:
+                fault = ElementTree.ParseError(str(error))
+            yield from ready
+            ready.clear()
+            if fault:
+                raise fault
+
+
 def _date_styles(book):
     """Numbers of the cell styles whose number format shows a date."""
     if "xl/styles.xml" not in book.namelist():
@@ -259,7 +321,7 @@ def read_wide_exports(spark, path, xlsx=False):
     Every file brings its own header, so files with different columns are read in one plan.
     """
     lines = read_xlsx_lines(spark, path) if xlsx else read_export_lines(spark, path)
-    return wide_rows(lines, export_headers(lines))
+    return wide_rows(lines, export_headers(read_xlsx_lines(spark, path, heads=True) if xlsx else lines))
 
 
 def wide_rows(lines, headers):
