@@ -309,7 +309,8 @@ def export_lines(spark, sf):
     )
     files = heads.unionByName(lines.withColumn("rank", F.lit(3)))
     files = files.repartition("supplier").sortWithinPartitions("supplier", "rank").drop("rank")
-    files.write.partitionBy("supplier").text(path)
+    # Tasks move their own files; otherwise the driver moves them one after the other when all are written.
+    files.write.partitionBy("supplier").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return by_supplier(read_export_lines(spark, path))
 
 

@@ -461,3 +461,11 @@ def test_headers_of_workbooks_are_read_without_the_rows_below(spark, tmp_path):
     assert [r["cells"] for r in heads.orderBy("line_no").collect()] == [["Report"], [], ["Time", "a(n)/1"]]
     assert read_xlsx_lines(spark, str(tmp_path / "w")).count() == 43
     assert read_wide_exports(spark, str(tmp_path / "w"), xlsx=True).filter("Time <> 'Report'").count() == 40
+
+
+def test_lines_without_time_are_not_cut_for_headers(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.csv").write_text('x\n"Time",a(n)\n2024-01-01 00:00:00,1\n')
+    lines = read_export_lines(spark, str(tmp_path / "e"))
+    assert [r["titled"] for r in lines.orderBy("line_no").collect()] == [False, True, False]
+    assert [r["header"] for r in export_headers(lines).collect()] == [["Time", "a(n)"]]

@@ -46,6 +46,7 @@ def read_export_lines(spark, path):
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
         _cells(F.regexp_replace("value", "^﻿|\r$", "")).alias("cells"),
+        F.contains("value", F.lit("Time")).alias("titled"),
     )
 
 
@@ -299,7 +300,9 @@ def _workbook(pdf, headers, from_1904):
 
 def export_headers(lines):
     """One row per file: its cleaned header, the first line with a cell ``Time``."""
-    heads = lines.filter(F.array_contains("cells", "Time"))
+    # A cell "Time" stands in its line's text, so that other lines need not be cut into cells here.
+    heads = lines.filter("titled") if "titled" in lines.columns else lines
+    heads = heads.filter(F.array_contains("cells", "Time"))
     return heads.groupBy("file").agg(
         F.min_by(
             F.transform("cells", lambda c: clean_header(F.coalesce(c, F.lit("")))), F.struct("block", "line_no")
