@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from wattline.functions.naming import clean_header, clean_name
-from wattline.operators.changes import change_filter
+from wattline.operators.changes import change_filter, has_changed, with_previous_row
 from wattline.sources.files import file_system
 
 # A cell behind its comma: it ends at a comma outside double quotes; a quote left open runs to the
@@ -24,6 +24,10 @@ _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
+# Order of the lines of a file, and days of a file that a task puts in order at a time: exports have few rows a
+# day, so a month of them is still a small piece.
+_LINE_ORDER, _LINE_DAYS = ("timestamp", "block", "line_no"), 30
+
 # Fixed value: day 0 of spreadsheet dates, 1899-12-30, in days before 1970.
 _SHEET_EPOCH_DAYS = 25_569
 # Day 0 of both calendars of workbooks, and the built-in number formats that show a date.
@@ -367,14 +371,19 @@ def unpivot_rows(rows, known):
     )
 
 
-def unpivot_table(df, known, time="Time", file="file", line_no="line_no"):
+def unpivot_table(df, known, time="Time", file="file", line_no="line_no", previous=False):
     """The same from a wide table whose columns are known when the query is written.
 
-    Plain columns instead of arrays of cells keep this in generated code.
+    Plain columns instead of arrays of cells keep this in generated code. With ``previous`` rows also have the
+    register's value in the line before (``previous``), for ``import_long``: lines are put in order before they
+    become a row for each register. Lines without a file or a readable time have no place in that order and are
+    left out.
     """
     texts = dict(df.dtypes)
     named = {c: clean_name(c) for c in df.columns if c not in (time, file, line_no)}
     kept = {c: name for c, name in named.items() if name in known}
+    # Columns of one name are one series, in which a line has several rows; these get in order as long rows.
+    previous = previous and len(set(kept.values())) == len(kept)
     numbers = {
         c: numeric(F.col(f"`{c}`")) if texts[c] == "string" else F.col(f"`{c}`").cast("double") for c in kept
     }
@@ -382,18 +391,31 @@ def unpivot_table(df, known, time="Time", file="file", line_no="line_no"):
         F.col(file).alias("file"), F.lit(0).cast("long").alias("block"),
         F.col(line_no).cast("long").alias("line_no"), F.col(time).cast("string").alias("Time"),
         *[value.alias(f"c{i}") for i, value in enumerate(numbers.values())],
-    )
-    nonzero = [F.coalesce(F.col(f"c{i}") != 0, F.lit(False)) for i in range(len(kept))]
-    some = reduce(lambda a, b: a | b, nonzero, F.lit(False))
+    ).filter(F.trim("Time") != "")
+    place = ["file", "block", "line_no", "Time"]
+    columns = [F.col(f"c{i}") for i in range(len(kept))]
+    if previous:
+        # What a generator gives is not worked out again for filters, nor for both uses of the lines in order.
+        # The values travel as one array, so there is one window function however many registers there are.
+        read = F.struct(time_of(F.col("Time")).alias("timestamp"), F.array(*columns).cast("array<double>").alias("v"))
+        rows = rows.select(*place, F.inline(F.array(read))).filter("timestamp IS NOT NULL AND file IS NOT NULL")
+        columns = [F.get("v", F.lit(i)) for i in range(len(kept))]
+    nonzero = [F.coalesce(c != 0, F.lit(False)) for c in columns]
+    lines = rows.filter(reduce(lambda a, b: a | b, nonzero, F.lit(False)))
+    if previous:
+        lines = with_previous_row(lines, ["file"], _LINE_ORDER, ["v"], days=_LINE_DAYS)
+    else:
+        # The time of a line is read here, not in the rows that it becomes.
+        lines = lines.withColumn("timestamp", time_of(F.col("Time")))
     cells = F.array(*[
-        F.struct(F.lit(name).alias("register_name"), F.col(f"c{i}").alias("value"))
+        F.struct(F.lit(name).alias("register_name"), columns[i].alias("value"),
+                 *([F.get("prev_v", F.lit(i)).alias("previous")] if previous else []))
         for i, name in enumerate(kept.values())
     ])
     if not kept:
-        cells = cells.cast("array<struct<register_name: string, value: double>>")
-    return rows.filter((F.trim("Time") != "") & some).select(
-        "file", "block", "line_no", "Time", time_of(F.col("Time")).alias("timestamp"), F.inline(cells)
-    )
+        more = ", previous: double" if previous else ""
+        cells = cells.cast(f"array<struct<register_name: string, value: double{more}>>")
+    return lines.select(*place, "timestamp", F.inline(cells))
 
 
 def import_wide(rows, known, device_id=1):
@@ -405,15 +427,16 @@ def import_long(long_rows, device_id=1):
     """The readings to store: changes only within each file, no NULLs or zeros.
 
     Zeros and NULLs go after the change filter, so a value that returns after one is kept. A row
-    with an unreadable time is left out; ``unreadable_times`` lists those.
+    with an unreadable time is left out; ``unreadable_times`` lists those. Rows that bring the value
+    before them (``previous``) need not be put in order here.
     """
     timed = long_rows.drop("Time").filter(
         "timestamp IS NOT NULL AND file IS NOT NULL AND register_name IS NOT NULL"
     )
-    # Exports have few rows a day; a month of one register in a file is still a small piece.
-    changed = change_filter(
-        timed, ["file", "register_name"], order=("timestamp", "block", "line_no"), days=30
-    )
+    if "previous" in long_rows.columns:
+        changed = timed.filter(has_changed(F.col("value"), F.col("previous")))
+    else:
+        changed = change_filter(timed, ["file", "register_name"], order=_LINE_ORDER, days=_LINE_DAYS)
     return changed.filter("value <> 0").select(
         F.unix_timestamp("timestamp").alias("id"),
         F.lit(device_id).cast("int").alias("device_id"),
