@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wattline.catalog import MINUTE_REGISTERS, PERIOD_RULES, parse_rules
 from wattline.functions.naming import column_name
 from wattline.functions.time import (
-    as_timestamp, bucket, in_range, shift, utc_date,
+    as_timestamp, bucket, bucket_offset, in_range, shift, utc_date, width_micros, width_months,
 )
 from wattline.operators.ordered import fill_gaps
 
@@ -21,6 +21,15 @@ def by_time_and_device():
     return micros * F.lit(2**32).cast("decimal(10,0)") + F.col("device_id").cast("decimal(10,0)")
 
 
+def by_place_in_bucket(width):
+    """The same order for readings of one bucket, as a long where the bucket is below 2^31 microseconds: it takes
+    a third of the memory."""
+    if width_months(width) or width_micros(width) >= 2**31:
+        return by_time_and_device()
+    place = F.pmod(F.unix_micros("timestamp") - F.lit(bucket_offset(width)), F.lit(width_micros(width)))
+    return place * F.lit(2**32) + F.col("device_id").cast("long")
+
+
 def wanted_register(registers, case_insensitive=False):
     """The register under the spelling of the list, NULL if it is not listed."""
     if not case_insensitive:
@@ -112,7 +121,8 @@ def filled_long(telemetry, start, end=None, by_device=False, width="1 minute", r
 
     A reading counts in its own bucket and, where its register has none there, in the next bucket that is
     present; so rows hold one value each, however many registers there are. ``present`` are the buckets of
-    the range with any row. Neither needs the order of whole rows.
+    the range with any row. Rows are put in order twice, by day and by register and day, as one row for each
+    bucket and register. Each order has a stage of its own, which holds rows once and no table of groups.
     """
     low, high = as_timestamp(start), as_timestamp(end)
     keys = ["device_id"] if by_device else []
@@ -121,22 +131,30 @@ def filled_long(telemetry, start, end=None, by_device=False, width="1 minute", r
         wanted_register(list(registers), case_insensitive).alias("register_name"), "timestamp", "value",
     )
     rows = rows.filter(in_range(rows, shift(low, warm_up), high, ts="time"))
-    order = F.col("timestamp") if by_device else by_time_and_device()
-    cells = rows.filter("register_name IS NOT NULL").groupBy(*keys, "time", "register_name").agg(
-        F.max_by("value", order).alias("value")).filter("value IS NOT NULL")
-    buckets = rows.select(*keys, "time").distinct().withColumn("day", utc_date(F.col("time")))
+    order = F.col("timestamp") if by_device else by_place_in_bucket(width)
+    # Rows without a listed register say that their bucket is there.
+    cells = rows.groupBy(*keys, "time", "register_name").agg(F.max_by("value", order).alias("value"))
+    cells = cells.withColumn("day", utc_date(F.col("time")))
     # The next bucket: inside a day by a window, at its end the first bucket of the next day that has one.
-    heads = buckets.groupBy(*keys, "day").agg(F.min("time").alias("head"))
+    heads = rows.groupBy(*keys, utc_date(F.col("time")).alias("day")).agg(F.min("time").alias("head"))
     heads = heads.select(*keys, "day", F.lead("head").over(Window.partitionBy(*keys).orderBy("day")).alias("head"))
-    in_day = Window.partitionBy(*keys, "day").orderBy("time")
-    after = buckets.withColumn("after", F.lead("time").over(in_day)).join(heads, [*keys, "day"])
-    after = after.select(*keys, "time", F.coalesce("after", "head").alias("after"))
+    later = Window.partitionBy(*keys, "day").orderBy(F.unix_micros("time").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    known = cells.withColumn("after", F.min("time").over(later)).join(heads, [*keys, "day"])
+    known = known.filter("register_name IS NOT NULL AND value IS NOT NULL").select(
+        *keys, "register_name", "time", "value", F.coalesce("after", "head").alias("after"))
+    # Readings of a day's last bucket go to the next day too, ahead of its own.
+    own, next_day = utc_date(F.col("time")), utc_date(F.col("after"))
+    days = F.when(next_day != own, F.array(own, next_day)).otherwise(F.array(own))
+    known = known.withColumn("day", F.explode(days))
+    follows = F.lead("time").over(Window.partitionBy(*keys, "register_name", "day").orderBy("time"))
+    known = known.withColumn("follows", follows)
     twice = F.array(
-        F.struct(F.col("time"), F.lit(1).alias("own")), F.struct(F.col("after").alias("time"), F.lit(0).alias("own")))
-    counted = cells.join(after, [*keys, "time"]).select(*keys, "register_name", "value", F.inline(twice))
+        F.struct(F.col("time"), (F.col("day") == own).alias("counts")),
+        F.struct(F.col("after").alias("time"), ((F.col("day") == next_day) & ~F.col("after").eqNullSafe(F.col("follows"))).alias("counts")))
+    counted = known.select(*keys, "register_name", "value", F.inline(twice)).filter("counts")
     within = F.col("time").between(low, high)
-    filled = counted.filter(within).groupBy(*keys, "time", "register_name").agg(F.max_by("value", "own").alias("value"))
-    return filled, buckets.filter(within).select(*keys, "time")
+    filled = counted.filter(within).select(*keys, "time", "register_name", "value")
+    return filled, rows.filter(within).select(*keys, "time").distinct()
 
 
 def period_stat_long(cells, present, keys=(), registers=MINUTE_REGISTERS):
