@@ -34,7 +34,7 @@ from wattline.sources.telemetry import (
 )
 from wattline.sources.wide import (
     export_headers, import_long, missing_columns, read_export_lines, read_wide_exports, unpivot_rows,
-    unpivot_table, wide_rows, write_workbooks,
+    unpivot_table, wide_rows, write_exports, write_workbooks,
 )
 from wattline.streaming.jobs import (
     run_available, stream_bucket_stats, stream_deadband, stream_decode, stream_dedup, stream_ingest, stream_snapshot,
@@ -297,25 +297,18 @@ def q_append(spark, sf):
 
 
 def export_lines(spark, sf):
-    """The same exports as CSV files, a folder for each supplier; the title and header lines come first
-    in a file."""
+    """The same exports as CSV files, one for each supplier; the title and header lines come first in a file."""
     path = scratch_path(spark, "exports")
-    rows = exports(spark, sf)
     columns = ["Time", "quantity(n)/101", "discount(%)/102-103", "tax(℃)/104", "flag(NA)/105"]
     text = F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in columns])
-    lines = rows.select(F.col("file").alias("supplier"), text.alias("value"))
-    heads = lines.select("supplier").distinct().select(
-        "supplier", F.posexplode(F.array(F.lit("Report,,,,"), F.lit(",,,,"), F.lit(",".join(columns)))).alias("rank", "value")
-    )
-    files = heads.unionByName(lines.withColumn("rank", F.lit(3)))
-    files = files.repartition("supplier").sortWithinPartitions("supplier", "rank").drop("rank")
-    # Tasks move their own files; otherwise the driver moves them one after the other when all are written.
-    files.write.partitionBy("supplier").option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
+    lines = exports(spark, sf).select(F.col("file").alias("supplier"), text.alias("value"))
+    titles = ["Report,,,,", ",,,,", ",".join(columns)]
+    write_exports(lines, path, "supplier", "value", titles).write.parquet(path + "-written")
     return by_supplier(read_export_lines(spark, path))
 
 
 def by_supplier(lines):
-    """The folder stands for the file."""
+    """The supplier in its name stands for the file."""
     return lines.withColumn("file", F.regexp_extract("file", "supplier=([0-9]+)", 1))
 
 

@@ -5,11 +5,15 @@ import io
 import re
 import zipfile
 from functools import reduce
+from urllib.parse import quote
 from xml.etree import ElementTree
 from xml.parsers import expat
 from xml.sax.saxutils import escape
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from wattline.functions.naming import clean_header, clean_name
@@ -34,24 +38,70 @@ _SHEET_EPOCH_DAYS = 25_569
 _EPOCHS = {False: dt.datetime(1899, 12, 30), True: dt.datetime(1904, 1, 1)}
 _DATE_FORMATS = {*range(14, 18), 22, *range(27, 37), *range(50, 59)}
 _LAST_DAY = 2_958_465
+# What stands in the name of a file for rows without a value, as in Spark's folders.
+_NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+# Fixed value: the most bytes of a CSV file that is read as one row, so that its header is there with its lines.
+WHOLE_FILE = 1 << 22
+_MARK = "\ufeff"
 
 
 def _cells(line):
     unquoted = F.transform(
         F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1)), lambda c: F.regexp_replace(F.trim(c), r'^"([\s\S]*)"$', "$1")
     )
-    return F.transform(unquoted, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
+    quoted = F.transform(unquoted, lambda c: F.replace(c, F.lit('""'), F.lit('"')))
+    # Without quotes every comma ends a cell.
+    plain = F.transform(F.split(line, ","), lambda c: F.trim(c))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain)
+
+
+def _header(cells):
+    return F.transform(cells, lambda c: clean_header(F.coalesce(c, F.lit(""))))
+
+
+def _once(**columns):
+    """Columns behind a generator: what it gives is not worked out again for each filter and use above it."""
+    return F.inline(F.array(F.struct(*[column.alias(name) for name, column in columns.items()])))
 
 
 def read_export_lines(spark, path):
-    """The lines of CSV exports with their file and place, title lines included."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+    """The lines of CSV exports with their file and place, title lines included.
+
+    A file of up to ``WHOLE_FILE`` bytes is read as one row, so its lines also bring its ``header`` (null if it
+    has none), and no join is needed for that; ``whole`` marks them. Larger files are cut into ranges.
+    """
+    small = F.col("_metadata.file_size") <= WHOLE_FILE
+    file = F.col("_metadata.file_path").alias("file")
+    ranges = spark.read.text(path).filter(~small).select(
+        file,
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"),
-        _cells(F.regexp_replace("value", "^﻿|\r$", "")).alias("cells"),
+        _cells(F.regexp_replace("value", f"^{_MARK}|\r$", "")).alias("cells"),
         F.contains("value", F.lit("Time")).alias("titled"),
+        F.lit(None).cast("array<string>").alias("header"),
+        F.lit(False).alias("whole"),
     )
+    text = spark.read.text(path, wholetext=True).filter(small).select(
+        file, F.regexp_replace("value", f"^{_MARK}", "").alias("text"))
+    # The text behind the last line end is a line only if there is any.
+    texts = text.select("file", _once(all=F.split("text", "\r\n|\n|\r"))).select("file", F.when(
+        F.element_at("all", -1) == "", F.slice("all", 1, F.size("all") - 1)).otherwise(F.col("all")).alias("texts"))
+    titles = F.transform(F.filter("texts", lambda x: F.contains(x, F.lit("Time"))), lambda x: _cells(_unmarked(x)))
+    header = _header(F.get(F.filter(titles, lambda c: F.array_contains(c, "Time")), F.lit(0)))
+    lines = texts.select("file", _once(header=header, texts=F.col("texts"))).select(
+        "file", "header", F.posexplode_outer("texts").alias("line_no", "line")).filter("line IS NOT NULL")
+    whole = lines.select(
+        "file", "header", "line_no", F.contains("line", F.lit("Time")).alias("titled"),
+        _once(cells=_cells(_unmarked(F.col("line")))))
+    return ranges.unionByName(whole.select(
+        "file", F.lit(0).cast("long").alias("block"), F.col("line_no").cast("long").alias("line_no"), "cells",
+        "titled", "header", F.lit(True).alias("whole")))
+
+
+def _unmarked(line):
+    return F.when(F.startswith(line, F.lit(_MARK)), F.substring(line, 2, 2**31 - 1)).otherwise(line)
 
 
 def read_xlsx_lines(spark, path, heads=False):
@@ -240,6 +290,58 @@ def _date_text(days, epoch):
     return time.isoformat(" ", "milliseconds" if time.microsecond else "seconds")
 
 
+def write_exports(lines, path, file, text, titles=()):
+    """Writes one CSV file ``<file>=<value>.csv`` for each value of the column ``file``: the title lines, then the
+    column ``text`` of its rows. Returns (file, n_rows) once all are written.
+
+    A file is made in one task, which writes it as rows come, and a task that runs again writes the same file
+    again. There is one folder for all files, so that listing them takes one call.
+    """
+    spark = lines.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    head = "".join(f"{title}\n" for title in titles).encode()
+    found = lines.select(F.col(file).cast("string").alias("file"), F.col(text).alias("text"))
+
+    def write(batches):
+        system, at = file_system(path)
+        out, name, count = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values, texts = batch.column("file"), batch.column("text").fill_null("")
+            begins = np.ones(batch.num_rows, bool)
+            same = pc.equal(values[1:], values[:-1]).fill_null(False)
+            none = pc.and_(pc.is_null(values[1:]), pc.is_null(values[:-1]))
+            begins[1:] = ~pc.or_(same, none).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(begins)
+            offsets = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+            parts = pc.binary_join(pa.ListArray.from_arrays(offsets, texts), "\n")
+            done = []
+            for value, part, n in zip(values.take(pa.array(starts)).to_pylist(), parts, np.diff(offsets).tolist()):
+                if out is None or value != name:
+                    if out is not None:
+                        out.close()
+                        done.append((name, count))
+                    label = _NO_VALUE if value is None else quote(value, safe="")
+                    out, name, count = system.open_output_stream(f"{at}/{file}={label}.csv"), value, 0
+                    out.write(head)
+                out.write(part.as_buffer())
+                out.write(b"\n")
+                count += n
+            yield _written_files(done)
+        if out is not None:
+            out.close()
+            yield _written_files([(name, count)])
+
+    return found.repartition("file").sortWithinPartitions("file").mapInArrow(write, "file string, n_rows long")
+
+
+def _written_files(done):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], ["file", "n_rows"])
+
+
 def write_workbooks(rows, path, file, time, cells, from_1904=None):
     """Writes one ``.xlsx`` file for each value of column ``file`` (a long): two title lines, the names, then
     the rows. Returns (file, n_rows) once all are written.
@@ -307,11 +409,9 @@ def export_headers(lines):
     # A cell "Time" stands in its line's text, so that other lines need not be cut into cells here.
     heads = lines.filter("titled") if "titled" in lines.columns else lines
     heads = heads.filter(F.array_contains("cells", "Time"))
-    return heads.groupBy("file").agg(
-        F.min_by(
-            F.transform("cells", lambda c: clean_header(F.coalesce(c, F.lit("")))), F.struct("block", "line_no")
-        ).alias("header")
-    )
+    # Files that are read whole are told apart, so that ``wide_rows`` can leave their headers out.
+    keys = [c for c in ("file", "whole") if c in lines.columns]
+    return heads.groupBy(*keys).agg(F.min_by(_header(F.col("cells")), F.struct("block", "line_no")).alias("header"))
 
 
 def bad_exports(lines):
@@ -332,7 +432,13 @@ def read_wide_exports(spark, path, xlsx=False):
 
 
 def wide_rows(lines, headers):
-    named = lines.join(headers, "file")
+    """Rows of files from their lines; lines that bring no header get that of their file from ``headers``."""
+    if "whole" in lines.columns:
+        found = lines.filter("whole AND header IS NOT NULL").drop("whole")
+        ranges = lines.filter("NOT whole").drop("whole", "header")
+        named = ranges.join(headers.filter("NOT whole").drop("whole"), "file").unionByName(found)
+    else:
+        named = lines.join(headers, "file")
     time = F.get("cells", F.array_position("header", "Time").cast("int") - 1)
     pairs = F.arrays_zip(F.col("header").alias("register_name"), F.col("cells").alias("raw"))
     # The header and what stands above it hold no time and go with the other unreadable rows.
@@ -365,7 +471,7 @@ def unpivot_rows(rows, known):
     values = F.transform(
         kept, lambda c: F.struct(c["register_name"].alias("register_name"), numeric(c["raw"]).alias("value"))
     )
-    cleaned = rows.withColumn("cells", values).filter(F.trim("Time") != "")
+    cleaned = rows.filter(F.trim("Time") != "").select("file", "block", "line_no", "Time", _once(cells=values))
     return cleaned.filter(F.exists("cells", lambda c: c["value"] != 0)).select(
         "file", "block", "line_no", "Time", time_of(F.col("Time")).alias("timestamp"), F.inline("cells")
     )
