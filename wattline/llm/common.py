@@ -16,8 +16,9 @@ ARROW_ROWS = 512
 
 
 def prepare(spark, rows=ARROW_ROWS):
-    """Settings for texts: few rows in an Arrow batch, as one text may be megabytes long."""
+    """Settings for texts: few rows in an Arrow batch, as one text may be megabytes long, and Spark's limit of bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
     return spark
 
 

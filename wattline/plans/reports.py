@@ -3,8 +3,7 @@
 from wattline.catalog import MINUTE_REGISTERS, TARIFF_REGISTERS
 from wattline.functions.decode import default_preprocess
 from wattline.functions.time import as_timestamp, in_range, shift
-from wattline.operators.changes import deadband_heartbeat
-from wattline.operators.frames import decode_frames, frame_telemetry
+from wattline.operators.changes import day_readings, deadband_heartbeat
 from wattline.operators.snapshot import (
     WARM_UP, filled_long, param_history, period_stat, period_stat_long, snapshot,
 )
@@ -45,7 +44,7 @@ def daily_tariff_report(telemetry, prices, registers=TARIFF_REGISTERS, tz="UTC")
 
 def ingest_frames(frames, registers, period="20 seconds", preprocess=default_preprocess):
     """Frames to the readings worth storing: decoded, then changes and heartbeats only."""
-    return deadband_heartbeat(frame_telemetry(decode_frames(frames, registers, preprocess=preprocess)), period)
+    return deadband_heartbeat(day_readings(frames, registers, preprocess=preprocess), period, placed=True)
 
 
 def ingest_exports(spark, path, known, device_id=1):
