@@ -83,10 +83,10 @@ def read_export_lines(spark, path):
         F.lit(None).cast("array<string>").alias("header"),
         F.lit(False).alias("whole"),
     )
-    text = spark.read.text(path, wholetext=True).filter(small).select(
-        file, F.regexp_replace("value", f"^{_MARK}", "").alias("text"))
+    text = spark.read.text(path, wholetext=True).filter(small).select(file, _unmarked(F.col("value")).alias("text"))
     # The text behind the last line end is a line only if there is any.
-    texts = text.select("file", _once(all=F.split("text", "\r\n|\n|\r"))).select("file", F.when(
+    ended = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    texts = text.select("file", _once(all=F.split(ended, "\n"))).select("file", F.when(
         F.element_at("all", -1) == "", F.slice("all", 1, F.size("all") - 1)).otherwise(F.col("all")).alias("texts"))
     titles = F.transform(F.filter("texts", lambda x: F.contains(x, F.lit("Time"))), lambda x: _cells(_unmarked(x)))
     header = _header(F.get(F.filter(titles, lambda c: F.array_contains(c, "Time")), F.lit(0)))
